@@ -96,9 +96,13 @@ def primary_alert(matches: DataFrame, rules: list[dict]) -> DataFrame:
     return matches.select("id", first.alias("alert_id"), F.try_element_at(colors, first).alias("color"))
 
 
-def alert_fires(matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def alert_fires(
+    matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_IDS, state: dict[str, tuple[int, int]] | None = None
+) -> DataFrame:
     """Notifications in id order with event time as the clock: (id, alert_id, ts, suppressed, title, body).
 
+    ``state`` continues an earlier run: alert id → (time of its last fire, matches suppressed since).
+
     A match fires when its alert and all alerts together have been quiet long enough. Only matches
     whose ``ts`` exceeds every earlier one of the same alert can ever fire, so those are folded, in
     chunks of ids that run in parallel: each chunk starts from the state its predecessor ended with
@@ -147,15 +151,19 @@ def alert_fires(matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_ID
         fired, _, _ = fold(rows, last, any_last)
         return rows.loc[fired, ["chunk", "id", "a", "ts", "rn"]]
 
-    state = "chunk bigint, last array<bigint>, any_last bigint"
+    state_schema = "chunk bigint, last array<bigint>, any_last bigint"
+    state = state or {}
     fresh = ([NEVER] * len(gaps), NEVER)
+    begin = [state.get(r["id"], (NEVER, 0))[0] for r in notifying]
     chunks = [r[0] for r in records.select("chunk").distinct().orderBy("chunk").collect()]  # one per million ids
     starts = {c: fresh for c in chunks}
+    if chunks:
+        starts[chunks[0]] = (begin, max(begin))
     ends: dict[int, tuple[list[int], int]] = {}
     todo = chunks[:-1]
     while todo:
-        table = spark.createDataFrame([(c, *starts[c]) for c in todo], state)
-        for r in records.join(table, "chunk").groupBy("chunk").applyInPandas(exits, state).collect():
+        table = spark.createDataFrame([(c, *starts[c]) for c in todo], state_schema)
+        for r in records.join(table, "chunk").groupBy("chunk").applyInPandas(exits, state_schema).collect():
             ends[r["chunk"]] = (list(r["last"]), r["any_last"])
         moved = []
         for before, c in zip(chunks, chunks[1:]):
@@ -165,7 +173,7 @@ def alert_fires(matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_ID
         todo = [c for c in moved if c != chunks[-1]]
     if not chunks:
         return spark.createDataFrame([], schema)
-    table = spark.createDataFrame([(c, *starts[c]) for c in chunks], state)
+    table = spark.createDataFrame([(c, *starts[c]) for c in chunks], state_schema)
     found = records.join(table, "chunk").groupBy("chunk").applyInPandas(
         fires, "chunk bigint, id bigint, a int, ts bigint, rn int"
     )
@@ -175,10 +183,11 @@ def alert_fires(matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_ID
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
     )
     by_alert = Window.partitionBy("a").orderBy("id")
+    carried = F.array(*[F.lit(state.get(r["id"], (NEVER, 0))[1]).cast("bigint") for r in notifying])
     counted = (
         found.join(sizes, ["chunk", "a"])
         .withColumn("_at", F.col("_before") + F.col("rn"))
-        .withColumn("suppressed", F.col("_at") - F.coalesce(F.lag("_at").over(by_alert), F.lit(0)) - 1)
+        .withColumn("suppressed", F.col("_at") - F.coalesce(F.lag("_at").over(by_alert), -F.get(carried, F.col("a"))) - 1)
     )
     names = F.array(*[F.lit(r["id"]) for r in notifying])
     titles = F.array(*[F.lit(r.get("name") or r["id"]) for r in notifying])
@@ -189,3 +198,20 @@ def alert_fires(matches: DataFrame, rules: list[dict], chunk_ids: int = CHUNK_ID
         F.get(titles, F.col("a")).alias("title"),
         F.when(F.col("suppressed") > 0, more).otherwise(head).alias("body"),
     )
+
+
+def fire_state(
+    matches: DataFrame, fires: DataFrame, rules: list[dict], state: dict[str, tuple[int, int]] | None = None
+) -> dict[str, tuple[int, int]]:
+    """State after a run, for the next one: alert id → (time of its last fire, matches suppressed since)."""
+    out = dict(state or {})
+    hits = matches.select("id", F.explode("alert_ids").alias("alert_id"))
+    last = fires.groupBy("alert_id").agg(F.max("id").alias("fired"), F.max("ts").alias("ts"))
+    later = hits.join(last, "alert_id", "left").groupBy("alert_id").agg(
+        F.max("ts").alias("ts"), F.count_if(F.coalesce(F.col("id") > F.col("fired"), F.lit(True))).alias("waiting")
+    )
+    for r in later.collect():  # one row per alert
+        before = out.get(r["alert_id"], (NEVER, 0))
+        fired = r["ts"] is not None
+        out[r["alert_id"]] = (r["ts"] if fired else before[0], r["waiting"] + (0 if fired else before[1]))
+    return out

@@ -16,7 +16,7 @@ EXTENSIONS = (
 )
 MAX_CONTEXT = 20
 
-_CUT = ""
+_CUT = "\x01"
 _DYNAMIC = r"(?U)(?<!\S)(?:\S*[0-9/\\]\S*|[0-9a-fA-F]{8,})(?!\S)"
 _EDGE = r"\A[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+\z"
 
