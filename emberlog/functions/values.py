@@ -16,32 +16,45 @@ from pyspark.sql import functions as F
 JS_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_RARE_NUMBER = r"^(0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)$"
+# Text of a VARIANT that needs a second look: arrays, objects, and numbers not spelled as ECMAScript does.
+_SPECIAL_TEXT = (
+    r"^(?:[\[{]|-?(?!(?:0|[1-9]\d{0,14})$)(?!(?:0\.0{0,5}[1-9]|[1-9]\d{0,8}\.\d{0,5}[1-9])$)\d[\d.E+-]*$)"
+)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``body`` on ``value`` bound once, however often the body uses it.
+
+    Keeps the rarely taken branches out of the generated code of the common ones.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
-def number_of_text(text: Column) -> Column:
-    """Number form of a string; NaN when it does not read as one."""
-    t = js_trim(text)
+def _number_of_odd_text(text: Column) -> Column:
+    def read(t: Column) -> Column:
+        base = F.when(F.lower(F.substring(t, 2, 1)) == "x", 16).when(F.lower(F.substring(t, 2, 1)) == "o", 8).otherwise(2)
+        return (
+            F.when(t.rlike(_PLAIN_NUMBER), t.try_cast("double"))
+            .when(t == "", F.lit(0.0))
+            .when(t.rlike(_RARE_NUMBER), F.call_function("conv", F.substring(t, 3, 100), base, F.lit(10)).try_cast("double"))
+            .when(t.rlike(r"^[+-]?Infinity$"), F.when(t.startswith("-"), float("-inf")).otherwise(float("inf")))
+            .otherwise(F.lit(float("nan")))
+        )
+
+    return _let(js_trim(text), read)
 
-    def radix(prefix: str, digits: str, base: int):
-        return t.rlike(f"^0[{prefix}][{digits}]+$"), F.conv(F.substring(t, 3, 100), base, 10).cast("double")
 
-    hex_hit, hex_value = radix("xX", "0-9a-fA-F", 16)
-    oct_hit, oct_value = radix("oO", "0-7", 8)
-    bin_hit, bin_value = radix("bB", "01", 2)
+def number_of_text(text: Column) -> Column:
+    """Number form of a string; NaN when it does not read as one."""
     return (
-        F.when(text.isNull(), F.lit(float("nan")))
-        .when(t.rlike(_PLAIN_NUMBER), t.try_cast("double"))
-        .when(t == "", F.lit(0.0))
-        .when(hex_hit, hex_value)
-        .when(oct_hit, oct_value)
-        .when(bin_hit, bin_value)
-        .when(t.isin("Infinity", "+Infinity"), F.lit(float("inf")))
-        .when(t == "-Infinity", F.lit(float("-inf")))
-        .otherwise(F.lit(float("nan")))
+        F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("double"))
+        .when(text.isNull(), F.lit(float("nan")))
+        .otherwise(_number_of_odd_text(text))
     )
 
 
@@ -94,40 +107,59 @@ def _joined(v: Column, depth: int = 1) -> Column:
     return F.array_join(F.transform(items, lambda x: _element_text(x, depth)), ",")
 
 
-def text_of_variant(v: Column) -> Column:
-    """``String(v)``: ``undefined`` when missing, ``null`` for JSON null, arrays comma-joined."""
+def _full_text(v: Column) -> Column:
     json = F.to_json(v)
+    return F.when(json.startswith("["), _joined(v)).otherwise(_scalar_text(v, json))
+
+
+def text_of_variant(v: Column, plain: Column | None = None, missing: str = "undefined", null: str = "null") -> Column:
+    """``String(v)``: ``undefined`` when missing, ``null`` for JSON null, arrays comma-joined.
+
+    ``plain`` is the value as Spark casts it to a string, which already is the answer for strings,
+    booleans and most numbers.
+    """
+    plain = F.try_variant_get(v, "$", "string") if plain is None else plain
+    absent = F.lit(missing) if missing == null else F.when(v.isNull(), F.lit(missing)).otherwise(F.lit(null))
     return (
-        F.when(v.isNull(), F.lit("undefined"))
-        .when(json.startswith("["), _joined(v))
-        .otherwise(_scalar_text(v, json))
+        F.when(plain.isNull(), absent).when(plain.rlike(_SPECIAL_TEXT), _let(v, _full_text)).otherwise(plain)
     )
 
 
-def number_of_variant(v: Column) -> Column:
-    """``Number(v)``: NaN when missing, 0 for JSON null, booleans 1 and 0."""
+def _odd_number(v: Column) -> Column:
     json = F.to_json(v)
     head = F.substring(json, 1, 1)
+    # an array reads as its only element, whatever the nesting
+    inner = F.regexp_replace(F.regexp_replace(json, r'^\[+"?|"?\]+$', ""), r"^null$", "")
+    text = (
+        F.when(head == '"', F.try_variant_get(v, "$", "string"))
+        .when(head == "[", inner)
+        .when(head == "n", F.lit(""))
+        .when(head == "t", F.lit("1"))
+        .when(head == "f", F.lit("0"))
+        .otherwise(json)
+    )
+    return _number_of_odd_text(text)
+
+
+def number_of_variant(v: Column, plain: Column | None = None) -> Column:
+    """``Number(v)``: NaN when missing, 0 for JSON null, booleans 1 and 0."""
+    plain = F.try_variant_get(v, "$", "string") if plain is None else plain
     return (
-        F.when(v.isNull(), F.lit(float("nan")))
-        .when(head == "n", F.lit(0.0))
-        .when(head == '"', number_of_text(F.try_variant_get(v, "$", "string")))
-        .when(head == "t", F.lit(1.0))
-        .when(head == "f", F.lit(0.0))
-        .when(head == "[", number_of_text(_joined(v)))
-        .when(head == "{", F.lit(float("nan")))
-        .otherwise(json.try_cast("double"))
+        F.when(plain.rlike(_PLAIN_NUMBER), plain.try_cast("double"))
+        .when(v.isNull(), F.lit(float("nan")))
+        .otherwise(_let(v, _odd_number))
     )
 
 
 def strict_number_of_variant(v: Column) -> Column:
     """Numbers and numeric strings only; null for every other kind of value."""
-    json = F.to_json(v)
-    head = F.substring(json, 1, 1)
-    value = F.when(head == '"', number_of_text(F.try_variant_get(v, "$", "string"))).when(
-        ~head.isin("n", "t", "f", "[", "{"), json.try_cast("double")
-    )
-    return F.when(~F.isnan(value), value)
+    plain = F.try_variant_get(v, "$", "string")
+
+    def odd(x: Column) -> Column:
+        text = F.when(F.to_json(x).startswith('"'), F.try_variant_get(x, "$", "string"))
+        return F.when(text.isNotNull(), F.nanvl(_number_of_odd_text(text), F.lit(None).cast("double")))
+
+    return F.when(plain.rlike(_PLAIN_NUMBER), plain.try_cast("double")).when(plain.isNotNull(), _let(v, odd))
 
 
 def object_map(v: Column) -> Column:
@@ -139,21 +171,40 @@ def _quoted(segment: str) -> str:
     return "['" + segment.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def variant_at(root: Column, path: str) -> Column:
-    """Walk a dotted path; a numeric segment also indexes arrays, ``length`` also sizes them."""
-    cur = root
-    for segment in path.split("."):
+def _is_index(segment: str) -> bool:
+    return segment.isascii() and segment.isdigit() and str(int(segment)) == segment and int(segment) < 2**31
+
+
+def _walk(root: Column, path: str, kind: str) -> Column:
+    cur, run = root, ""
+    segments = path.split(".")
+    for i, segment in enumerate(segments):
+        if not _is_index(segment) and segment != "length":
+            run += _quoted(segment)
+            continue
+        if run:
+            cur, run = F.try_variant_get(cur, "$" + run, "variant"), ""
         keyed = F.try_variant_get(cur, "$" + _quoted(segment), "variant")
-        if segment.isascii() and segment.isdigit() and str(int(segment)) == segment and int(segment) < 2**31:
-            keyed = F.coalesce(keyed, F.try_variant_get(cur, f"$[{segment}]", "variant"))
-        elif segment == "length":
+        if segment == "length":
             items = F.try_variant_get(cur, "$", "array<variant>")
-            keyed = F.coalesce(keyed, F.parse_json(F.size(items).cast("string")))
-            keyed = F.when(items.isNotNull() | F.to_json(cur).startswith("{"), keyed)
-        cur = keyed
+            cur = F.when(items.isNotNull(), F.parse_json(F.size(items).cast("string"))).otherwise(keyed)
+        else:
+            cur = F.coalesce(keyed, F.try_variant_get(cur, f"$[{segment}]", "variant"))
+    if run or kind != "variant":
+        cur = F.try_variant_get(cur, "$" + run, kind)
     return cur
 
 
+def variant_at(root: Column, path: str) -> Column:
+    """Walk a dotted path; a numeric segment also indexes arrays, ``length`` also sizes them."""
+    return _walk(root, path, "variant")
+
+
+def string_at(root: Column, path: str) -> Column:
+    """The value at a path as Spark casts it to a string, in one step from the payload."""
+    return _walk(root, path, "string")
+
+
 # Keys that name a column of the event and shadow the payload.
 TEXT_COLUMNS = ("level", "source", "branch", "msg", "raw")
 NUMBER_COLUMNS = {"ts": "ts", "timestamp": "ts", "id": "id"}
@@ -177,29 +228,29 @@ def has_stack(fields: Column) -> Column:
 
 @dataclass(frozen=True)
 class Value:
-    """One looked-up value: its Column and which of text, number, flag or variant it is."""
+    """One looked-up value: its Column, which of text, number, flag or variant it is, and its cast."""
 
     kind: str
     col: Column
+    plain: Column | None = None
 
     def text(self) -> Column:
         if self.kind == "variant":
-            return text_of_variant(self.col)
+            return text_of_variant(self.col, self.plain)
         return F.coalesce(self.col.cast("string"), F.lit("undefined"))
 
     def text_or_empty(self) -> Column:
         """Text form with missing and null reading as the empty string."""
         if self.kind == "variant":
-            json = F.to_json(self.col)
-            return F.when(self.col.isNull() | (json == "null"), F.lit("")).otherwise(text_of_variant(self.col))
+            return text_of_variant(self.col, self.plain, "", "")
         return F.coalesce(self.col.cast("string"), F.lit(""))
 
     def number(self) -> Column:
         if self.kind == "variant":
-            return number_of_variant(self.col)
+            return number_of_variant(self.col, self.plain)
         if self.kind == "text":
             return number_of_text(self.col)
-        return self.col.cast("double")
+        return self.col.cast("int" if self.kind == "flag" else "double").cast("double")
 
 
 def lookup_path(key: str, pinned: Column | None = None, relevant: Column | None = None) -> Value:
@@ -214,4 +265,4 @@ def lookup_path(key: str, pinned: Column | None = None, relevant: Column | None
         return Value("flag", pinned if pinned is not None else F.lit(False))
     if key == "relevant":
         return Value("flag", relevant if relevant is not None else F.lit(False))
-    return Value("variant", variant_at(F.col("fields"), key))
+    return Value("variant", variant_at(F.col("fields"), key), string_at(F.col("fields"), key))

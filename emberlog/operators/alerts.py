@@ -116,6 +116,7 @@ def alert_fires(
     schema = "id bigint, alert_id string, ts bigint, suppressed bigint, title string, body string"
     if not notifying:
         return spark.createDataFrame([], schema)
+    matches = stage_table(matches.select("id", "ts", "msg", "raw", "alert_ids"))
     number = F.try_element_at(F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)]), F.col("alert_id"))
     hits = (
         matches.select("id", "ts", F.posexplode("alert_ids").alias("ord", "alert_id"))

@@ -290,7 +290,7 @@ def percentile_stops(events: DataFrame, paths: list[str] | None = None) -> DataF
     leaves = flatten_fields(events)
     if paths is not None:
         leaves = leaves.filter(F.col("path").isin(*paths))
-    numbers = leaves.select("path", strict_number_of_variant(F.col("v")).alias("v")).filter("v is not null")
+    numbers = leaves.select("path", strict_number_of_variant(F.col("v")).alias("v"))
     stops = exact_percentiles(numbers, ["path"], list(PERCENT_STOPS))
     return stops.filter(F.col("n") >= MIN_NUMBERS)
 

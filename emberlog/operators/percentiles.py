@@ -37,10 +37,10 @@ def _holder(counted: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def exact_percentiles(values: DataFrame, keys: list[str], percents: list[float]) -> DataFrame:
-    """``keys…, p, n, value`` of the non-null doubles in column ``v``, for each key and percent."""
+    """``keys…, p, n, value`` of the doubles in column ``v`` (nulls do not count), for each key and percent."""
     bins = values.groupBy(*keys, _log_bin(F.col("v")).alias("_bin")).agg(
         F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
+    ).filter("_bin is not null")
     total = Window.partitionBy(*keys)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in percents]))
     counted = bins.withColumn("n", F.sum("c").over(total)).select("*", wanted.alias("p"))

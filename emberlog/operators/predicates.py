@@ -57,19 +57,18 @@ def match_exact(key: str, value: str, **flags) -> Column:
 
 def match_compare(key: str, op: str, number: float, **flags) -> Column:
     """``key:>N`` and the like on the number form; a value that is no number never matches."""
+    if number != number:
+        return F.lit(False)
     if key in NUMBER_COLUMNS:
         # the bare column against a whole literal can be pushed into the scan
         left = F.col(NUMBER_COLUMNS[key])
         right = F.lit(int(number)) if float(number).is_integer() and abs(number) < 2**62 else F.lit(float(number))
-        safe = left
     else:
-        left = lookup_path(key, **flags).number()
-        right, safe = F.lit(float(number)), None
-    if number != number:
-        return F.lit(False)
+        # Spark orders NaN above every number, so it must not reach > and >=
+        left = F.nanvl(lookup_path(key, **flags).number(), F.lit(None).cast("double"))
+        right = F.lit(float(number))
     result = {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]
-    # Spark orders NaN above every number, so it has to be ruled out
-    return result if safe is not None else _sure(~F.isnan(left) & result)
+    return result if key in NUMBER_COLUMNS else _sure(result)
 
 
 def match_regex(key: str, pattern: str, **flags) -> Column:
@@ -172,8 +171,8 @@ def percentile_thresholds(df: DataFrame, wanted: Iterable[tuple[str, float]]) ->
             raise ValueError(f"percentile expects 0..100, got {p}")
         by_key.setdefault(key, []).append(p)
     for key, percents in by_key.items():
-        value = lookup_path(key).number()
-        values = df.select(F.when(~F.isnan(value), value).alias("v")).filter("v is not null")
+        value = F.nanvl(lookup_path(key).number(), F.lit(None).cast("double"))
+        values = df.select(value.alias("v"))
         found = {r["p"]: r["value"] for r in exact_percentiles(values, [], sorted(set(percents))).collect()}
         out.update({(key, p): found.get(float(p), 0.0) for p in percents})
     return out
