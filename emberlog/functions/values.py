@@ -266,3 +266,13 @@ def lookup_path(key: str, pinned: Column | None = None, relevant: Column | None
     if key == "relevant":
         return Value("flag", relevant if relevant is not None else F.lit(False))
     return Value("variant", variant_at(F.col("fields"), key), string_at(F.col("fields"), key))
+
+
+def once(df, columns: dict[str, Column]):
+    """Add or replace columns that later steps read as results, not as expressions.
+
+    A filter on an ordinary computed column is pushed below it with the expression copied in, which
+    for long expressions costs far more than it saves. A generated column stays where it is.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)

@@ -17,7 +17,7 @@ from emberlog.functions.jsonlift import (
     tag_under,
 )
 from emberlog.functions.rule_table import FRAME_SHAPES
-from emberlog.functions.values import variant_at
+from emberlog.functions.values import once, variant_at
 
 EVENT_COLUMNS = ("id", "ts", "source", "branch", "level", "msg", "raw", "fields")
 
@@ -70,12 +70,13 @@ def parse_event(df: DataFrame, raw: str = "line") -> DataFrame:
         "_obj",
         F.when(F.col("_inner").isNotNull(), merge_objects(F.col("_obj"), F.col("_inner"))).otherwise(F.col("_obj")),
     )
-    opened = opened.withColumn("_obj", tag_under(F.col("_obj"), F.col("_tag")))
+    opened = once(opened, {"_obj": tag_under(F.col("_obj"), F.col("_tag"))})
 
     obj = F.col("_obj")
     first_level = F.coalesce(*[variant_at(obj, k) for k in LEVEL_KEYS])
-    first_msg = F.coalesce(variant_at(obj, "msg"), variant_at(obj, "message"))
     opened = opened.withColumn("_level", first_level).withColumn("_plain", L.strip_ansi(line))
+    opened = opened.withColumn("_first_msg", F.coalesce(variant_at(obj, "msg"), variant_at(obj, "message")))
+    first_msg = F.col("_first_msg")
     opened = opened.withColumn(
         "_msg",
         F.when(
@@ -104,9 +105,8 @@ def parse_event(df: DataFrame, raw: str = "line") -> DataFrame:
         ),
     ).otherwise(F.coalesce(F.col("_words"), L.level_from_ansi(line), F.lit("info")))
     keep = [c for c in df.columns if c not in (raw, "level", "msg", "raw", "fields")]
-    return opened.select(
-        *keep, level.alias("level"), F.col("_msg").alias("msg"), line.alias("raw"), obj.alias("fields")
-    )
+    done = once(opened, {"level": level, "msg": F.col("_msg")})
+    return done.select(*keep, "level", "msg", line.alias("raw"), obj.alias("fields"))
 
 
 def source_format_verdict(lines: DataFrame, raw: str = "line", window_lines: int = 20) -> DataFrame:
@@ -135,7 +135,7 @@ def source_format_verdict(lines: DataFrame, raw: str = "line", window_lines: int
 def drop_blank_events(events: DataFrame) -> DataFrame:
     """Drop events without message, payload and raw text."""
 
-    def blank(c: str) -> Column:
-        return ~F.col(c).rlike(r"(?U)\S")
+    def blank(c: Column) -> Column:
+        return ~c.rlike(r"(?U)\S")
 
-    return events.filter(~(blank("msg") & F.col("fields").isNull() & blank("raw")))
+    return events.filter(~(blank(F.col("raw")) & F.col("fields").isNull() & blank(F.col("msg"))))

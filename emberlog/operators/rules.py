@@ -12,7 +12,7 @@ from emberlog.functions.dialect import compiles, ecma, group_numbers, linear
 from emberlog.functions.jsonlift import text_variant
 from emberlog.functions.levels import level_from_rule
 from emberlog.functions.rule_table import BUILTIN_RULES
-from emberlog.functions.values import object_map
+from emberlog.functions.values import object_map, once
 
 _SLOT = re.compile(r"\$\{(\w+)\}")
 
@@ -121,4 +121,5 @@ def apply_parse_rules(events: DataFrame, rules: Iterable[dict] = BUILTIN_RULES)
     fields = F.when(
         F.col("_any") & F.col("_map").isNotNull(), F.to_variant_object(mirrored)
     ).otherwise(F.col("fields"))
-    return df.withColumn("fields", fields).select(*columns)
+    done = once(df, {"fields": fields, **{c: F.col(c) for c in ("source", "level", "msg")}})
+    return done.select(*columns)
