@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.logcalls import log_calls
 from emberlog.operators.carry import running_max
 from emberlog.operators.grams import rarest_gram, text_grams
+from emberlog.session import materialise_small
 
 # File extensions per language, skipped folders, largest file looked at.
 LANGUAGES = {
@@ -243,10 +244,14 @@ def module_ids(files: DataFrame) -> DataFrame:
 def expand_barrels(origins: DataFrame, reexports: DataFrame) -> DataFrame:
     """(root, module, origin) grown through files that re-export a module, at most three rounds."""
     hand_on = reexports.select("root", "module", module_id(F.col("path")).alias("_own")).filter("_own is not null")
-    grown = origins
+    hand_on = materialise_small(hand_on.distinct())
+    grown = materialise_small(origins.select("root", "module", "origin").distinct())
     for _ in range(BARREL_ROUNDS):
         more = grown.join(hand_on, ["root", "module"]).select("root", F.col("_own").alias("module"), "origin")
-        grown = grown.unionByName(more).distinct()
+        fresh = materialise_small(more.distinct().join(grown, ["root", "module", "origin"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        grown = grown.unionByName(fresh)
     return grown
 
 
@@ -259,7 +264,7 @@ def relevance_patterns(files: DataFrame, diffs: DataFrame, roots: DataFrame) ->
     Direct patterns are calls in touched files; indirect ones are calls in files that import a
     touched module, straight or through a re-exporting file.
     """
-    touched = touched_files(diffs)
+    touched = materialise_small(touched_files(diffs))
     calls = log_template(mine_log_calls(files)).withColumnRenamed("path", "rel_path")
     origins = touched.select("root", module_id(F.col("path")).alias("module"), F.col("path").alias("origin"))
     origins = expand_barrels(origins.filter("module is not null"), extract_reexports(files))
@@ -294,6 +299,7 @@ def match_relevance(events: DataFrame, patterns: DataFrame) -> DataFrame:
     tried only on texts that can match, and no pattern set has to fit into one expression.
     """
     key = ["source", "rel_path", "line", "regex", "raw_call", "kind"]
+    patterns = materialise_small(patterns.select(*key, "pieces"))
     lowered = F.transform("pieces", _folded)
     anchors = rarest_gram(patterns, key, lowered)
     texts = events.select(
