@@ -60,8 +60,8 @@ def roots(spark: SparkSession, sf: str) -> DataFrame:
     return sources.filter("source <> 'svc-3'").withColumn("root", F.lit("/app"))
 
 
-def code_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Log events whose messages are those the corpus would print."""
+def with_code_messages(events: DataFrame) -> DataFrame:
+    """Log events (batch or streaming) whose messages are those the corpus would print."""
     u = F.regexp_extract("msg", r"(\d+)$", 1).cast("bigint")
     part = u % 200
     msg = (
@@ -69,12 +69,15 @@ def code_events(spark: SparkSession, sf: str) -> DataFrame:
         .when(part % 3 == 1, _t("java job p", part, " took ", F.col("id"), " seconds"))
         .otherwise(_t("loading widget ", F.col("id"), " from shelf p", part, " ready"))
     )
-    events = log_events(spark, sf)
     plain = F.col("id") % 4 == 0
     return events.withColumn("raw", F.when(F.col("id") % 8 == 1, msg).otherwise(F.col("msg"))).withColumn(
         "msg", F.when(plain | (F.col("id") % 8 == 1), F.col("msg")).otherwise(msg)).drop("fields")
 
 
+def code_events(spark: SparkSession, sf: str) -> DataFrame:
+    return with_code_messages(log_events(spark, sf))
+
+
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
     return R.relevance_patterns(source_files(spark, sf), diff_lines(spark, sf), roots(spark, sf))
 
