@@ -1,0 +1,8 @@
+"""Log analytics as DataFrame operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

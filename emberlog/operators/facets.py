@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from emberlog.functions.values import (
     number_of_text,
     object_map,
+    once,
     strict_number_of_variant,
     text_of_variant,
 )
 from emberlog.operators.percentiles import exact_percentiles
 from emberlog.operators.search import scope_bounds
+from emberlog.session import stage_table
 
 # Keys mirrored by event columns, names of time fields, ranking order, sizes.
 MIRRORED_KEYS = ("level", "source", "branch", "msg", "raw", "ts", "id", "timestamp")
@@ -70,8 +72,15 @@ def leaves_of(fields: Column) -> Column:
 
 
 def flatten_fields(events: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """One row per payload leaf: the kept columns, ``path`` and VARIANT ``v``."""
-    return events.select(*keep, F.explode(leaves_of(F.col("fields"))).alias("_l")).select(*keep, "_l.path", "_l.v")
+    """One row per payload leaf: the kept columns, ``path`` and VARIANT ``v``.
+
+    The top level is exploded as a map; only values that are objects themselves go through the fold.
+    """
+    top = events.select(*keep, F.explode(object_map(F.col("fields"))).alias("_key", "_v"))
+    whole = F.array(F.struct(F.lit("").alias("path"), F.col("_v").alias("v")))
+    rows = top.select(*keep, "_key", F.explode(F.coalesce(leaves_of(F.col("_v")), whole)).alias("_l"))
+    path = F.when(F.col("_l.path") == "", F.col("_key")).otherwise(F.concat("_key", F.lit("."), "_l.path"))
+    return rows.select(*keep, path.alias("path"), F.col("_l.v").alias("v"))
 
 
 def leaf_name(path: Column) -> Column:
@@ -154,7 +163,7 @@ def field_facets(events: DataFrame, null_mode: str = "empty") -> DataFrame:
     ``null_mode="empty"`` counts nulls as the empty text; ``"drop"`` leaves them out of the counts
     but still lets them make a path multi-valued.
     """
-    counts = value_counts(events)
+    counts = stage_table(value_counts(events))
     kept = facet_paths(counts).select("path")
     rows = counts.join(kept, "path")
     if null_mode == "drop":
@@ -220,7 +229,7 @@ def facet_groups(events: DataFrame, null_mode: str = "empty") -> DataFrame:
             .withColumn("value_rank", F.col("value_rank").cast("bigint"))
         )
         fixed = part if fixed is None else fixed.unionByName(part)
-    counts = value_counts(events)
+    counts = stage_table(value_counts(events))
     if null_mode == "drop":
         ranked = rank_facets(counts, max_values=2**31 - 1)  # nulls leave the counts before the cut
         shown = counts.select(F.col("path").alias("key"), "value", (F.col("count") - F.col("nulls")).alias("_c"), "first_id")
@@ -290,8 +299,9 @@ def percentile_stops(events: DataFrame, paths: list[str] | None = None) -> DataF
     leaves = flatten_fields(events)
     if paths is not None:
         leaves = leaves.filter(F.col("path").isin(*paths))
-    numbers = leaves.select("path", strict_number_of_variant(F.col("v")).alias("v"))
-    stops = exact_percentiles(numbers, ["path"], list(PERCENT_STOPS))
+    numbers = once(leaves.select("path", "v"), {"v": strict_number_of_variant(F.col("v"))})
+    # read twice or more below, and far smaller than the payloads it comes from
+    stops = exact_percentiles(stage_table(numbers.filter("v is not null")), ["path"], list(PERCENT_STOPS))
     return stops.filter(F.col("n") >= MIN_NUMBERS)
 
 

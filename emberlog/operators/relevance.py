@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.logcalls import log_calls
 from emberlog.operators.carry import running_max
 from emberlog.operators.grams import rarest_gram, text_grams
-from emberlog.session import materialise_small
+from emberlog.session import materialise_small, small_side
 
 # File extensions per language, skipped folders, largest file looked at.
 LANGUAGES = {
@@ -301,12 +301,13 @@ def match_relevance(events: DataFrame, patterns: DataFrame) -> DataFrame:
     key = ["source", "rel_path", "line", "regex", "raw_call", "kind"]
     patterns = materialise_small(patterns.select(*key, "pieces"))
     lowered = F.transform("pieces", _folded)
-    anchors = rarest_gram(patterns, key, lowered)
+    anchors = small_side(materialise_small(rarest_gram(patterns, key, lowered)))
+    sources = small_side(materialise_small(patterns.select("source").distinct()))
     texts = events.select(
         "id", "source", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("msg").alias("text")),
                                           F.struct(F.lit(1).alias("part"), F.col("raw").alias("text")))).alias("_t")
     ).select("id", "source", "_t.part", "_t.text")
-    texts = texts.join(patterns.select("source").distinct(), "source", "left_semi")
+    texts = texts.join(sources, "source", "left_semi")
     probes = texts.select("*", F.explode(text_grams(_folded(F.col("text")))).alias("gram"))
     pattern = F.concat(F.lit("(?iud)"), F.col("regex"))
     tried = probes.join(anchors, ["source", "gram"]).withColumn("_at", F.regexp_instr("text", pattern))

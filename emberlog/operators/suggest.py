@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import LEVELS
+from emberlog.session import stage_table
 
 # Columns offered as keys, cut-offs and shares of the merged list.
 COLUMN_KEYS = ("msg", "raw", "ts", "level", "source", "branch")
@@ -138,6 +139,7 @@ def suggest(counts: DataFrame, index: DataFrame, text: str, limit: int = DEFAULT
     schema = "rank bigint, kind string, key string, value string, msg string, score double"
     if len(text) < 2:
         return spark.createDataFrame([], schema)
+    counts = stage_table(counts)  # read by keys, values and the cut-off per path
     none = F.lit(None).cast("string")
     keys = suggest_keys(counts, text).orderBy(F.desc("score"), _locale(F.col("key"))).limit(KEY_SHARE)
     keys = keys.select(F.lit("key").alias("kind"), "key", none.alias("value"), none.alias("msg"), "score",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import codesites as S
 from emberlog.operators import relevance as R
+from emberlog.session import spread
 from emberlog.sources.fixtures import log_events, table
 
 ENTRIES: dict = {}
@@ -31,7 +32,7 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
               " took \" + n + \" seconds\");\n    log.debug(n);\n  }\n}\n")
     kind = F.when(k % 3 == 0, "rs").when(k % 3 == 1, "java").otherwise("ts")
     content = F.when(k % 3 == 0, rust).when(k % 3 == 1, java).otherwise(web)
-    parts = table(spark, sf, "part")
+    parts = spread(table(spark, sf, "part"))
     files = parts.select(F.lit("/app").alias("root"), _t("src/p", k, ".", kind).alias("path"), content.alias("content"))
     hubs = parts.filter(k % 10 == 0).select(
         F.lit("/app").alias("root"), _t("src/hub", F.floor(k / 10), "/index.ts").alias("path"),

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from emberlog.operators import facets as A
 from emberlog.operators import suggest as S
 from emberlog.plans.fixture_sql import LOG_EVENTS, with_ctes
-from emberlog.session import spread
-from emberlog.sources.fixtures import as_log_events, log_events, table, with_event_columns
+from emberlog.session import stage_table
+from emberlog.sources.fixtures import log_events
 
 ENTRIES: dict = {}
 
 
 def wide_events(spark: SparkSession, sf: str) -> DataFrame:
-    return as_log_events(with_event_columns(spread(table(spark, sf, "events"))))
+    return log_events(spark, sf)
 
 
 # leaves of the payload; arrays are leaves, their elements are not
@@ -76,7 +76,7 @@ _add("field_facets", lambda s, d: A.field_facets(wide_events(s, d)).select("path
      FACETS + "SELECT path, value, count FROM counts WHERE path IN (SELECT path FROM paths)")
 _add("field_facets_drop_nulls", lambda s, d: A.field_facets(wide_events(s, d), "drop").select("path", "value", "count"),
      FACETS + "SELECT path, value, count - nulls AS count FROM counts WHERE path IN (SELECT path FROM paths) AND count > nulls")
-_add("rank_facets", lambda s, d: A.rank_facets(A.value_counts(wide_events(s, d))),
+_add("rank_facets", lambda s, d: A.rank_facets(stage_table(A.value_counts(wide_events(s, d)))),
      GROUPS + "SELECT key, label, group_rank, value, count, value_rank FROM ranked WHERE value_rank <= 50")
 _add("is_time_dimension", lambda s, d: A.flatten_fields(wide_events(s, d)).groupBy("path").agg(
          F.min_by(F.to_json("v"), "id").alias("first_value")).select("path", A.is_time_dimension(F.col("path"), F.col("first_value")).alias("is_time")),
@@ -135,7 +135,7 @@ SCORES = """, narrow AS (SELECT path FROM counts GROUP BY path HAVING count(*) <
   scored AS (SELECT path AS key, value, ln(1 + count) + 3 + CASE WHEN starts_with(lower(value), '{q}') THEN 10 ELSE 0 END AS score FROM counts
     WHERE path IN (SELECT path FROM narrow) AND contains(lower(value), '{q}')),
   best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, value) AS rn FROM scored) WHERE rn <= 2)"""
-_add("suggest_values", lambda s, d: S.suggest_values(A.value_counts(wide_events(s, d)), "P").withColumn("score", F.round("score", 6)),
+_add("suggest_values", lambda s, d: S.suggest_values(stage_table(A.value_counts(wide_events(s, d))), "P").withColumn("score", F.round("score", 6)),
      FACETS + SCORES.format(q="p") + " SELECT key, value, round(score, 6) AS score FROM best")
 _add("suggest_messages", lambda s, d: S.suggest_messages(S.trigram_index(log_events(s, d)), "error by user 2").withColumn("score", F.round("score", 6)),
      with_ctes(LOG_EVENTS) + """SELECT msg, round(ln(1 + count(*)) + CASE WHEN starts_with(msg, 'error by user 2') THEN 6 ELSE 2 END, 6) AS score

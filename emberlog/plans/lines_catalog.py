@@ -27,17 +27,15 @@ from emberlog.plans.fixture_sql import (
     rules_ctes,
     with_ctes,
 )
-from emberlog.session import spread
 from emberlog.sources import export as X
 from emberlog.sources import lines as S
-from emberlog.sources.fixtures import line_shapes, log_events, prose_lines, table
+from emberlog.sources.fixtures import log_events, prose_lines, raw_lines, table
 
 ENTRIES: dict = {}
 IDLE = 150
 
 
-def wide_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return line_shapes(spread(table(spark, sf, "events")))
+wide_lines = raw_lines
 
 
 def _add(name: str, run, sql: str | None) -> None:

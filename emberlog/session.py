@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONFS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,13 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def materialise_small(df: DataFrame, bound: int = DRIVER_ROW_BOUND) -> DataFrame:
-    """Evaluate a table once: as a local relation when it is small, as a checkpoint when not."""
-    rows = df.limit(bound + 1).collect()
-    if len(rows) <= bound:
+    """Evaluate a table once: as a local relation when it is small, as a checkpoint when not.
+
+    A local relation has a known size, so joins with it are planned on facts.
+    """
+    rows = df.limit(bound + 1).toArrow()
+    if rows.num_rows <= bound:
         return df.sparkSession.createDataFrame(rows, df.schema)
     return cut_lineage(df)
 
 
+def small_side(df: DataFrame, bound: int = DRIVER_ROW_BOUND) -> DataFrame:
+    """Mark an evaluated table as the broadcast side if it has at most ``bound`` rows, else for merging."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df.hint("merge")
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

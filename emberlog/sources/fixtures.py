@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.session import prepare
+from emberlog.functions.values import once
+from emberlog.session import prepare, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,16 +60,14 @@ def with_event_columns(events: DataFrame) -> DataFrame:
 
 
 def as_log_events(viewed: DataFrame) -> DataFrame:
-    """Turn the JSON text payload into ``raw`` and the VARIANT ``fields``."""
-    return viewed.select(
-        "id", "ts", "source", "branch", "level", "msg",
-        F.coalesce("payload", "msg").alias("raw"),
-        F.try_parse_json("payload").alias("fields"),
-    )
+    """Turn the JSON text payload into ``raw`` and the VARIANT ``fields``, parsed once per row."""
+    columns = ("id", "ts", "source", "branch", "level", "msg")
+    named = viewed.select(*columns, F.coalesce("payload", "msg").alias("raw"), "payload")
+    return once(named, {"fields": F.try_parse_json("payload")}).select(*columns, "raw", "fields")
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_log_events(with_event_columns(table(spark, sf_dir, "events")))
+    return as_log_events(with_event_columns(spread(table(spark, sf_dir, "events"))))
 
 
 def line_shapes(events: DataFrame) -> DataFrame:
@@ -121,12 +120,12 @@ def line_shapes(events: DataFrame) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_shapes(table(spark, sf_dir, "events"))
+    return line_shapes(spread(table(spark, sf_dir, "events")))
 
 
 def prose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents.text`` as log lines: source, seq and line, in document and line order."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "source", F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).select("source", F.lit("").alias("branch"), (F.col("doc_id") * 100000 + F.col("pos")).alias("seq"), "line")
