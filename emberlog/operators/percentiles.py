@@ -24,8 +24,10 @@ def rank_of_percent(percent: Column, count: Column) -> Column:
 
 def _log_bin(v: Column) -> Column:
     """Order-preserving bin number, at most about 131,000 different ones."""
-    bounded = F.least(F.abs(v), F.lit(1.7e308))
-    return (F.signum(v) * F.floor(F.log2(bounded + 1) * 64)).cast("int")
+    size = F.abs(v)
+    # an infinite value gets a bin of its own, so every bin has a finite width
+    step = F.when(size == float("inf"), F.lit(100_000)).otherwise(F.floor(F.log2(size + 1) * 64))
+    return (F.signum(v) * step).cast("int")
 
 
 def _holder(counted: DataFrame, keys: list[str], by: str) -> DataFrame:

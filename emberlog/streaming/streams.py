@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,10 +58,11 @@ def stream_events(lines: DataFrame) -> DataFrame:
 
 
 class GroupedStream:
-    """Line groups over micro-batches: every group but each source's last is final.
+    """Line groups over micro-batches: every group but each source's last two is final.
 
-    The lines of the last, still open groups are carried to the next batch; they are bounded by the
-    size caps of a group. Because grouping starts afresh at a group head, carrying whole groups is
+    The last record of a source may be cut by the batch border; once complete it can turn out to
+    continue the group before it. So the lines of the last two groups are carried to the next batch;
+    they are bounded by the size caps of a group. Because grouping starts afresh at a group head, carrying whole groups is
     exact, and a hot source is split by the batch operators like in a batch run.
     """
 
@@ -78,7 +79,9 @@ class GroupedStream:
             work = work.unionByName(self.spark.read.schema(batch.schema).parquet(self._carry(number - 1)))
         work = stage_table(work)
         groups = stage_table(self.group(work))
-        last = groups.groupBy("source").agg(F.max("seq").alias("_last"))
+        newest = Window.partitionBy("source").orderBy(F.desc("seq"))  # top two: limited before the shuffle
+        tail = groups.select("source", "seq", F.row_number().over(newest).alias("_rn")).filter("_rn <= 2")
+        last = tail.groupBy("source").agg(F.min("seq").alias("_last"))
         groups.join(last, "source").filter("seq < _last").drop("_last").write.mode("overwrite").parquet(
             f"{self.out}/rows/part={number}"
         )
