@@ -28,12 +28,15 @@ def run_chain(
     next_start: Callable[[pd.DataFrame], np.ndarray],
     bound: int,
     chunk_lines: int = CHUNK_LINES,
+    emit: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame] | None = None,
+    emit_schema: str | None = None,
 ) -> DataFrame:
     """Add ``pos`` (rank inside the key) and ``start`` (``pos`` of the chain start of the row).
 
     ``next_start(rows)`` gives, for every row index taken as a fresh start, the index of the next
     fresh start, at most ``bound`` rows on. ``df`` should hold only what that function and the
-    caller need.
+    caller need. With ``emit`` the result is instead what it makes of the rows and the (start, end)
+    row ranges of each chunk: a range lies wholly in the rows of one task.
     """
     if chunk_lines < bound:
         raise ValueError("a chunk must be at least as long as the look-ahead")
@@ -88,6 +91,12 @@ def run_chain(
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         i = int(rows["entry"].iloc[0])
         rows, nxt, own = hops(rows)
+        if emit is not None:
+            ranges = []
+            while i < own:
+                ranges.append((i, int(nxt[i])))
+                i = int(nxt[i])
+            return emit(rows, ranges)
         start = np.full(len(rows), -1, dtype=np.int64)
         pos = rows["pos"].to_numpy()
         while i < own:
@@ -97,4 +106,4 @@ def run_chain(
         return out[out["start"] >= 0]
 
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema)
-    return shared.groupBy(*keys, "chunk").applyInPandas(walk, f"{out_schema}, start bigint")
+    return shared.groupBy(*keys, "chunk").applyInPandas(walk, emit_schema or f"{out_schema}, start bigint")

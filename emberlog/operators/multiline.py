@@ -43,27 +43,60 @@ def opens_record(line: Column) -> Column:
     return line.rlike(r"(?U)\A\s*[{\[]") & (open_string | (opens > closes))
 
 
-def _next_start(rows: pd.DataFrame, max_lines: int, max_bytes: int) -> np.ndarray:
+def _pauses(rows: pd.DataFrame, idle_ms: int | None) -> np.ndarray:
+    """Whether the producer paused before a line. The first row's answer is never asked for."""
+    pause = np.zeros(len(rows), dtype=bool)
+    if idle_ms is not None and "arrival_ms" in rows:
+        pause[1:] = np.diff(rows["arrival_ms"].to_numpy()) > idle_ms
+    return pause
+
+
+def _next_start(rows: pd.DataFrame, max_lines: int, max_bytes: int, idle_ms: int | None) -> np.ndarray:
     """Index of the next fresh line, for every line taken as a fresh one."""
     n = len(rows)
     nxt = np.arange(1, n + 1, dtype=np.int64)
     lines = rows["line"].to_numpy()
-    gap = rows["gap"].to_numpy()
+    pause = _pauses(rows, idle_ms)
     for i in np.flatnonzero(rows["opener"].to_numpy()):
-        depth, in_string, escape = scan_brackets(lines[i], 0, False, False)
+        state = scan_brackets(lines[i], 0, False, False)
         size, j = len(lines[i].encode()), i + 1
-        while j < n and not gap[j]:
-            depth, in_string, escape = scan_brackets(lines[j], depth, in_string, escape)
+        while j < n and not pause[j]:
+            state = scan_brackets(lines[j], *state)
             size += 1 + len(lines[j].encode())
             j += 1
-            if depth <= 0 and not in_string:
-                break
-            if j - i >= max_lines or size >= max_bytes:
+            closed = state[0] <= 0 and not state[1]
+            if closed or j - i >= max_lines or size >= max_bytes:
                 break
         nxt[i] = j
     return nxt
 
 
+def _records(
+    rows: pd.DataFrame, ranges: list[tuple[int, int]], columns: list[str], max_lines: int, max_bytes: int
+) -> pd.DataFrame:
+    """One row per record, its lines joined; a record that hit a cap while open stays split."""
+    lines = rows["line"].to_numpy()
+    first, last, texts = [], [], []
+    for i, j in ranges:
+        text = lines[i] if j - i == 1 else "\n".join(lines[i:j])
+        if j - i >= max_lines or (j - i > 1 and len(text.encode()) >= max_bytes):
+            state = (0, False, False)
+            for line in lines[i:j]:
+                state = scan_brackets(line, *state)
+            if state[0] > 0 or state[1]:
+                first += range(i, j)
+                last += range(i, j)
+                texts += list(lines[i:j])
+                continue
+        first.append(i)
+        last.append(j - 1)
+        texts.append(text)
+    out = rows.iloc[first][columns].assign(line=texts)
+    if "arrival_ms" in columns:
+        out["last_arrival_ms"] = rows["arrival_ms"].to_numpy()[last]
+    return out
+
+
 def join_multiline_json(
     lines: DataFrame,
     idle_ms: int | None = None,
@@ -85,38 +118,20 @@ def join_multiline_json(
     if "arrival_ms" in columns:
         plain = plain.withColumn("last_arrival_ms", F.col("arrival_ms"))
     work = marked.filter(F.col("_any")).drop("_any")
-    work = with_gap(work, idle_ms)
 
     def step(rows: pd.DataFrame) -> np.ndarray:
-        return _next_start(rows, max_lines, max_bytes)
+        return _next_start(rows, max_lines, max_bytes, idle_ms)
+
+    def emit(rows: pd.DataFrame, ranges: list[tuple[int, int]]) -> pd.DataFrame:
+        return _records(rows, ranges, columns, max_lines, max_bytes)
 
-    grouped = run_chain(work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines))
-    head_values = [c for c in columns if c not in ("source", "seq", "line")]
-    aggregates = [F.min_by(c, "pos").alias(c) for c in head_values]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
     if "arrival_ms" in columns:
-        aggregates.append(F.max_by("arrival_ms", "pos").alias("last_arrival_ms"))
-    records = grouped.groupBy("source", "start").agg(
-        F.min("seq").alias("seq"),
-        *aggregates,
-        F.sort_array(F.collect_list(F.struct("pos", "seq", "line"))).alias("_parts"),
-    )
-    text = F.array_join(F.transform("_parts", lambda p: p["line"]), "\n")
-    count = F.size("_parts")
-    # closed before the cap, or the input ended: joined; the cap was reached while open: split again
-    records = records.withColumn("_text", text).withColumn(
-        "_split",
-        (count > 1)
-        & ((count >= max_lines) | (F.octet_length("_text") >= max_bytes))
-        & opens_record(F.col("_text")),
-    )
-    pieces = F.when(F.col("_split"), F.transform("_parts", lambda p: F.struct(p["seq"], p["line"]))).otherwise(
-        F.array(F.struct(F.col("seq"), F.col("_text").alias("line")))
-    )
-    extra = ["last_arrival_ms"] if "arrival_ms" in columns else []
-    joined = records.select("source", *head_values, *extra, F.explode(pieces).alias("_p")).select(
-        "source", *head_values, *extra, F.col("_p.seq").alias("seq"), F.col("_p.line").alias("line")
+        schema += ", last_arrival_ms bigint"
+    joined = run_chain(
+        work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines), emit, schema
     )
-    return joined.select(*columns, *extra).unionByName(plain)
+    return joined.unionByName(plain)
 
 
 def with_gap(df: DataFrame, idle_ms: int | None, chunk_lines: int = CHUNK_LINES) -> DataFrame:
