@@ -4,24 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.common import table
+from emberlog.llm.forest import forest_neighbours
+from emberlog.llm.langid import identify_language
+from emberlog.llm.maxscore import maxscore_top_k
+from emberlog.llm.packing import pack_documents
 from emberlog.llm.sharding import shard_documents
 from emberlog.llm.warc import archive_pages
 
 
+def op3_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_certified_packing": op3_certified_packing,
+    "op5_maxscore": op5_maxscore,
     "op6_minimax_shards": op6_minimax_shards,
+    "op7_string_kernel_language": op7_string_kernel_language,
+    "op8_projection_forest": op8_projection_forest,
     "op9_content_addressed_warc": op9_content_addressed_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_VECTORS = """
+usable AS (
+    SELECT vec_id, embedding AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_maxscore": f"""
+WITH {_VECTORS},
+whole AS (SELECT vec_id, list_transform(v, lambda x: floor(256 * x::DOUBLE)) AS w FROM usable),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5""",
+    "op9_content_addressed_warc": """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hexed,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
+    FROM pages
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hexed, 1 + 10 * (i // 8)::INTEGER, 10))::BIGINT) >> (35 - 5 * (i % 8))::INTEGER) & 31)::INTEGER, 1)), '')
+        AS payload_digest,
+    CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> response THEN response END AS refers_to
+FROM payloads""",
+}
