@@ -1,14 +1,19 @@
 """Content-addressed WARC archive: payload bytes once per digest, exact record headers beside them.
 
-Two tables make an archive: ``payloads`` (SHA-256, bytes), one row per distinct payload, and ``headers`` (the exact
-header block of each record and the SHA-256 it refers to). A record is the header block followed, for a response,
+Two tables make an archive: ``payloads`` (SHA-256, bytes in a zstd frame), one row per distinct payload, and
+``headers`` (the exact header block of each record and the SHA-256 it refers to). A record is the header block followed, for a response,
 by the payload; revisits carry no payload. Reading joins the two and checks both digests again.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,7 +71,7 @@ def write_archive(pages: DataFrame, where: str, least_bytes: int = 0) -> None:
     revisit it. A null page_id sorts below all others. Further columns are ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload"))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     known = stage(
         pages.select(
             "page_id",
@@ -93,11 +98,12 @@ def write_archive(pages: DataFrame, where: str, least_bytes: int = 0) -> None:
     records.select(header.alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{where}/headers")
     keepers = first.select(F.col("response_id").alias("keeper"), F.col("sha256").alias("keeper_sha"))
     payloads = (
-        pages.select("page_id", "payload", F.sha2("payload", 256).alias("sha256"))
+        pages.select("page_id", F.sha2("payload", 256).alias("sha256"), "payload")
+        .mapInArrow(_compress, "page_id long, sha256 string, packed binary")
         .join(keepers, F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("sha256") == F.col("keeper_sha")))
         .dropDuplicates(["page_id", "sha256"])
     )
-    payloads.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{where}/payloads")
+    payloads.select("sha256", "packed").write.option("compression", "none").parquet(f"{where}/payloads")
 
 
 def read_headers(spark: SparkSession, where: str) -> DataFrame:
@@ -119,21 +125,42 @@ def read_headers(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each payload in a frame of its own, so that less is shuffled and any record can be read alone."""
+    packer = zstandard.ZstdCompressor(level=5)
+    for batch in batches:
+        packed = [packer.compress(p.as_buffer()) for p in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["page_id", "sha256", "packed"]
+        )
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            payload = unpacker.decompress(packed.as_buffer())
+            if hashlib.sha256(payload).hexdigest() != key:
+                raise ValueError(f"damaged payload {key}")
+            sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            columns = [pa.array([x]) for x in (key, sha1, len(payload), payload)]
+            yield pa.RecordBatch.from_arrays(columns, ["sha256", "stored_sha1", "payload_bytes", "payload"])
+
+
 def verified_payloads(spark: SparkSession, where: str, keep_bytes: bool = True) -> DataFrame:
     """Stored payloads with their digests computed anew; a payload that is not what its key says stops the job."""
-    stored = spark.read.parquet(f"{where}/payloads")
-    checked = stored.withColumn(
-        "sha256",
-        F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(
-            F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256")))
-        ),
-    ).select(
-        "sha256",
-        base32_sha1(F.col("payload")).alias("stored_sha1"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        *(["payload"] if keep_bytes else []),
-    )
-    return checked
+    schema = "sha256 string, stored_sha1 string, payload_bytes long, payload binary"
+    if not keep_bytes:
+        return spark.read.parquet(f"{where}/payloads").mapInArrow(_facts_only, schema.rpartition(",")[0])
+    return spark.read.parquet(f"{where}/payloads").mapInArrow(_verify, schema)
+
+
+def _facts_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_verify` without the payloads themselves, in batches as they came."""
+    for batch in batches:
+        rows = [one.select(["sha256", "stored_sha1", "payload_bytes"]) for one in _verify(iter([batch]))]
+        if rows:
+            yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
 
 
 def read_records(spark: SparkSession, where: str) -> DataFrame:
