@@ -13,9 +13,14 @@ from emberlog.llm.langid import identify_language
 from emberlog.llm.maxscore import maxscore_top_k
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.sharding import shard_documents
+from emberlog.llm.substring import repeat_report
 from emberlog.llm.warc import archive_pages
 
 
+def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +46,7 @@ def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeated_phrases": op2_repeated_phrases,
     "op3_certified_packing": op3_certified_packing,
     "op5_maxscore": op5_maxscore,
     "op6_minimax_shards": op6_minimax_shards,
