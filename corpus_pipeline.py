@@ -4,9 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from emberlog.llm.jaccard import keep_one_of_component
+from emberlog.llm.langid import keep_identified
+from emberlog.llm.packing import pack_documents
+from emberlog.llm.substring import remove_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without letters go."""
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group linked by shingle similarity."""
+    return keep_one_of_component(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document has are cut from the text."""
+    return remove_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents placed in sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeats),
+    ("best_fit_packing", packing),
+]
 
 #: Tokenization and shingle hashing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.common import table
 from emberlog.llm.forest import forest_neighbours
+from emberlog.llm.jaccard import jaccard_components
 from emberlog.llm.langid import identify_language
 from emberlog.llm.maxscore import maxscore_top_k
 from emberlog.llm.packing import pack_documents
@@ -45,6 +46,10 @@ def op9_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_certified_packing": op3_certified_packing,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_string_kernel_language": op7_string_kernel_language,
     "op8_projection_forest": op8_projection_forest,
     "op9_content_addressed_warc": op9_content_addressed_warc,
+    "op10_vertical_jaccard": op10_vertical_jaccard,
 }
 
 _VECTORS = """

@@ -46,3 +46,55 @@ def shuffle_width(spark: SparkSession) -> int:
 def crc_mod(column: Column, divisor: int) -> Column:
     """Fold of a row: crc32 of the id written as text, modulo ``divisor``."""
     return F.crc32(column.cast("string").cast("binary")) % divisor
+
+
+def thinned(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 22) -> DataFrame:
+    """Rows of ``df`` whose key may be among the wanted ones: all that are, and few others.
+
+    A bitmap over hashes of the wanted keys is broadcast, at most ``2**bits / 8`` bytes whatever the tables' sizes; it
+    keeps most rows that a later join would drop from being shuffled. With very many wanted keys it lets all pass.
+    """
+    size, bucket_bits = 1 << bits, 32_768
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(size)) + 1
+    marks = (
+        wanted.select(slot(wanted_key).alias("_slot"))
+        .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    )
+    place = F.col("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("_slot", slot(key)).withColumns(
+        {"_bucket": F.bitmap_bucket_number("_slot"), "_place": F.bitmap_bit_position("_slot")}
+    )
+    hit = marked.join(F.broadcast(marks), "_bucket").filter(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1)
+    return hit.drop("_slot", "_bucket", "_place", "_bits")
+
+
+def components(links: DataFrame, left: str, right: str) -> DataFrame:
+    """Connected components of undirected links: ``node``, and ``component``, the smallest node within reach.
+
+    Every round takes the least label among a node and its neighbours and then the label of that label, so that rounds
+    grow with the logarithm of the longest path about; each round's labels are written and read again.
+    """
+    links = links.select(F.col(left).alias("_a"), F.col(right).alias("_b"))
+    links = stage(links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
+    nearest = links.groupBy("_a").agg(F.min("_b").alias("nearest"))
+    labels = stage(nearest.select(F.col("_a").alias("node"), F.least("_a", "nearest").alias("component")))
+    while True:
+        nearest = (
+            links.join(labels, links["_b"] == labels["node"])
+            .groupBy(F.col("_a").alias("node"))
+            .agg(F.min("component").alias("nearest"))
+        )
+        lower = labels.join(nearest, "node").select(
+            "node", F.least("component", "nearest").alias("component"), F.col("component").alias("before")
+        )
+        above = lower.select(F.col("node").alias("_up"), F.col("component").alias("_further"))
+        lower = stage(
+            lower.join(above, F.col("component") == F.col("_up")).select(
+                "node", F.least("component", "_further").alias("component"), "before"
+            )
+        )
+        labels = lower.select("node", "component")
+        if lower.filter("component <> before").isEmpty():
+            return labels
