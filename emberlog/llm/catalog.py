@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.common import table
+from emberlog.llm.contexttree import score_documents
 from emberlog.llm.forest import forest_neighbours
 from emberlog.llm.jaccard import jaccard_components
 from emberlog.llm.langid import identify_language
@@ -26,6 +27,10 @@ def op3_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +58,7 @@ def op10_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_certified_packing": op3_certified_packing,
+    "op4_context_tree": op4_context_tree,
     "op5_maxscore": op5_maxscore,
     "op6_minimax_shards": op6_minimax_shards,
     "op7_string_kernel_language": op7_string_kernel_language,
