@@ -15,10 +15,15 @@ from emberlog.llm.langid import identify_language
 from emberlog.llm.maxscore import maxscore_top_k
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.sharding import shard_documents
+from emberlog.llm.pieces import sample_segmentations
 from emberlog.llm.substring import repeat_report
 from emberlog.llm.warc import archive_pages
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gumbel_segmentations": op1_gumbel_segmentations,
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_certified_packing": op3_certified_packing,
     "op4_context_tree": op4_context_tree,

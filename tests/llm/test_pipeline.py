@@ -30,5 +30,5 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_registered():
     names = registered.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and "_" in n and n[2].isdigit() for n in names) >= 9
+    assert "pipeline" in names and sum(n.startswith("op") and "_" in n and n[2].isdigit() for n in names) >= 8
     assert set(registered.oracle_sql()) <= set(names)
