@@ -70,8 +70,28 @@ def plain_groups(pattern: str) -> str:
     return _NAMED.sub("(", pattern)
 
 
+# One or more words of a class, joined by a separator, before white space.
+_JOINED_WORDS = re.compile(r"(\[[^\]]+\])\+\(\?:([/.:])\1\+\)\+(?=\)*\\s)")
+
+
+def unrolled(pattern: str) -> str:
+    """Joined words as one run of characters: the JVM's matcher recurses once per repetition of a group.
+
+    ``[c]+(?:/[c]+)+`` before white space holds exactly the runs of class and separator that have a separator, begin
+    and end with the class and have no two separators in a row.
+    """
+
+    def run(m: re.Match) -> str:
+        word, by = m.group(1), m.group(2)
+        both = f"[{by}{word[1:]}"
+        return f"(?!{both}*{re.escape(by)}{{2}}){word}+{re.escape(by)}{both}*{word}"
+
+    return _JOINED_WORDS.sub(run, pattern)
+
+
 def ecma(pattern: str, flags: str = "") -> str:
     """Java spelling of an ECMAScript pattern (names dropped, end anchor and space class fixed)."""
+    pattern = unrolled(pattern)
     marks = "".join(f for f in ("i", "s", "m") if f in flags)
     body = plain_groups(pattern) if "m" in flags else _rewrite(plain_groups(pattern), JS_SPACE)
     return f"(?{marks}{'u' if 'i' in flags else ''}){body}" if marks else body
@@ -79,6 +99,7 @@ def ecma(pattern: str, flags: str = "") -> str:
 
 def linear(pattern: str, flags: str = "") -> str:
     """Java spelling of an RE2-style pattern: Unicode classes, only ``\\n`` ends a line."""
+    pattern = unrolled(pattern)
     marks = "dU" + "".join(f for f in ("i", "s", "m") if f in flags)
     body = plain_groups(pattern) if "m" in flags else _rewrite(plain_groups(pattern), None)
     return f"(?{marks}){body}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,10 +103,18 @@ def level_from_keywords(text: Column) -> Column:
 def level_from_ansi(raw: Column) -> Column:
     """Red text means error, yellow means warn; red wins; null without either."""
 
-    def sgr(codes: str) -> Column:
-        return raw.rlike(rf"\x1B\[(?:\d+;)*(?:{codes})(?:;\d+)*m")
+    # the sequences are cut out whole and their numbers looked at as text: no match recurses per number
+    found = F.regexp_extract_all(raw, F.lit(r"\x1B\[([\d;]*)m"), F.lit(1))
+
+    def sgr(*codes: str) -> Column:
+        def names(numbers: Column) -> Column:
+            listed = F.concat(F.lit(";"), numbers, F.lit(";"))
+            hit = reduce(or_, (F.contains(listed, F.lit(f";{c};")) for c in codes))
+            return hit & ~F.contains(listed, F.lit(";;"))
+
+        return F.contains(raw, F.lit("\x1b[")) & F.exists(found, names)
 
-    return F.when(sgr("31|91"), F.lit("error")).when(sgr("33|93"), F.lit("warn"))
+    return F.when(sgr("31", "91"), F.lit("error")).when(sgr("33", "93"), F.lit("warn"))
 
 
 def strip_ansi(text: Column) -> Column:

@@ -35,13 +35,20 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
+def _number_in_base(text: Column, base: Column) -> Column:
+    """Value of the digits behind a two-character prefix, as a double, whatever their number."""
+    digits = F.split(text.substr(F.lit(3), F.char_length(text)), "")
+    value = lambda d: F.instr(F.lit("0123456789abcdef"), d) - 1
+    return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0.0), lambda acc, d: acc * base + value(d))
+
+
 def _number_of_odd_text(text: Column) -> Column:
     def read(t: Column) -> Column:
         base = F.when(F.lower(F.substring(t, 2, 1)) == "x", 16).when(F.lower(F.substring(t, 2, 1)) == "o", 8).otherwise(2)
         return (
             F.when(t.rlike(_PLAIN_NUMBER), t.try_cast("double"))
             .when(t == "", F.lit(0.0))
-            .when(t.rlike(_RARE_NUMBER), F.call_function("conv", F.substring(t, 3, 100), base, F.lit(10)).try_cast("double"))
+            .when(t.rlike(_RARE_NUMBER), _number_in_base(F.lower(t), base))
             .when(t.rlike(r"^[+-]?Infinity$"), F.when(t.startswith("-"), float("-inf")).otherwise(float("inf")))
             .otherwise(F.lit(float("nan")))
         )
@@ -93,18 +100,36 @@ def _scalar_text(v: Column, json: Column) -> Column:
     )
 
 
-def _element_text(v: Column, depth: int) -> Column:
-    """Text of an array element: null counts as empty, inner arrays are joined again."""
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _element_text(v: Column) -> Column:
+    """Text of an array element that is no array; null counts as empty."""
+    json = F.to_json(v)
+    return F.when(v.isNull() | (json == "null"), F.lit("")).otherwise(_scalar_text(v, json))
+
+
+def _joined(v: Column) -> Column:
+    """Comma-joined text of an array; inner arrays are joined in place, an empty one is an empty text.
+
+    A fold opens one level of arrays per step. The number of opening brackets in the JSON text bounds the depth, so
+    none is cut off.
+    """
     json = F.to_json(v)
-    inner = _scalar_text(v, json)
-    if depth:
-        inner = F.when(json.startswith("["), _joined(v, depth - 1)).otherwise(inner)
-    return F.when(v.isNull() | (json == "null"), F.lit("")).otherwise(inner)
+    levels = F.char_length(json) - F.char_length(F.replace(json, F.lit("["), F.lit(""))) - 1
+    nothing = F.array(F.lit(None).cast("variant"))
+
+    def opened(items: Column, _: Column) -> Column:
+        def inner(x: Column) -> Column:
+            held = _items(x)
+            return F.when(held.isNull(), F.array(x)).when(F.size(held) == 0, nothing).otherwise(held)
 
+        return F.flatten(F.transform(items, inner))
 
-def _joined(v: Column, depth: int = 1) -> Column:
-    items = F.try_variant_get(v, "$", "array<variant>")
-    return F.array_join(F.transform(items, lambda x: _element_text(x, depth)), ",")
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    leaves = F.aggregate(steps, _items(v), opened)
+    return F.array_join(F.transform(leaves, _element_text), ",")
 
 
 def _full_text(v: Column) -> Column:

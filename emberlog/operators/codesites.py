@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.grams import grams, rarest_gram
-from emberlog.operators.relevance import MAX_FILE_BYTES, in_skipped_folder
+from emberlog.operators.relevance import in_skipped_folder
 
-# Least needle length, searched extensions, most context lines.
+# Least needle length, searched extensions.
 MIN_NEEDLE_BYTES = 8
 EXTENSIONS = (
     "rs", "go", "py", "js", "ts", "jsx", "tsx", "java", "kt", "rb", "c", "cc", "cpp", "h", "hpp", "swift", "scala",
     "php", "cs", "ex", "exs", "elm", "lua", "sh", "bash", "zsh",
 )
-MAX_CONTEXT = 20
 
 _CUT = "\x01"
+# Stand for an escaped backslash and an escaped quote.
+_BACKSLASHES, _QUOTE = "\x02", "\x03"
 _DYNAMIC = r"(?U)(?<!\S)(?:\S*[0-9/\\]\S*|[0-9a-fA-F]{8,})(?!\S)"
 _EDGE = r"\A[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+\z"
 
@@ -41,19 +44,31 @@ def code_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def _restored(quote: str) -> Callable[[Column], Column]:
+    def restored(x: Column) -> Column:
+        return F.replace(F.replace(x, F.lit(_QUOTE), F.lit("\\" + quote)), F.lit(_BACKSLASHES), F.lit("\\\\"))
+
+    return restored
+
+
 def string_literals(lines: DataFrame) -> DataFrame:
-    """(root, path, line, literal): quoted texts of each line, each quote character on its own."""
+    """(root, path, line, literal): quoted texts of each line, each quote character on its own.
+
+    Escaped backslashes and quotes are set aside first, so that a literal is a plain run between two quotes and a
+    line of any length is read in one pass.
+    """
     found = []
     for q in ('"', "'", "`"):
-        pattern = rf"(?:\\.|[^{q}\\])*?{q}((?:\\.|[^{q}\\])*){q}"
-        found.append(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+        aside = F.replace(F.replace("text", F.lit("\\\\"), F.lit(_BACKSLASHES)), F.lit("\\" + q), F.lit(_QUOTE))
+        runs = F.regexp_extract_all(aside, F.lit(f"{q}([^{q}]*){q}"), F.lit(1))
+        found.append(F.transform(runs, _restored(q)))
     return lines.select("root", "path", "line", F.explode(F.array_distinct(F.concat(*found))).alias("literal"))
 
 
 def searchable(files: DataFrame) -> DataFrame:
     ext = F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)
     return files.filter(
-        ext.isin(*EXTENSIONS) & (F.octet_length("content") <= MAX_FILE_BYTES) & ~in_skipped_folder(F.col("path"))
+        ext.isin(*EXTENSIONS) & ~in_skipped_folder(F.col("path"))
     )
 
 
@@ -84,6 +99,5 @@ def emission_sites(events: DataFrame, files: DataFrame, roots: DataFrame) -> Dat
 
 def code_slice(files: DataFrame, path: str, line: int, context: int) -> DataFrame:
     """Lines around a place in a file."""
-    reach = min(context, MAX_CONTEXT)
     near = code_lines(files.filter(F.col("path") == path))
-    return near.filter(F.col("line").between(max(line - reach, 0), line + reach))
+    return near.filter(F.col("line").between(max(line - context, 0), line + context))

@@ -29,7 +29,7 @@ KEY_PRIORITY = (
     "method", "status_code", "status", "code", "path", "endpoint", "url", "request_id", "trace_id", "user.id", "user_id",
 )
 MAX_GROUPS, MAX_VALUES, TOP_GROUPS = 50, 50, 7
-SAMPLE_EVENTS, MIN_NUMBERS, MIN_DISTINCT, MIN_NUMERIC_SHARE = 200, 16, 16, 0.8
+MIN_NUMBERS, MIN_DISTINCT, MIN_NUMERIC_SHARE = 16, 16, 0.8
 NOT_NUMERIC_NAME = r"(?i)(^|\.|_)(status|status_code|code|id|pid|port)\z"
 PERCENT_STOPS = (50, 75, 90, 95, 99)
 
@@ -121,11 +121,10 @@ def branch_facet(events: DataFrame) -> DataFrame:
 
 
 def producer_lists(events: DataFrame) -> DataFrame:
-    """Sorted names per kind, one row each, as shown in the pickers: the 50 most frequent of each."""
+    """Sorted names per kind, one row each, as shown in the pickers."""
     shown = None
     for kind, facet in (("source", source_facet(events)), ("branch", branch_facet(events))):
-        top = facet.orderBy(F.desc("count"), kind).limit(MAX_VALUES)
-        part = top.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"))
+        part = facet.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"))
         shown = part if shown is None else shown.unionByName(part)
     return shown.orderBy("kind", "name")
 
@@ -275,10 +274,9 @@ def search_facets(groups: DataFrame, text: str) -> DataFrame:
     return groups.join(keys, "key", "left_semi")
 
 
-def numeric_facets(events: DataFrame) -> DataFrame:
-    """Paths that read as measures over the newest events: enough, mostly numeric, diverse."""
-    newest = events.orderBy(F.desc("id")).limit(SAMPLE_EVENTS)
-    leaves = flatten_fields(newest)
+def numeric_facets(events: DataFrame, newest: int | None = None) -> DataFrame:
+    """Paths that read as measures: enough, mostly numeric, diverse. ``newest`` looks at so many events only."""
+    leaves = flatten_fields(events if newest is None else events.orderBy(F.desc("id")).limit(newest))
     blank = F.try_variant_get("v", "$", "string").rlike(r"\A\s*\z") & F.to_json("v").startswith('"')
     number = F.when(~F.coalesce(blank, F.lit(False)), strict_number_of_variant(F.col("v")))
     return (

@@ -17,7 +17,7 @@ from emberlog.operators.carry import running_max
 from emberlog.operators.grams import rarest_gram, text_grams
 from emberlog.session import materialise_small, small_side
 
-# File extensions per language, skipped folders, largest file looked at.
+# File extensions per language, skipped folders.
 LANGUAGES = {
     "ts": "web", "tsx": "web", "js": "web", "jsx": "web", "mjs": "web", "cjs": "web", "rs": "rust", "java": "java",
 }
@@ -25,8 +25,6 @@ SKIP_FOLDERS = (
     ".git", "node_modules", "target", "dist", "build", "out", "vendor", ".next", ".turbo", ".cache", ".venv", "venv",
     "__pycache__", ".idea", ".vscode",
 )
-MAX_FILE_BYTES = 1_000_000
-BARREL_ROUNDS = 3
 DIFF_CHUNK = 50_000
 
 # Import and re-export statements per language.
@@ -55,11 +53,9 @@ def in_skipped_folder(path: Column) -> Column:
 
 
 def code_files(files: DataFrame) -> DataFrame:
-    """Files in a known language, of bounded size, outside vendor folders."""
+    """Files in a known language, outside vendor folders."""
     return files.filter(
-        language(F.col("path")).isNotNull()
-        & (F.octet_length("content") <= MAX_FILE_BYTES)
-        & ~in_skipped_folder(F.col("path"))
+        language(F.col("path")).isNotNull() & ~in_skipped_folder(F.col("path"))
     )
 
 
@@ -242,17 +238,16 @@ def module_ids(files: DataFrame) -> DataFrame:
 
 
 def expand_barrels(origins: DataFrame, reexports: DataFrame) -> DataFrame:
-    """(root, module, origin) grown through files that re-export a module, at most three rounds."""
+    """(root, module, origin) grown through files that re-export a module, until nothing new is reached."""
     hand_on = reexports.select("root", "module", module_id(F.col("path")).alias("_own")).filter("_own is not null")
     hand_on = materialise_small(hand_on.distinct())
     grown = materialise_small(origins.select("root", "module", "origin").distinct())
-    for _ in range(BARREL_ROUNDS):
+    while True:
         more = grown.join(hand_on, ["root", "module"]).select("root", F.col("_own").alias("module"), "origin")
         fresh = materialise_small(more.distinct().join(grown, ["root", "module", "origin"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return grown
         grown = grown.unionByName(fresh)
-    return grown
 
 
 # ---- patterns and matches --------------------------------------------------------------------

@@ -52,15 +52,22 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Filter:
-    """A tokenised filter: its leaves and the expression that combines them."""
+    """A tokenised filter: its leaves and the postfix expression that combines them."""
 
     leaves: tuple[Leaf, ...]
     expression: str
 
     def over(self, leaf_value: Callable[[Leaf], Any]) -> Any:
-        names = {f"p{i}": leaf_value(leaf) for i, leaf in enumerate(self.leaves)}
-        # the expression holds nothing but p<n>, parentheses and the three operators
-        return eval(self.expression, {"__builtins__": {}}, names)  # noqa: S307
+        values: list[Any] = []
+        for token in self.expression.split():
+            if token == "~":
+                values.append(~values.pop())
+            elif token in "&|":
+                right = values.pop()
+                values.append(values.pop() & right if token == "&" else values.pop() | right)
+            else:
+                values.append(leaf_value(self.leaves[int(token[1:])]))
+        return values[0]
 
     @property
     def aggregates(self) -> bool:
@@ -140,12 +147,38 @@ def read_filter(text: str, now_ms: int | None = None, zone: str = "UTC") -> Filt
         else:
             out.append(f"p{len(leaves)}")
             leaves.append(_leaf(m, now_ms, zone))
-    found = Filter(tuple(leaves), " ".join(out))
-    try:
-        compile(found.expression, "<filter>", "eval")
-    except SyntaxError as err:
-        raise FilterError(f"cannot read {text!r}") from err
-    return found
+    return Filter(tuple(leaves), " ".join(_postfix(out, text)))
+
+
+_BINDS = {"~": 3, "&": 2, "|": 1}
+
+
+def _postfix(tokens: list[str], text: str) -> list[str]:
+    """Operators behind their operands; nesting costs list entries only. Raises where the tokens make no condition."""
+    out: list[str] = []
+    waiting: list[str] = []
+    complete = False  # whether an operand ends here
+    for token in tokens:
+        if (token in "&|)") != complete:
+            raise FilterError(f"cannot read {text!r}")
+        if token == ")":
+            while waiting and waiting[-1] != "(":
+                out.append(waiting.pop())
+            if not waiting:
+                raise FilterError(f"cannot read {text!r}")
+            waiting.pop()
+        elif token in "&|":
+            while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[token]:
+                out.append(waiting.pop())
+            waiting.append(token)
+        elif token in "~(":
+            waiting.append(token)
+        else:
+            out.append(token)
+        complete = token == ")" or token.startswith("p")
+    if not complete or "(" in waiting:
+        raise FilterError(f"cannot read {text!r}")
+    return out + waiting[::-1]
 
 
 def filter_column(

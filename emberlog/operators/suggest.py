@@ -11,7 +11,6 @@ from emberlog.session import stage_table
 # Columns offered as keys, cut-offs and shares of the merged list.
 COLUMN_KEYS = ("msg", "raw", "ts", "level", "source", "branch")
 TYPED_KEYS = ("msg", "raw", "ts", "pinned", "stack", "hasStackTrace")
-MAX_DISTINCT_VALUES = 1_000
 KEY_SHARE, MESSAGE_SHARE, DEFAULT_LIMIT, COMPLETIONS = 3, 3, 8, 8
 
 
@@ -79,12 +78,10 @@ def suggest_keys(counts: DataFrame, text: str) -> DataFrame:
 
 
 def suggest_values(counts: DataFrame, text: str) -> DataFrame:
-    """(key, value, score): the two best values per path; paths with too many values are skipped."""
+    """(key, value, score): the two best values of every path."""
     at = F.instr(F.lower("value"), F.lit(text.lower()))
-    wide = counts.groupBy("path").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MAX_DISTINCT_VALUES)
     hits = (
-        counts.join(wide, "path", "left_semi")
-        .withColumn("_at", at)
+        counts.withColumn("_at", at)
         .filter("_at > 0")
         .select(
             F.col("path").alias("key"), "value",
@@ -128,7 +125,7 @@ def complete_values(groups: DataFrame, key: str, text: str) -> DataFrame:
         values = groups.filter(F.col("key") == key).select(F.col("value_rank").alias("ord"), "value")
         if key == "level" and values.isEmpty():
             values = listed(LEVELS)
-    hits = values.filter((F.col("ord") <= 50) & F.startswith(F.lower("value"), F.lit(text.lower())))
+    hits = values.filter(F.startswith(F.lower("value"), F.lit(text.lower())))
     top = hits.orderBy("ord", "value").limit(COMPLETIONS)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("ord", "value")).cast("bigint")).select("rank", "value")
 

@@ -140,7 +140,7 @@ _events("select_ids", lambda s, d: R.select_ids(log_events(s, d), pins(s, d)).se
 _events("apply_view", lambda s, d: R.apply_view(log_events(s, d), {"name": "slow writes", "query": "source:svc-1 branch:feature/* NOT level:trace"}).select("id", "branch", "level"),
         LOG + "SELECT id, branch, level FROM log_events WHERE source = 'svc-1' AND branch = 'feature/x' AND level <> 'trace'")
 _events("agent_log_query", lambda s, d: R.agent_log_query(log_events(s, d), "signup", 9999),
-        LOG + """, picked AS (SELECT * FROM log_events WHERE contains(msg, 'signup') ORDER BY id DESC LIMIT 5000)
+        LOG + """, picked AS (SELECT * FROM log_events WHERE contains(msg, 'signup') ORDER BY id DESC LIMIT 9999)
         SELECT 0 AS ord, CASE WHEN count(*) = 0 THEN 'no events' ELSE count(*) || ' events (most recent first)' END AS text FROM picked
         UNION ALL SELECT id, '[' || id || '] ' || strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S')
           || CASE WHEN ts % 1000 = 0 THEN '' ELSE '.' || lpad(CAST(ts % 1000 AS VARCHAR), 3, '0') END || '+00:00 ' || rpad(level, 5, ' ') || ' ' || source || chr(10) || '  ' || msg FROM picked""")

@@ -103,8 +103,7 @@ _add("search_facets", lambda s, d: A.search_facets(A.facet_groups(wide_events(s,
 _add("pretty_key", lambda s, d: A.flatten_fields(wide_events(s, d)).select("path").distinct().select("path", A.pretty_key(F.col("path")).alias("label")),
      with_ctes(LOG_EVENTS, LEAVES) + "SELECT DISTINCT path, array_to_string(list_transform(string_split(path, '.'), lambda x: upper(left(x, 1)) || substr(x, 2)), ' · ') AS label FROM leaves")
 _add("numeric_facets", lambda s, d: A.numeric_facets(log_events(s, d)),
-     with_ctes(LOG_EVENTS, LEAVES) + """, newest AS (SELECT id FROM log_events ORDER BY id DESC LIMIT 200),
-     n AS (SELECT path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') THEN TRY_CAST(text AS DOUBLE) END AS v FROM leaves WHERE id IN (SELECT id FROM newest))
+     with_ctes(LOG_EVENTS, LEAVES) + """, n AS (SELECT path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') THEN TRY_CAST(text AS DOUBLE) END AS v FROM leaves)
      SELECT path, count(*) AS total, count(v) AS numeric, count(DISTINCT v) AS distinct_numbers FROM n
      WHERE NOT regexp_matches(path, '(?i)(^|\\.|_)(status|status_code|code|id|pid|port)$') GROUP BY path HAVING count(*) >= 16 AND count(v) / count(*) >= 0.8 AND count(DISTINCT v) >= 16""")
 _add("percentile_stops", lambda s, d: A.percentile_stops(wide_events(s, d)),
@@ -131,9 +130,9 @@ _add("search_messages", lambda s, d: S.search_messages(S.trigram_index(log_event
 _add("suggest_keys", lambda s, d: S.suggest_keys(A.value_counts(wide_events(s, d)), "S"),
      FACETS + """SELECT key, CASE WHEN left(key, 1) = 's' THEN 20.0 WHEN contains(key, '.s') THEN 10.0 ELSE 5.0 END::DOUBLE AS score
      FROM (SELECT DISTINCT path AS key FROM counts UNION SELECT unnest(['msg', 'raw', 'ts', 'level', 'source', 'branch'])) WHERE contains(key, 's')""")
-SCORES = """, narrow AS (SELECT path FROM counts GROUP BY path HAVING count(*) <= 1000),
+SCORES = """,
   scored AS (SELECT path AS key, value, ln(1 + count) + 3 + CASE WHEN starts_with(lower(value), '{q}') THEN 10 ELSE 0 END AS score FROM counts
-    WHERE path IN (SELECT path FROM narrow) AND contains(lower(value), '{q}')),
+    WHERE contains(lower(value), '{q}')),
   best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, value) AS rn FROM scored) WHERE rn <= 2)"""
 _add("suggest_values", lambda s, d: S.suggest_values(stage_table(A.value_counts(wide_events(s, d))), "P").withColumn("score", F.round("score", 6)),
      FACETS + SCORES.format(q="p") + " SELECT key, value, round(score, 6) AS score FROM best")

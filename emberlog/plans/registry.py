@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.plans import events_catalog
+from emberlog.plans import code_catalog, events_catalog, facets_catalog, lines_catalog, stream_catalog
 
-CATALOGS = [events_catalog]
-for _name in ("facets_catalog", "lines_catalog", "code_catalog", "stream_catalog"):
-    try:
-        CATALOGS.append(__import__(f"emberlog.plans.{_name}", fromlist=["ENTRIES"]))
-    except ModuleNotFoundError:
-        pass
+CATALOGS = [events_catalog, facets_catalog, lines_catalog, code_catalog, stream_catalog]
 
 
 def entries() -> dict:

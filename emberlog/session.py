@@ -70,11 +70,13 @@ def stage_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several later steps read the same intermediate rows: the table survives lost
-    executors, keeps its row order per file and lets later scans prune columns.
+    executors, keeps its row order per file and lets later scans prune columns. It is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
