@@ -31,9 +31,9 @@ END = 255
 TABLE_GRAMS = 6_000_000
 TABLE_WORDS = 400_000
 #: Bytes of text whose n-grams are sorted together, and distinct ones a task holds before it hands them on.
-CHUNK = 4_000_000
-HELD_GRAMS = 3_000_000
-HELD_WORDS = 500_000
+CHUNK = 2_000_000
+HELD_GRAMS = 1_500_000
+HELD_WORDS = 250_000
 #: The end of a text as a token; no word holds white space.
 END_TOKEN = b" "
 
@@ -272,7 +272,7 @@ def _score(depth: int, grams, words, total: int, distinct: int) -> Callable[[Ite
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count_of, floor = words.value, np.log10(total + distinct + 1)
         table = grams.value if grams is not None else None
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             codes, tokens, known, base, rare = [], [], [], [], []
             for text in _texts(batch):
                 found = normal(text)
@@ -369,8 +369,10 @@ def score_documents(
         if words > room:
             break
         room, least = room - words, n
-    frequent = {} if least is None else {r.word: r.n for r in vocabulary.filter(F.col("n") >= least).collect()}
-    frequent = {bytes(w): n for w, n in frequent.items()}
+    frequent = {}
+    if least is not None:
+        listed = vocabulary.filter(F.col("n") >= least).toArrow()
+        frequent = dict(zip(listed["word"].to_pylist(), listed["n"].to_pylist()))
     grams_table = None
     if model.count() <= table_grams:
         found = model.orderBy("gram").toArrow()
