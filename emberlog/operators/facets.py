@@ -179,11 +179,14 @@ def pretty_key(path: Column) -> Column:
     return F.array_join(parts, " · ")
 
 
-def rank_facets(counts: DataFrame, max_groups: int = MAX_GROUPS, max_values: int = MAX_VALUES) -> DataFrame:
+def rank_facets(
+    counts: DataFrame, max_groups: int = MAX_GROUPS, max_values: int = MAX_VALUES, drop_nulls: bool = False
+) -> DataFrame:
     """Ranked groups and values of a ``value_counts`` table.
 
     Groups: fixed priority, then number of distinct values; values: by count. Ties go to what was
-    seen first. The top-n windows keep ``max_values`` rows per path before the shuffle.
+    seen first. The top-n windows keep ``max_values`` rows per path before the shuffle. ``drop_nulls`` takes nulls
+    out of the counts before values are ranked; they still count as a value of their path.
     """
     priority = F.coalesce(
         F.try_element_at(
@@ -198,6 +201,8 @@ def rank_facets(counts: DataFrame, max_groups: int = MAX_GROUPS, max_values: int
         "path", "group_rank"
     )
     by_count = Window.partitionBy("path").orderBy(F.desc("count"), "first_id", "value")
+    if drop_nulls:
+        counts = counts.withColumn("count", F.col("count") - F.col("nulls")).filter("count > 0")
     return (
         counts.join(F.broadcast(groups), "path")
         .withColumn("value_rank", F.row_number().over(by_count))
@@ -209,7 +214,9 @@ def rank_facets(counts: DataFrame, max_groups: int = MAX_GROUPS, max_values: int
     )
 
 
-def facet_groups(events: DataFrame, null_mode: str = "empty") -> DataFrame:
+def facet_groups(
+    events: DataFrame, null_mode: str = "empty", max_groups: int = MAX_GROUPS, max_values: int = MAX_VALUES
+) -> DataFrame:
     """Level, source and branch groups followed by the ranked field groups, as one long table."""
     fixed = None
     for rank, (key, label, facet) in enumerate(
@@ -224,23 +231,12 @@ def facet_groups(events: DataFrame, null_mode: str = "empty") -> DataFrame:
             facet.select(F.lit(key).alias("key"), F.lit(label).alias("label"), F.lit(rank - 2).cast("bigint").alias("group_rank"),
                          F.col(key).alias("value"), "count")
             .withColumn("value_rank", F.row_number().over(by_count))
-            .filter(F.col("value_rank") <= MAX_VALUES)
+            .filter(F.col("value_rank") <= max_values)
             .withColumn("value_rank", F.col("value_rank").cast("bigint"))
         )
         fixed = part if fixed is None else fixed.unionByName(part)
     counts = stage_table(value_counts(events))
-    if null_mode == "drop":
-        ranked = rank_facets(counts, max_values=2**31 - 1)  # nulls leave the counts before the cut
-        shown = counts.select(F.col("path").alias("key"), "value", (F.col("count") - F.col("nulls")).alias("_c"), "first_id")
-        by_count = Window.partitionBy("key").orderBy(F.desc("count"), "first_id", "value")
-        ranked = (
-            ranked.drop("count", "value_rank").join(shown, ["key", "value"]).filter("_c > 0")
-            .withColumnRenamed("_c", "count")
-            .withColumn("value_rank", F.row_number().over(by_count)).filter(F.col("value_rank") <= MAX_VALUES)
-            .withColumn("value_rank", F.col("value_rank").cast("bigint")).drop("first_id")
-        )
-    else:
-        ranked = rank_facets(counts)
+    ranked = rank_facets(counts, max_groups, max_values, drop_nulls=null_mode == "drop")
     return fixed.unionByName(ranked)
 
 
@@ -254,17 +250,19 @@ def in_scope(events: DataFrame, text: str, now_ms: int | None = None, zone: str
     return events
 
 
-def scoped_facets(events: DataFrame, text: str, **context) -> DataFrame:
+def scoped_facets(
+    events: DataFrame, text: str, max_groups: int = MAX_GROUPS, max_values: int = MAX_VALUES, **context
+) -> DataFrame:
     """Facet groups over the time scope of a filter; a bounded scope leaves nulls out of counts."""
     bounded = scope_bounds(text, **context) != (None, None)
-    return facet_groups(in_scope(events, text, **context), "drop" if bounded else "empty")
+    return facet_groups(in_scope(events, text, **context), "drop" if bounded else "empty", max_groups, max_values)
 
 
-def search_facets(groups: DataFrame, text: str) -> DataFrame:
-    """Groups whose key, label or any value contains the text; without text the first seven."""
+def search_facets(groups: DataFrame, text: str, shown: int = TOP_GROUPS) -> DataFrame:
+    """Groups whose key, label or any value contains the text; without text the first ``shown``."""
     q = text.strip().lower()
     if not q:
-        order = groups.select("key", "group_rank").distinct().orderBy("group_rank", "key").limit(TOP_GROUPS)
+        order = groups.select("key", "group_rank").distinct().orderBy("group_rank", "key").limit(shown)
         return groups.join(order.select("key"), "key", "left_semi")
 
     def has(c: str) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import level_from_post
@@ -18,15 +19,34 @@ def drop_blank_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"(?U)\S"))
 
 
-def read_lines(spark: SparkSession, path: str, branch: str = "", stream: bool = False) -> DataFrame:
-    """Lines of text files: the file name is the source, ``seq`` keeps the order inside a file.
+def _source_of_file(path: str, pattern: str | None) -> Column:
+    """Source of a line: what ``pattern`` captures of the file's path, or the path below the input, extension off.
+
+    Equal file names in two folders are two sources that way. A single input file is named by its own name.
+    """
+    file = F.col("_metadata.file_path")
+    if pattern is not None:
+        return F.regexp_extract(file, pattern, 1)
+    folder = path.split("://")[-1]
+    folder = re.split(r"[*?\[{]", folder)[0]
+    folder = (folder if folder != path.split("://")[-1] else folder + "/").rpartition("/")[0]
+    at = F.instr(file, F.lit(folder + "/"))
+    below = F.when(at > 0, file.substr(at + len(folder) + 1, F.char_length(file)))
+    name = F.regexp_extract(file, r"([^/]+)$", 1)
+    return F.regexp_replace(F.coalesce(below, name), r"\.[^./]*$", "")
+
+
+def read_lines(
+    spark: SparkSession, path: str, branch: str = "", stream: bool = False, source_pattern: str | None = None
+) -> DataFrame:
+    """Lines of text files: the file's path below ``path`` is the source, ``seq`` keeps the order inside a file.
 
     Whole files stay splittable: ``seq`` comes from the split's start offset and the row in it.
     """
     reader = spark.readStream if stream else spark.read
     text = reader.format("text").load(path)
     named = text.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source"),
+        _source_of_file(path, source_pattern).alias("source"),
         F.lit(branch).alias("branch"),
         *([] if stream else [
             # 2^33 rows fit below the partition number; offsets order the splits of one file

@@ -41,17 +41,38 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, out: str, mode: str = "append", each: Callable | None = None) -> StreamingQuery:
-    """Process what is there and stop; rows go to Parquet under ``out`` or to ``each`` batch."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_state").trigger(availableNow=True)
+def start_stream(
+    stream: DataFrame, out: str, mode: str = "append", each: Callable | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a query whose state is under ``out`` and return its handle; by default it runs until it is stopped.
+
+    Rows go to Parquet under ``out`` or to ``each`` batch. ``trigger`` is what ``DataStreamWriter.trigger`` takes.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_state")
+    if trigger:
+        writer = writer.trigger(**trigger)
     if each is not None:
-        query = writer.foreachBatch(each).start()
-    else:
-        query = writer.format("parquet").option("path", f"{out}/rows").start()
+        return writer.foreachBatch(each).start()
+    return writer.format("parquet").option("path", f"{out}/rows").start()
+
+
+def run_available(stream: DataFrame, out: str, mode: str = "append", each: Callable | None = None) -> StreamingQuery:
+    """Process what is there and stop."""
+    query = start_stream(stream, out, mode, each, {"availableNow": True})
     query.awaitTermination()
     return query
 
 
+def last_batch(spark: SparkSession, out: str) -> int:
+    """Number of the last batch that the query under ``out`` has committed, -1 before the first; survives restarts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_state/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return -1
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return max((int(name) for name in names if name.isdigit()), default=-1)
+
+
 def stream_events(lines: DataFrame) -> DataFrame:
     """Lines → parsed, rule-unwrapped events; one event per line, no state."""
     return apply_parse_rules(parse_event(drop_blank_lines(lines)))
@@ -68,7 +89,6 @@ class GroupedStream:
 
     def __init__(self, spark: SparkSession, out: str, group: Callable[[DataFrame], DataFrame]):
         self.spark, self.out, self.group = spark, out, group
-        self.last_batch = -1
 
     def _carry(self, number: int) -> str:
         return f"{self.out}/carry/b{number}"
@@ -88,12 +108,12 @@ class GroupedStream:
         work.join(last, "source").filter("seq >= _last").drop("_last").write.mode("overwrite").parquet(
             self._carry(number)
         )
-        self.last_batch = number
 
     def finish(self) -> DataFrame:
         """End of input: close the carried groups and read all groups."""
-        if self.last_batch >= 0:
-            rest = self.spark.read.parquet(self._carry(self.last_batch))
+        last = last_batch(self.spark, self.out)
+        if last >= 0:
+            rest = self.spark.read.parquet(self._carry(last))
             self.group(rest).write.mode("overwrite").parquet(f"{self.out}/rows/part=end")
         return self.spark.read.option("inferSchema", False).parquet(f"{self.out}/rows").drop("part")
 
@@ -129,10 +149,9 @@ def stream_search(events: DataFrame, text: str, out: str, now_ms: int | None = N
         batch.write.mode("overwrite").parquet(f"{out}/seen/part={number}")
         seen = spark.read.parquet(f"{out}/seen").drop("part")
         search(seen, text, now_ms=now_ms).write.mode("overwrite").parquet(f"{out}/rows/v{number}")
-        again.last = number
 
     run_available(events, out, each=again)
-    return spark.read.parquet(f"{out}/rows/v{again.last}")
+    return spark.read.parquet(f"{out}/rows/v{last_batch(spark, out)}")
 
 
 def _latest(spark: SparkSession, out: str) -> Callable[[DataFrame, int], None]:
@@ -140,12 +159,14 @@ def _latest(spark: SparkSession, out: str) -> Callable[[DataFrame, int], None]:
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/side={number % 2}")
-        keep.side = number % 2
 
-    keep.side = 0
     return keep
 
 
+def _read_latest(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/rows/side={last_batch(spark, out) % 2}")
+
+
 def stream_histogram(events: DataFrame, size_ms: int, out: str, watermark: str | None = None) -> DataFrame:
     """Counts per tumbling window of event time; without a watermark late events always count."""
     timed = events.withColumn("event_time", F.timestamp_millis("ts"))
@@ -159,17 +180,15 @@ def stream_histogram(events: DataFrame, size_ms: int, out: str, watermark: str |
         F.count("*").alias("total"),
     )
     rows = counts.select(F.unix_millis("w.start").alias("ts"), "err", "warn", "rest", "total")
-    keep = _latest(events.sparkSession, out)
-    run_available(rows, out, "complete", keep)
-    return events.sparkSession.read.parquet(f"{out}/rows/side={keep.side}")
+    run_available(rows, out, "complete", _latest(events.sparkSession, out))
+    return _read_latest(events.sparkSession, out)
 
 
 def stream_facets(events: DataFrame, out: str) -> DataFrame:
     """(path, value, count) as events arrive."""
     counts = path_values(events).groupBy("path", "value").agg(F.count("*").alias("count"))
-    keep = _latest(events.sparkSession, out)
-    run_available(counts, out, "complete", keep)
-    return events.sparkSession.read.parquet(f"{out}/rows/side={keep.side}")
+    run_available(counts, out, "complete", _latest(events.sparkSession, out))
+    return _read_latest(events.sparkSession, out)
 
 
 def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,17 @@ def test_read_lines(spark, tmp_path):
     ]
 
 
+def test_equal_file_names_are_different_sources(spark, tmp_path):
+    for host in ("h1", "h2"):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "app.log").write_text(f"{host} a\n  b\n")
+    rows = read_lines(spark, f"{tmp_path}/*/*.log").collect()
+    assert {(r.source, r.line) for r in rows} == {(f"{h}/app", x) for h in ("h1", "h2") for x in (f"{h} a", "  b")}
+    rows = read_lines(spark, f"{tmp_path}/*/*.log", source_pattern=r"/(h\d)/").collect()
+    assert {r.source for r in rows} == {"h1", "h2"}
+    assert {r.source for r in read_lines(spark, f"{tmp_path}/h1").collect()} == {"app"}
+
+
 def test_export_jsonl(spark, tmp_path):
     events = log_events(spark, SF)
     ids = spark.createDataFrame([(1,), (2,)], "id bigint")

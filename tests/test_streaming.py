@@ -36,6 +36,8 @@ def test_groups(spark, tmp_path):
     columns = ("source", "seq", "level", "msg", "raw", "lines")
     assert rows(got, *columns) == rows(want, *columns)
     assert want.filter("lines > 1").count() > 10
+    # started again with nothing new to read, the carried lines are still there
+    assert rows(S.stream_coalesce(stream, f"{tmp_path}/out"), *columns) == rows(want, *columns)
 
 
 def test_percentile_filter_is_taken_over_everything(spark, tmp_path):
@@ -44,6 +46,20 @@ def test_percentile_filter_is_taken_over_everything(spark, tmp_path):
     got = S.stream_search(stream, "dur_ms:>=percentile(80)", f"{tmp_path}/out", NOW_MS)
     want = search(log_events(spark, SF), "dur_ms:>=percentile(80)")
     assert rows(got, "id") == rows(want, "id")
+    again = S.stream_search(stream, "dur_ms:>=percentile(80)", f"{tmp_path}/out", NOW_MS)
+    assert rows(again, "id") == rows(want, "id")
+
+
+def test_a_standing_stream_hands_out_its_query(spark, tmp_path):
+    lines = raw_lines(spark, SF).filter("seq < 300")
+    stream = in_files(spark, lines, "seq", f"{tmp_path}/in", parts=2)
+    query = S.start_stream(stream, f"{tmp_path}/out", trigger={"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+        assert query.isActive and spark.read.parquet(f"{tmp_path}/out/rows").count() == lines.count()
+    finally:
+        query.stop()
+    assert S.last_batch(spark, f"{tmp_path}/out") == 1 and S.last_batch(spark, f"{tmp_path}/none") == -1
 
 
 def test_alerts_and_facets(spark, tmp_path):
@@ -54,4 +70,6 @@ def test_alerts_and_facets(spark, tmp_path):
     columns = ("id", "alert_id", "ts", "suppressed", "body")
     assert rows(fires, *columns) == rows(want, *columns)
     facets = S.stream_facets(stream, f"{tmp_path}/facets")
-    assert rows(facets, "path", "value", "count") == rows(value_counts(log_events(spark, SF)), "path", "value", "count")
+    counts = rows(value_counts(log_events(spark, SF)), "path", "value", "count")
+    assert rows(facets, "path", "value", "count") == counts
+    assert rows(S.stream_facets(stream, f"{tmp_path}/facets"), "path", "value", "count") == counts
