@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,46 +21,91 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task remembers; beyond that it starts over.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers; beyond that it forgets most of them.
+REMEMBERED = 200_000
+#: Texts encoded together.
+TEXTS = 64
 #: Pieces of one packing task, about.
 PIECES_PER_TASK = 20_000
 
 
-def encoded_words(path: str) -> Callable[[bytes], bytes]:
+class WordEncoder:
     """Encoder of whole UTF-8 texts to little-endian 32-bit ids that remembers words.
 
-    The vocabulary's pattern never crosses white space, so the ids of a text are those of its words in turn.
+    The vocabulary's pattern never crosses white space, so the ids of a text are those of its words in turn. It is
+    blind to case, and a mark behind ASCII letters is a token of its own, so fewer words need to be learned; words of
+    ASCII letters skip normalising and splitting, which would leave them as they are.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: bytes) -> bytes:
-        words = text.split()
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            encodings = tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            for word, encoding in zip(missing, encodings):
-                known[word] = np.array(encoding.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
-    return encode
+    MARKS = (b",", b".", b";", b":", b"!", b"?")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.full = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # texts that may spell a special token keep their case
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        missing = set().union(*words).difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:  # words met first are the frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 3))
+            missing = set().union(*words).difference(self.known)
+        self._learn(missing)
+        known = self.known.__getitem__
+        return [b"".join(map(known, w)) for w in words]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        marked = [w for w in missing if w[-1:] in self.MARKS and w[:-1].isalpha()]
+        needed = missing.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked)
+        needed = {w for w in needed if w not in self.known}
+        plain = [w for w in needed if w.isalpha() and w.islower()]
+        self._learn_joined(self.bare, plain)
+        rest = list(needed.difference(plain))
+        letters = [w for w in rest if w.decode().isalpha()]
+        self._learn_joined(self.full, letters)
+        self._learn_each([w for w in rest if w not in self.known])
+        for word in marked:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
+
+    def _learn_joined(self, steps: tuple, words: list[bytes]) -> None:
+        """Words of letters only, encoded as one text: each ends with the one closing id in it."""
+        if not words:
+            return
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.full
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._learn_each(words)  # a letter whose lower case is no single letter
+            return
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.known[word] = data[at:end]
+            at = end
+
+    def _learn_each(self, words: list[bytes]) -> None:
+        encodings = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for word, encoding in zip(words, encodings):
+            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of a document; a null text counts as empty and still has its end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoded_words(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = encode(text.as_py() or b"") + end
+            texts = [text.as_py() or b"" for text in batch.column(1).cast(pa.binary())]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

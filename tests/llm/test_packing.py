@@ -26,7 +26,8 @@ def check_layout(rows, capacity):
 
 def test_pieces_and_layout(spark):
     rng = random.Random(3)
-    words = ["Über", "naïve", "can't", "<|endoftext|>", "x y", "é", "12345", "日本", "a\x1cb", "ΣΑΣ"]
+    words = ["Über", "naïve", "can't", "<|endoftext|>", "x y", "é", "12345", "日本", "a\x1cb", "ΣΑΣ", "İstanbul", "e\u0301a",
+             "Word,", "word.", "it's,", "ÉTÉ", "<|ENDOFTEXT|>", "a,b", "(x),", "ǅ", "ﬁn", "x\u00a0y"]
     texts = [None, "", " \t\n", " ".join(rng.choice(words) for _ in range(3000))]
     texts += [rng.choice(" \t\n").join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(200)]
     rows = [(i, t, i, "n") for i, t in enumerate(texts)] + [(0, None, 0, "n"), (None, "null id", 1, "n")]
