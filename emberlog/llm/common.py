@@ -22,6 +22,8 @@ def stage(df: DataFrame) -> DataFrame:
     where = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
     forget_at_exit(spark, where)
+    # shuffle files are deleted once the driver's collector finds them unused; asking now keeps one step's at a time
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(where)
 
 

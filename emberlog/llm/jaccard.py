@@ -222,8 +222,22 @@ def _typical_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
     met = sized.join(chief, ["shingle", "size_class"]).filter("a <> node").groupBy("node", "n", "a", "n_a").count()
     best = met.groupBy("node", "n").agg(F.max(F.struct("count", "a", "n_a")).alias("best"))
-    pairs = best.select(F.col("best.a").alias("a"), F.col("node").alias("b"), F.col("best.n_a").alias("n_a"), F.col("n").alias("n_b"))
-    return pairs.filter(similar_sizes(F.col("n_a"), F.col("n_b"), percent))
+    pairs = best.select(
+        F.col("best.a").alias("a"), F.col("node").alias("b"), F.col("best.n_a").alias("n_a"), F.col("n").alias("n_b"),
+        F.col("best.count").alias("shared"),
+    )
+    # those that a full count could hardly save are left to the next step, which counts in full
+    return _promising(pairs.filter(similar_sizes(F.col("n_a"), F.col("n_b"), percent)), percent)
+
+
+def _promising(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) that may reach the threshold if they share ``shared`` shingles of their prefixes.
+
+    Beyond the end of the prefix that ends first, one of the two has only n - prefix shingles left to share.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    left = F.greatest(n_a - prefix_length(n_a, percent), n_b - prefix_length(n_b, percent))
+    return met.filter(linked(F.col("shared") + left, n_a, n_b, percent)).drop("shared")
 
 
 def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
@@ -240,9 +254,7 @@ def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
         .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n").alias("n_a"), "n_b")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    # beyond the end of the prefix that ends first, one of the two has only n - prefix shingles left to share
-    left = F.greatest(F.col("n_a") - prefix_length(F.col("n_a"), percent), F.col("n_b") - prefix_length(F.col("n_b"), percent))
-    return met.filter(linked(F.col("shared") + left, F.col("n_a"), F.col("n_b"), percent)).drop("shared")
+    return _promising(met, percent)
 
 
 def jaccard_components(
@@ -303,8 +315,10 @@ def _components_of_rows(keyed: DataFrame, words_each: int, percent: int) -> tupl
     prefixes = texts.mapInArrow(_prefixes(words_each, percent, crowded), "node long, n int, prefix array<long>")
     nodes = stage(prefixes.dropDuplicates(["node"]))
     postings = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
-    live = postings.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    lists = stage(postings.join(live.select("shingle"), "shingle", "left_semi"))
+    # a set holds a shingle once; most shingles are held by one set only and are not worth a shuffle
+    live = stage(postings.groupBy("shingle").count().filter("count > 1").select("shingle"))
+    maybe = thinned(postings, F.col("shingle"), live, F.col("shingle"), bits=26)
+    lists = stage(maybe.join(live, "shingle", "left_semi"))
     links = verified(_typical_pairs(lists, percent), sets, percent)
     rest = verified(_open_pairs(_labelled(lists, links), percent), sets, percent)
     labels = components(links.unionByName(rest), "a", "b")
