@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators.grams import grams, rarest_gram
 from emberlog.operators.relevance import in_skipped_folder
+from emberlog.session import stage_table
 
 # Least needle length, searched extensions.
 MIN_NEEDLE_BYTES = 8
@@ -75,14 +76,15 @@ def searchable(files: DataFrame) -> DataFrame:
 def emission_sites(events: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, rel_path, line): the first code line whose string literal holds the event's static text.
 
-    Needles are looked up once per distinct text. Needle and literal meet on the needle's rarest
-    trigram among the literals; containment is then checked on those few.
+    Needles are looked up once per distinct text, and equal literals stand for their first place. Needle and literal
+    meet on the needle's rarest trigram among the literals; containment is then checked on those few.
     """
     wanted = events.select("id", "source", message_needle(F.col("msg")).alias("needle")).filter("needle is not null")
     wanted = wanted.join(roots.select("source", "root"), "source")
     needles = wanted.select("root", "needle").distinct()
     literals = string_literals(code_lines(searchable(files)))
     literals = literals.filter(F.octet_length("literal") >= MIN_NEEDLE_BYTES)
+    literals = stage_table(literals.groupBy("root", "literal").agg(F.min(F.struct("path", "line")).alias("site")))
     keyed = literals.select("*", F.explode(F.concat(grams(F.col("literal")), grams(F.col("literal"), 2))).alias("gram"))
     counts = keyed.groupBy("gram").agg(F.count("*").alias("n"))
     anchors = rarest_gram(needles, ["root", "needle"], F.array("needle"), counts)
@@ -90,7 +92,7 @@ def emission_sites(events: DataFrame, files: DataFrame, roots: DataFrame) -> Dat
         anchors.join(keyed, ["root", "gram"])
         .filter(F.contains("literal", F.col("needle")))
         .groupBy("root", "needle")
-        .agg(F.min(F.struct("path", "line")).alias("_s"))
+        .agg(F.min("site").alias("_s"))
     )
     return wanted.join(sites, ["root", "needle"]).select(
         "id", F.col("_s.path").alias("rel_path"), F.col("_s.line").alias("line")
