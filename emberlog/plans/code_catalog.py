@@ -40,8 +40,8 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.unionByName(hubs)
 
 
-def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """(root, seq, line) of a unified diff over one part in fifty."""
+def diff_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """(root, seq, line) of a unified diff over one part in fifty, or over every part."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "rs").when(k % 3 == 1, "java").otherwise("ts")
     name = _t("src/p", k, ".", kind)
@@ -50,7 +50,9 @@ def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 200 == 51, F.lit("+++ /dev/null")).otherwise(_t("+++ b/", name)),
         _t("@@ -", k, ",2 +", k + 1, ",3 @@ fn"), F.lit(" same"), _t("+added ", k), F.lit("-gone"), F.lit("+"), F.lit(" tail"),
         F.lit("@@ -90 +95 @@"), _t("+late ", k))
-    touched = table(spark, sf, "part").filter(k % 50 == 1)
+    touched = table(spark, sf, "part")
+    if not whole:
+        touched = touched.filter(k % 50 == 1)
     return touched.select(k.alias("_k"), F.posexplode(lines).alias("_p", "line")).select(
         F.lit("/app").alias("root"), (F.col("_k") * 100 + F.col("_p")).alias("seq"), "line")
 
@@ -61,10 +63,13 @@ def roots(spark: SparkSession, sf: str) -> DataFrame:
     return sources.filter("source <> 'svc-3'").withColumn("root", F.lit("/app"))
 
 
-def with_code_messages(events: DataFrame) -> DataFrame:
-    """Log events (batch or streaming) whose messages are those the corpus would print."""
+def with_code_messages(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """Log events (batch or streaming) whose messages are those the corpus would print.
+
+    Messages name parts 0 to 199 by the user, or with ``parts`` given, every one of so many parts in turn.
+    """
     u = F.regexp_extract("msg", r"(\d+)$", 1).cast("bigint")
-    part = u % 200
+    part = u % 200 if parts is None else (F.col("id") - F.floor(F.col("id") / 4)) % parts  # ids divisible by four print no code
     msg = (
         F.when(part % 3 == 0, _t("crate P", part, " stored ", F.col("id"), " items"))
         .when(part % 3 == 1, _t("java job p", part, " took ", F.col("id"), " seconds"))
@@ -75,12 +80,16 @@ def with_code_messages(events: DataFrame) -> DataFrame:
         "msg", F.when(plain | (F.col("id") % 8 == 1), F.col("msg")).otherwise(msg)).drop("fields")
 
 
-def code_events(spark: SparkSession, sf: str) -> DataFrame:
-    return with_code_messages(log_events(spark, sf))
+def part_count(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "part").count()
+
+
+def code_events(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return with_code_messages(log_events(spark, sf), part_count(spark, sf) if whole else None)
 
 
-def patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return R.relevance_patterns(source_files(spark, sf), diff_lines(spark, sf), roots(spark, sf))
+def patterns(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return R.relevance_patterns(source_files(spark, sf), diff_lines(spark, sf, whole), roots(spark, sf))
 
 
 def _add(name: str, run, sql: str | None) -> None:
@@ -145,15 +154,19 @@ _add("relevance_patterns", lambda s, d: patterns(s, d).drop("pieces"),
      "WITH " + ", ".join((PARTS, CALLS, REACH)) + " SELECT source, rel_path, line, raw_call, regex, kind, via_files FROM patterns")
 
 
-def _matches(s: SparkSession, d: str) -> DataFrame:
-    return R.match_relevance(code_events(s, d), patterns(s, d))
+def _matches(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return R.match_relevance(code_events(s, d, whole), patterns(s, d, whole))
+
+
+def _sites(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return R.relevance_sites(_matches(s, d, whole), source_files(s, d), roots(s, d)).select(
+        "source", "rel_path", "line", "raw_call", "kind", "emitted_count", F.size(F.split("snippet", "\n")).cast("bigint").alias("snippet_lines"),
+        F.contains("snippet", "raw_call").alias("has_call"))
 
 
 _add("match_relevance", _matches, ALL + " SELECT * FROM hits")
 _add("relevance_ids", lambda s, d: R.relevance_ids(_matches(s, d)), ALL + " SELECT id FROM hits ORDER BY id")
-_add("relevance_sites", lambda s, d: R.relevance_sites(_matches(s, d), source_files(s, d), roots(s, d)).select(
-         "source", "rel_path", "line", "raw_call", "kind", "emitted_count", F.size(F.split("snippet", "\n")).cast("bigint").alias("snippet_lines"),
-         F.contains("snippet", "raw_call").alias("has_call")),
+_add("relevance_sites", _sites,
      ALL + " SELECT source, rel_path, line, raw_call, kind, count(*) AS emitted_count, 3 AS snippet_lines, true AS has_call FROM hits GROUP BY ALL")
 _add("message_needle", lambda s, d: code_events(s, d).select("id", S.message_needle(F.col("msg")).alias("needle")),
      "WITH " + EVENTS + """ SELECT id, CASE WHEN id % 4 = 0 OR id % 8 = 1 THEN CASE WHEN length(regexp_extract(plain, '^(.*) \\d', 1)) >= 8 THEN regexp_extract(plain, '^(.*) \\d', 1) END
@@ -165,3 +178,20 @@ _add("emission_sites", lambda s, d: S.emission_sites(code_events(s, d), source_f
 _add("code_slice", lambda s, d: S.code_slice(source_files(s, d), "src/p7.java", 4, 2).select("path", "line", "text"),
      """SELECT 'src/p7.java' AS path, unnest([2, 3, 4, 5, 6]) AS line,
      unnest(['import static com.acme.util.*;', 'class P {', '  void run(int n) {', '    logger.info("java job p7 took " + n + " seconds");', '    log.debug(n);']) AS text FROM part WHERE p_partkey = 7""")
+
+
+def whole_sql(sql: str) -> str:
+    """The twin of a query above over a diff that touches every part and messages that name every part."""
+    return sql.replace(" WHERE k % 50 = 1", "").replace(
+        "user_id % 200 AS part", "(event_id + 1 - (event_id + 1) // 4) % (SELECT count(*) FROM part) AS part")
+
+
+for _name, _run in {
+    "touched_files": lambda s, d: R.touched_files(diff_lines(s, d, True)),
+    "diff_added_lines": lambda s, d: R.diff_added_lines(diff_lines(s, d, True)),
+    "relevance_patterns": lambda s, d: patterns(s, d, True).drop("pieces"),
+    "match_relevance": lambda s, d: _matches(s, d, True),
+    "relevance_ids": lambda s, d: R.relevance_ids(_matches(s, d, True)),
+    "relevance_sites": lambda s, d: _sites(s, d, True),
+}.items():
+    _add(f"{_name}_whole", _run, whole_sql(ENTRIES[_name][1]))
