@@ -21,8 +21,8 @@ def _t(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def source_files(spark: SparkSession, sf: str) -> DataFrame:
-    """(root, path, content)."""
+def source_files(spark: SparkSession, sf: str, chained: bool = False) -> DataFrame:
+    """(root, path, content); ``chained`` lets nine of ten hubs re-export the next hub too."""
     k = F.col("p_partkey")
     web = _t("import { step } from './p", k + 3, "';\nimport x from \"./hub", F.floor(k / 10), "/index\";\n"
              "export function run(n) {\n  console.log(`loading widget ${n} from shelf p", k, " ready`);\n  logger.warn('part %d of ", F.col("p_brand"), " low', n);\n}\n")
@@ -34,9 +34,12 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
     content = F.when(k % 3 == 0, rust).when(k % 3 == 1, java).otherwise(web)
     parts = spread(table(spark, sf, "part"))
     files = parts.select(F.lit("/app").alias("root"), _t("src/p", k, ".", kind).alias("path"), content.alias("content"))
+    exports = _t("export * from '../p", k + 1, "';\nexport { a, b } from \"../p", k + 2, "\";\n")
+    if chained:
+        hub = F.floor(k / 10)
+        exports = F.concat(exports, F.when(hub % 10 != 9, _t("export * from '../hub", hub + 1, "/index';\n")).otherwise(""))
     hubs = parts.filter(k % 10 == 0).select(
-        F.lit("/app").alias("root"), _t("src/hub", F.floor(k / 10), "/index.ts").alias("path"),
-        _t("export * from '../p", k + 1, "';\nexport { a, b } from \"../p", k + 2, "\";\n").alias("content"))
+        F.lit("/app").alias("root"), _t("src/hub", F.floor(k / 10), "/index.ts").alias("path"), exports.alias("content"))
     return files.unionByName(hubs)
 
 
@@ -135,6 +138,19 @@ def _origins(s: SparkSession, d: str) -> DataFrame:
 _add("expand_barrels", lambda s, d: _origins(s, d).select("module", "origin"),
      "WITH " + PARTS + """ SELECT 'p' || k AS module, path AS origin FROM files WHERE k % 10 = 1
      UNION ALL SELECT 'hub' || h.h, f.path FROM hubs h JOIN files f ON f.k = h.k + 1""")
+
+
+def _all_origins(s: SparkSession, d: str) -> DataFrame:
+    files = source_files(s, d, chained=True)
+    return R.expand_barrels(R.module_ids(files).select("root", "module", F.col("path").alias("origin")), R.extract_reexports(files))
+
+
+_add("expand_barrels_whole", lambda s, d: _all_origins(s, d).select("module", "origin"),
+     "WITH RECURSIVE " + PARTS + """, edge AS (SELECT 'hub' || h AS own, unnest(['p' || (k + 1), 'p' || (k + 2)]) AS module FROM hubs
+       UNION ALL SELECT 'hub' || h, 'hub' || (h + 1) FROM hubs WHERE h % 10 <> 9),
+     grown AS (SELECT 'p' || k AS module, path AS origin FROM files UNION SELECT 'hub' || h, path FROM hubs
+       UNION SELECT e.own, g.origin FROM grown g JOIN edge e ON e.module = g.module)
+     SELECT module, origin FROM grown""")
 REACH = """origin AS (SELECT 'p' || k AS module, path AS origin FROM touched
     UNION SELECT 'hub' || h.h, t.path FROM hubs h JOIN touched t ON t.k IN (h.k + 1, h.k + 2)),
   imported AS (SELECT path, 'p' || (k + 3) AS module FROM files UNION SELECT path, 'hub' || (k // 10) FROM files WHERE ext = 'ts'),

@@ -35,3 +35,11 @@ def test_every_part_takes_part(spark, duck, name):
     assert len(got) > duck.execute(f"SELECT count(*) FROM ({registered.oracle_sql()[name]})").fetchone()[0]
     if name == "touched_files":  # all but the deleted file
         assert len(got) == duck.execute("SELECT count(*) FROM part WHERE p_partkey % 200 <> 51").fetchone()[0]
+
+
+def test_barrels_of_barrels(spark, duck):
+    got = rows_of(spark, duck, "expand_barrels_whole")
+    assert {o for _, o in got} > {repr(p) for (p,) in duck.execute(
+        "SELECT 'src/p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.java' ELSE '.ts' END FROM part").fetchall()}
+    last = [o for m, o in got if m == "'hub0'"]  # ten hubs in a row: each hands on two modules and itself
+    assert len(last) == 30 and "'src/p92.ts'" in last and "'src/hub9/index.ts'" in last
