@@ -48,7 +48,7 @@ _add("stream_histogram", lambda s, d: S.stream_histogram(event_stream(s, d), 86_
      count(*) FILTER (WHERE level NOT IN ('error', 'warn')) AS rest, count(*) AS total FROM log_events GROUP BY 1""")
 _add("stream_facets", lambda s, d: S.stream_facets(event_stream(s, d), S.new_folder(s, "stream-facets")).select("path", "value", "count"),
      A.FACETS + "SELECT path, value, count FROM counts")
-_add("stream_alerts", lambda s, d: S.stream_alerts(event_stream(s, d), E.PLAIN_RULES, S.new_folder(s, "stream-alerts"), E.NOW_MS)[1],
+_add("stream_alerts", lambda s, d: S.stream_alerts(event_stream(s, d), E.RULES, S.new_folder(s, "stream-alerts"), E.NOW_MS)[1],
      E.ENTRIES["alert_fires"][1])
 
 

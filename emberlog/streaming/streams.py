@@ -192,16 +192,30 @@ def stream_facets(events: DataFrame, out: str) -> DataFrame:
 
 
 def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(matches, fires) on arrival; the gate state is carried from batch to batch."""
+    """(matches, fires) on arrival; the gate state is carried from batch to batch.
+
+    Where a rule depends on the distribution of all events, matches are those of all events seen, computed
+    anew per batch; fires come from the events of each batch under what was seen until then.
+    """
     spark = events.sparkSession
-    matches = A.match_alerts(events, rules, now_ms).select("id", "ts", "msg", "raw", "alert_ids")
+    columns = ("id", "ts", "msg", "raw", "alert_ids")
+    whole = A.rules_aggregate(rules, now_ms or 0)
+    matches = events if whole else A.match_alerts(events, rules, now_ms).select(*columns)
     states: dict[int, dict] = {}
 
+    def matched(batch: DataFrame, number: int) -> DataFrame:
+        """The matches among the events of a batch, with all matches so far written beside them."""
+        batch.write.mode("overwrite").parquet(f"{out}/seen/part={number}")
+        seen = spark.read.schema(batch.schema).parquet(f"{out}/seen").filter(F.col("part") <= number)
+        A.match_alerts(seen, rules, now_ms).select(*columns).write.mode("overwrite").parquet(f"{out}/all/v{number}")
+        return A.match_alerts(seen.filter(F.col("part") == number), rules, now_ms, over=seen).select(*columns)
+
     def gate(batch: DataFrame, number: int) -> None:
         path = f"{out}/state/b{number - 1}"
         state = states.get(number - 1)
         if state is None and number > 0:  # restarted: read what the batch before left behind
             state = {k: tuple(v) for k, v in json.loads(spark.read.text(path).first()[0]).items()}
+        batch = matched(batch, number) if whole else batch
         batch.write.mode("overwrite").parquet(f"{out}/matches/part={number}")
         seen = spark.read.schema(batch.schema).parquet(f"{out}/matches/part={number}")
         fires = stage_table(A.alert_fires(seen, rules, state=state))
@@ -211,7 +225,8 @@ def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int |
         text.coalesce(1).write.mode("overwrite").text(f"{out}/state/b{number}")
 
     run_available(matches, out, each=gate)
-    return tuple(spark.read.parquet(f"{out}/{name}").drop("part") for name in ("matches", "fires"))
+    found, fires = (spark.read.parquet(f"{out}/{name}").drop("part") for name in ("matches", "fires"))
+    return spark.read.parquet(f"{out}/all/v{last_batch(spark, out)}") if whole else found, fires
 
 
 def stream_relevance(events: DataFrame, patterns: Callable[[], DataFrame], out: str) -> DataFrame:

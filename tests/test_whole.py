@@ -3,9 +3,16 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as registered
+from emberlog.operators.alerts import alert_fires, match_alerts
+from emberlog.plans.events_catalog import NOW_MS, RULES
+from emberlog.sources.fixtures import log_events
+from emberlog.streaming import streams as S
 from tests.conftest import SF
 from tests.test_oracle import TABLES, plain
+from tests.test_streaming import in_files, rows
 
 WHOLE_DIFF = "touched_files diff_added_lines relevance_patterns match_relevance relevance_ids relevance_sites stream_relevance".split()
 
@@ -43,3 +50,17 @@ def test_barrels_of_barrels(spark, duck):
         "SELECT 'src/p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.java' ELSE '.ts' END FROM part").fetchall()}
     last = [o for m, o in got if m == "'hub0'"]  # ten hubs in a row: each hands on two modules and itself
     assert len(last) == 30 and "'src/p92.ts'" in last and "'src/hub9/index.ts'" in last
+
+
+def test_alerts_on_percentiles(spark, duck, tmp_path):
+    events = log_events(spark, SF)
+    stream = in_files(spark, events.withColumn("f", F.to_json("fields")).drop("fields"), "id", f"{tmp_path}/in")
+    stream = stream.withColumn("fields", F.try_parse_json("f")).drop("f")
+    want = match_alerts(events, RULES, NOW_MS)
+    assert want.filter(F.array_contains("alert_ids", "d-slow")).count() > 5
+    for _ in range(2):  # started again, nothing is new
+        matches, fires = S.stream_alerts(stream, RULES, f"{tmp_path}/alerts", NOW_MS)
+        assert rows(matches, "id", "alert_ids") == rows(want, "id", "alert_ids")
+        assert rows(fires, "id", "alert_id", "suppressed") == rows(alert_fires(want, RULES), "id", "alert_id", "suppressed")
+    for name in ("stream_alerts", "match_alerts_delta_whole"):
+        rows_of(spark, duck, name)
