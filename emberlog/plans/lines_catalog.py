@@ -105,7 +105,7 @@ def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
         status.alias("status"), F.when(e % 2 == 0, "OK").alias("status_text"), F.when(status == 0, "net down").alias("error"))
 
 
-_add("http_exchange_events", lambda s, d: S.http_exchange_events(_exchanges(s, d)),
+_add("http_exchange_events", lambda s, d: S.http_exchange_events(_exchanges(s, d)).drop("method", "url", "status"),
      """WITH x AS (SELECT event_id AS exchange, 'https://shop.test/' || event_type || '/' || repeat('ab', event_id % 110) AS url,
        [200, 404, 503, 0, 302][event_id % 5 + 1] AS status, CASE WHEN event_id % 2 = 0 THEN 'OK' ELSE '' END AS st FROM events),
      c AS (SELECT *, CASE WHEN length(url) > 200 THEN left(url, 199) || '…' ELSE url END AS long, CASE WHEN length(url) > 180 THEN left(url, 179) || '…' ELSE url END AS short FROM x)

@@ -89,7 +89,8 @@ def explode_envelopes(posts: DataFrame, body: str = "body", now_ms: int | None =
 def http_exchange_events(exchanges: DataFrame) -> DataFrame:
     """Request and response of each exchange as two events (``part`` 0 and 1).
 
-    Expects source, ts, method, url, status, status_text, error; ``status`` 0 is a failed request.
+    Expects source, ts, method, url, status, status_text, error; ``status`` 0 is a failed request. The message
+    shortens a long URL; method, whole url and status are columns beside it.
     """
 
     def cut(c: str, n: int):
@@ -113,7 +114,7 @@ def http_exchange_events(exchanges: DataFrame) -> DataFrame:
     response = F.struct(
         F.lit(1).alias("part"), level.alias("level"), F.when(status == 0, failure).otherwise(answer).alias("msg")
     )
-    keep = [c for c in exchanges.columns if c not in ("source", "method", "url", "status", "status_text", "error")]
+    keep = [c for c in exchanges.columns if c not in ("source", "status_text", "error")]
     return exchanges.select(
         *keep, F.concat("source", F.lit(":net")).alias("source"), F.explode(F.array(request, response)).alias("_e")
     ).select(*keep, "source", F.col("_e.part").cast("bigint").alias("part"), "_e.level", "_e.msg")

@@ -9,6 +9,7 @@ import __spark_entry__ as registered
 from emberlog.operators.alerts import alert_fires, match_alerts
 from emberlog.plans.events_catalog import NOW_MS, RULES
 from emberlog.sources.fixtures import log_events
+from emberlog.sources.lines import http_exchange_events
 from emberlog.streaming import streams as S
 from tests.conftest import SF
 from tests.test_oracle import TABLES, plain
@@ -64,3 +65,13 @@ def test_alerts_on_percentiles(spark, duck, tmp_path):
         assert rows(fires, "id", "alert_id", "suppressed") == rows(alert_fires(want, RULES), "id", "alert_id", "suppressed")
     for name in ("stream_alerts", "match_alerts_delta_whole"):
         rows_of(spark, duck, name)
+
+
+def test_http_columns_keep_the_whole_url(spark, duck):
+    url = "https://shop.test/" + "ab" * 300 + "?tail=1"
+    exchange = spark.createDataFrame([("web", 1, "get", url, 404, "Not Found", None)],
+                                     "source string, ts long, method string, url string, status int, status_text string, error string")
+    got = http_exchange_events(exchange).filter(F.col("url").endswith("?tail=1")).orderBy("part").collect()
+    assert [(r.part, r.method, r.url, r.status) for r in got] == [(0, "get", url, 404), (1, "get", url, 404)]
+    assert all(r.msg.endswith("…") for r in got)
+    rows_of(spark, duck, "http_exchange_events")
