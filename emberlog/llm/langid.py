@@ -20,9 +20,8 @@ from pyspark.sql.window import Window
 from emberlog.llm.common import crc_mod
 
 UNKNOWN = "und"
-#: The fit reads at most so many labelled texts of a language, and so many characters of each.
+#: The fit reads at most so many labelled texts of a language, each of them whole.
 TEXTS_PER_LANGUAGE = 250
-CHARACTERS_PER_TEXT = 20_000
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-4
 #: Texts scored in one matrix product.
@@ -75,11 +74,16 @@ class KernelModel:
 
 def fit(texts: list[str], labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE):
     """Ridge regression on kernels to the first texts of each language; None without a labelled text."""
+    table = letter_table()
+    return fit_spectra([spectrum(text, table) for text in texts], labels, landmarks_per_language, ridge)
+
+
+def fit_spectra(
+    spectra: list[np.ndarray], labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE
+) -> KernelModel | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    table = letter_table()
-    spectra = [spectrum(text, table) for text in texts]
     chosen = [i for one in languages for i in [k for k, x in enumerate(labels) if x == one][:landmarks_per_language]]
     grams = np.unique(np.concatenate([spectra[i] for i in chosen]))
     presence = np.array([np.isin(grams, spectra[i], assume_unique=True) for i in chosen], np.uint8)
@@ -92,8 +96,19 @@ def fit(texts: list[str], labels: list[str], landmarks_per_language: int = LANDM
     return model
 
 
-def labelled_sample(docs: DataFrame, training: Column, per_language: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most ``per_language`` training rows a language, those of least hash of the id."""
+def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = letter_table()
+    for batch in batches:
+        ids, labels, texts = batch.columns
+        grams = pa.array([spectrum(t or "", table).tobytes() for t in texts.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, labels, grams], ["doc_id", "lang", "grams"])
+
+
+def labelled_sample(docs: DataFrame, training: Column, per_language: int) -> tuple[list[np.ndarray], list[str]]:
+    """Spectra of whole texts and labels of at most ``per_language`` training rows a language, those of least hash of the id.
+
+    Only the distinct n-grams come to the driver, whose number the length of a text hardly moves.
+    """
     known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = [r.doc_id for r in known.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").collect()]
@@ -101,11 +116,12 @@ def labelled_sample(docs: DataFrame, training: Column, per_language: int) -> tup
         return [], []
     rows = (
         docs.filter(training & F.col("lang").isNotNull() & F.col("doc_id").isin(ids))
-        .select("doc_id", "lang", F.substring("text", 1, CHARACTERS_PER_TEXT).alias("text"))
+        .select("doc_id", "lang", "text")
+        .mapInArrow(_spectra, "doc_id long, lang string, grams binary")
         .collect()
     )
-    rows.sort(key=lambda r: (hash_order(r.doc_id), r.lang, r.text or ""))
-    return [r.text or "" for r in rows], [r.lang for r in rows]
+    rows.sort(key=lambda r: (hash_order(r.doc_id), r.lang, bytes(r.grams)))
+    return [np.frombuffer(r.grams, np.uint64) for r in rows], [r.lang for r in rows]
 
 
 def hash_order(doc_id: int) -> int:
@@ -142,11 +158,13 @@ def identify_language(
     held_out_fold: int = 2,
     keep: tuple[str, ...] | None = None,
     answer: tuple[str, str] = ("lang_pred", "score"),
+    texts_per_language: int = TEXTS_PER_LANGUAGE,
+    landmarks_per_language: int = LANDMARKS_PER_LANGUAGE,
 ) -> DataFrame:
     """Predict the language of every whole text of ``docs`` (doc_id, text, lang).
 
     Only rows whose crc32 of the id is not ``held_out_fold`` modulo ``folds`` and whose label is known are learned
-    from, a bounded number of each language (see the constants above). Returns doc_id and held_out, or instead the
+    from, ``texts_per_language`` whole texts of each at most. Returns doc_id and held_out, or instead the
     columns named in ``keep``, and lang_pred and score in [0, 1], which ``answer`` may name differently. ``und`` with score 0 stands for a null text, a text without letters, and
     every text if nothing could be learned. A null id is not held out and not learned from. Repeated rows each
     get the same answer; equal values go to the language that sorts first. No rows in: no rows out.
@@ -154,7 +172,7 @@ def identify_language(
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     held_out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out_fold, F.lit(False))
     training = F.col("doc_id").isNotNull() & ~held_out
-    model = fit(*labelled_sample(docs, training, TEXTS_PER_LANGUAGE))
+    model = fit_spectra(*labelled_sample(docs, training, texts_per_language), landmarks_per_language)
     columns = ["doc_id", "held_out"] if keep is None else list(keep)
     rows = docs.select(*dict.fromkeys([*(c for c in columns if c in docs.columns), "text"]))
     if keep is None:
@@ -166,8 +184,9 @@ def identify_language(
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; rows answered ``und`` go."""
+    """The rows of ``docs``, all columns, whose language can be told; of rows answered ``und``, those with letters stay."""
     columns = docs.columns
     marks = tuple(next(n for n in (f"{name}{'_' * k}" for k in range(1, 99)) if n not in columns) for name in ("pred", "sure"))
     marked = identify_language(docs, keep=tuple(columns), answer=marks)
-    return marked.filter(F.col(marks[0]) != UNKNOWN).select(*columns)
+    letters = F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False))
+    return marked.filter((F.col(marks[0]) != UNKNOWN) | letters).select(*columns)
