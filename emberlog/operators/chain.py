@@ -77,6 +77,8 @@ def run_chain(
     if several.isEmpty():
         shared = shared.withColumn("entry", F.lit(0).cast("bigint"))
     else:
+        # dealt out by chunk here, as a table that lies by source already would not be dealt again
+        shared = shared.repartition(*keys, "chunk")
         tables = (
             shared.filter(F.col("chunk") < chunk_of(F.col("pos_last"), chunk_lines))
             .groupBy(*keys, "chunk")

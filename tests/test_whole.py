@@ -3,11 +3,13 @@
 import duckdb
 import pytest
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from emberlog.llm.langid import identify_language, keep_identified
 from emberlog.operators.alerts import alert_fires, match_alerts
+from emberlog.operators.chain import run_chain
 from emberlog.plans.events_catalog import NOW_MS, RULES
 from emberlog.sources.fixtures import log_events
 from emberlog.sources.lines import http_exchange_events
@@ -90,3 +92,26 @@ def test_training_texts_are_read_whole(spark):
 def test_nothing_learned_keeps_letters(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 !?", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in keep_identified(docs).collect()] == [1]
+
+
+def test_chunks_of_a_hot_source_are_dealt_out(spark, tmp_path):
+    def step(rows):
+        task = TaskContext.get()
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(f"{task.stageId()} {task.partitionId()}\n")
+        return rows.index.to_numpy() + 1
+
+    lines = spark.range(2000).select(F.lit("hot").alias("source"), F.col("id").alias("seq"))
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}  # as with a large table
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        got = run_chain(lines, ["source"], ["seq"], step, 5, 10)
+        assert got.filter("start = pos").count() == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    calls = [line.split() for line in open(f"{tmp_path}/calls")]
+    for stage in {s for s, _ in calls}:
+        assert len({p for s, p in calls if s == stage}) > 1
