@@ -13,9 +13,13 @@ from emberlog.llm.forest import forest_neighbours
 from emberlog.llm.jaccard import jaccard_components
 from emberlog.llm.langid import identify_language
 from emberlog.llm.maxscore import maxscore_top_k
+from emberlog.llm.merkle import manifest_report
+from emberlog.llm.merkle_sql import manifest_sql
 from emberlog.llm.packing import pack_documents
 from emberlog.llm.sharding import shard_documents
 from emberlog.llm.pieces import sample_segmentations
+from emberlog.llm.quality import quality_scores
+from emberlog.llm.rtree import HARD_NEGATIVES_SQL, hard_negatives, rotated_label
 from emberlog.llm.substring import repeat_report
 from emberlog.llm.warc import archive_pages
 
@@ -60,6 +64,19 @@ def op10_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op12_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hard_negatives(table(spark, sf_dir, "embeddings"), rotated_label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gumbel_segmentations": op1_gumbel_segmentations,
     "op2_repeated_phrases": op2_repeated_phrases,
@@ -71,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_projection_forest": op8_projection_forest,
     "op9_content_addressed_warc": op9_content_addressed_warc,
     "op10_vertical_jaccard": op10_vertical_jaccard,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_factorisation_machine": op12_factorisation_machine,
+    "op13_rtree_negatives": op13_rtree_negatives,
 }
 
 _VECTORS = """
@@ -104,4 +124,6 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> response THEN response END AS refers_to
 FROM payloads""",
+    "op11_merkle_manifest": manifest_sql(),
+    "op13_rtree_negatives": HARD_NEGATIVES_SQL,
 }
