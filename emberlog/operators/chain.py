@@ -4,7 +4,7 @@ Some line grouping is a chain: starting fresh at line *i*, the rules consume a b
 lines and start fresh again at line *j*. Which lines are starts depends on all earlier ones, yet
 a chunk of lines is fully described by a small table: for each entry offset (below the bound) the
 offset at which the chain enters the next chunk. The tables are built in parallel, composed along
-each source (one row per chunk), and a second parallel pass then walks every chunk from its entry.
+each source in a tree of blocks of chunks, and a second parallel pass then walks every chunk from its entry.
 """
 
 from __future__ import annotations
@@ -17,8 +17,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.ordering import chunk_of, with_source_position
+from emberlog.session import stage_table
 
 CHUNK_LINES = 50_000
+#: Tables composed in one step.
+FAN_IN = 64
+
+
+def _through(tables: list, bound: int) -> np.ndarray:
+    """The table of a block of chunks: where the chain leaves it, for each entry offset below ``bound``."""
+    at = np.arange(bound, dtype=np.int64)
+    for table in tables:
+        at = np.full(1, table[0]) if len(table) == 1 else np.asarray(table, dtype=np.int64)[at]
+    return at[:1] if (at == at[0]).all() else at
+
+
+def _entries(tables: DataFrame, keys: list[str], key_schema: str, bound: int, most: int) -> DataFrame:
+    """Entry offset of every chunk but the first of its key, from ``tables`` (keys, chunk, exits), at most ``most`` a key.
+
+    Upwards, every ``FAN_IN`` neighbouring tables become one; downwards, the entry of a block gives those of
+    its parts. So no task sees more than that many tables, however many a key has.
+    """
+    levels = [tables]
+    size = most
+    while size > FAN_IN:
+        below = levels[-1]
+
+        def merge(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("chunk")
+            head = rows.iloc[0]
+            merged = _through(rows["exits"].tolist(), bound).tolist()
+            return pd.DataFrame([{**{k: head[k] for k in keys}, "chunk": head["chunk"] // FAN_IN, "exits": merged}])
+
+        block = F.floor(F.col("chunk") / FAN_IN).alias("_block")
+        levels.append(
+            stage_table(below.groupBy(*keys, block).applyInPandas(merge, f"{key_schema}, chunk bigint, exits array<bigint>"))
+        )
+        size = -(-size // FAN_IN)
+
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        entry, out = int(rows["entry"].iloc[0]), []
+        for chunk, table in zip(rows["chunk"], rows["exits"]):
+            out.append((chunk, entry))
+            entry = int(table[0] if len(table) == 1 else table[entry])
+        head = rows.iloc[0]
+        found = pd.DataFrame([*out, (out[-1][0] + 1, entry)], columns=["chunk", "entry"])
+        return found.assign(**{k: head[k] for k in keys})[[*keys, "chunk", "entry"]]
+
+    entries = None
+    for tables in reversed(levels):
+        block = F.floor(F.col("chunk") / FAN_IN)
+        if entries is None:
+            held = tables.withColumn("_block", block).withColumn("entry", F.lit(0).cast("bigint"))
+        else:
+            held = tables.withColumn("_block", block).join(entries.withColumnRenamed("chunk", "_block"), [*keys, "_block"])
+        parts = held.repartition(*keys, "_block").groupBy(*keys, "_block")
+        # the chunk after a block's last is the first of the next block, which has its entry from above
+        found = parts.applyInPandas(part, f"{key_schema}, chunk bigint, entry bigint")
+        entries = found.groupBy(*keys, "chunk").agg(F.max("entry").alias("entry"))
+    return entries
 
 
 def run_chain(
@@ -65,16 +123,8 @@ def run_chain(
             table = table[:1]
         return pd.DataFrame([{**{k: head[k] for k in keys}, "chunk": head["chunk"], "exits": table.tolist()}])
 
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        out, entry = [], 0
-        for row in rows.sort_values("chunk").to_dict("records"):
-            table = row["exits"]
-            entry = int(table[0] if len(table) == 1 else table[entry])
-            out.append({**{k: row[k] for k in keys}, "chunk": row["chunk"] + 1, "entry": entry})
-        return pd.DataFrame(out)
-
-    several = placed.filter(F.col("pos_last") >= chunk_lines)
-    if several.isEmpty():
+    longest = placed.agg(F.max("pos_last")).first()[0] or 0
+    if longest < chunk_lines:
         shared = shared.withColumn("entry", F.lit(0).cast("bigint"))
     else:
         # dealt out by chunk here, as a table that lies by source already would not be dealt again
@@ -84,7 +134,7 @@ def run_chain(
             .groupBy(*keys, "chunk")
             .applyInPandas(summarise, f"{key_schema}, chunk bigint, exits array<bigint>")
         )
-        entries = tables.groupBy(*keys).applyInPandas(compose, f"{key_schema}, chunk bigint, entry bigint")
+        entries = _entries(stage_table(tables), keys, key_schema, bound, longest // chunk_lines)
         shared = shared.join(entries, [*keys, "chunk"], "left").withColumn(
             "entry", F.coalesce("entry", F.lit(0).cast("bigint"))
         )

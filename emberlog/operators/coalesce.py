@@ -21,6 +21,8 @@ IDLE_MS = 150
 MAX_LINES = 200
 MAX_BYTES = 64 * 1024
 
+BEFORE_ALL = -(2**63) + 1
+
 
 def continues_by_shape(df: DataFrame, rules=BUILTIN_RULES) -> DataFrame:
     """Add ``cont``: frame-shaped message, or a body (prefix removed) that is indented or a frame."""
@@ -32,7 +34,7 @@ def continues_by_shape(df: DataFrame, rules=BUILTIN_RULES) -> DataFrame:
 
 
 def group_heads(df: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Add ``head``: the ``seq`` of the group head of every line, size caps left aside.
+    """Add ``head``: one value for the lines of a group, that is the ``seq`` of its head or ``BEFORE_ALL``, size caps left aside.
 
     Needs ``cont``, ``gap`` and ``err``. A line that neither continues by shape nor is an error
     always starts a group, as does one after a pause; between two such certain heads (a block) an
@@ -43,8 +45,8 @@ def group_heads(df: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     certain = F.col("gap") | (~F.col("cont") & ~F.col("err"))
     marked = df.withColumn("_starter", starter).withColumn("_certain", F.when(certain, F.col("seq")))
     blocks = running_max(marked, "source", "seq", "_certain", "_block", chunk_lines)
-    first = blocks.groupBy("source").agg(F.min("seq").alias("_first"))
-    blocks = blocks.join(first, "source").withColumn("_block", F.coalesce("_block", "_first")).drop("_first")
+    # lines before the first certain head are one block; its name only has to differ from every seq
+    blocks = blocks.withColumn("_block", F.coalesce("_block", F.lit(BEFORE_ALL)))
     facts = blocks.groupBy("source", "_block").agg(
         F.min(F.when(F.col("_starter") & (F.col("seq") != F.col("_block")), F.col("seq"))).alias("_turn"),
         F.min(F.when(F.col("err"), F.col("seq"))).alias("_err"),

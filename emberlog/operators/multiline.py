@@ -8,39 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.chain import CHUNK_LINES, run_chain
+from emberlog.session import cut_lineage, small_side, stage_table
 
 # A record longer than this is handed on line by line.
 MAX_LINES = 500
 MAX_BYTES = 256 * 1024
 
 
-def scan_brackets(line: str, depth: int, in_string: bool, escape: bool) -> tuple[int, bool, bool]:
-    """Bracket depth after a line, ignoring brackets inside strings (which may span lines)."""
-    for ch in line:
-        if escape:
-            escape = False
-        elif in_string:
-            if ch == "\\":
-                escape = True
-            elif ch == '"':
-                in_string = False
-        elif ch == '"':
-            in_string = True
-        elif ch in "{[":
-            depth += 1
-        elif ch in "}]":
-            depth -= 1
-    return depth, in_string, escape
+#: Where a line may begin or end: outside strings, inside one, or inside one behind a backslash that takes the next character.
+OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
+# possessive throughout, so that the time grows with the line and the matcher doesn't recurse
+_INNER = r'(?:[^"\\]++|\\.)*+'
+_STRINGS = rf'(?s)"{_INNER}(?:"|\\?\z)'
+_OPEN = rf'(?s)\A(?:[^"]++|"{_INNER}")*+"{_INNER}\\?\z'
+
+
+def _summary(text: Column) -> tuple[Column, Column]:
+    """Change of bracket depth over a text that begins outside strings, and where it ends."""
+    outside = F.regexp_replace(text, _STRINGS, "")  # an open string runs to the end of the line
+    change = F.length(F.regexp_replace(outside, r"[^{\[]", "")) - F.length(F.regexp_replace(outside, r"[^}\]]", ""))
+    slashes = F.length(F.regexp_extract(text, r"(?<!\\)(\\*+)\z", 1))
+    end = F.when(~text.rlike(_OPEN), OUTSIDE).when(slashes % 2 == 0, INSIDE).otherwise(ESCAPED)
+    return change, end
+
+
+def with_summaries(lines: DataFrame) -> DataFrame:
+    """Add what a line does to the brackets around it: ``change_s`` and ``end_s`` for each place ``s`` where it may begin.
+
+    A line that begins inside a string is one that begins outside behind a quotation mark.
+    """
+    line = F.col("line")
+    begun = {
+        OUTSIDE: line,
+        INSIDE: F.concat(F.lit('"'), line),
+        ESCAPED: F.concat(F.lit('"'), F.substring(line, 2, 2**31 - 1)),
+    }
+    for place, text in begun.items():
+        change, end = _summary(text)
+        lines = lines.withColumns({f"change_{place}": change.cast("int"), f"end_{place}": end.cast("int")})
+    return lines
 
 
 def opens_record(line: Column) -> Column:
     """Whether a line starts with a bracket and leaves it, or a string, open."""
-    outside = F.regexp_replace(line, r'(?s)"(?:\\.|[^"\\])*+"', "")
-    open_string = F.contains(outside, F.lit('"'))
-    outside = F.substring_index(outside, '"', 1)
-    opens = F.length(F.regexp_replace(outside, r"[^{\[]", ""))
-    closes = F.length(F.regexp_replace(outside, r"[^}\]]", ""))
-    return line.rlike(r"(?U)\A\s*[{\[]") & (open_string | (opens > closes))
+    change, end = _summary(line)
+    return line.rlike(r"(?U)\A\s*[{\[]") & ((end != OUTSIDE) | (change > 0))
 
 
 def _pauses(rows: pd.DataFrame, idle_ms: int | None) -> np.ndarray:
@@ -51,50 +63,45 @@ def _pauses(rows: pd.DataFrame, idle_ms: int | None) -> np.ndarray:
     return pause
 
 
-def _next_start(rows: pd.DataFrame, max_lines: int, max_bytes: int, idle_ms: int | None) -> np.ndarray:
-    """Index of the next fresh line, for every line taken as a fresh one."""
+def _ends(rows: pd.DataFrame, starts: np.ndarray, max_lines: int, max_bytes: int, idle_ms: int | None):
+    """Where the record begun at each of ``starts`` ends, and whether its brackets and strings are closed there.
+
+    All records grow by one line at a time together; each line is looked up by the place where it begins.
+    """
     n = len(rows)
-    nxt = np.arange(1, n + 1, dtype=np.int64)
-    lines = rows["line"].to_numpy()
     pause = _pauses(rows, idle_ms)
-    for i in np.flatnonzero(rows["opener"].to_numpy()):
-        state = scan_brackets(lines[i], 0, False, False)
-        size, j = len(lines[i].encode()), i + 1
-        while j < n and not pause[j]:
-            state = scan_brackets(lines[j], *state)
-            size += 1 + len(lines[j].encode())
-            j += 1
-            closed = state[0] <= 0 and not state[1]
-            if closed or j - i >= max_lines or size >= max_bytes:
-                break
-        nxt[i] = j
-    return nxt
-
-
-def _records(
-    rows: pd.DataFrame, ranges: list[tuple[int, int]], columns: list[str], max_lines: int, max_bytes: int
-) -> pd.DataFrame:
-    """One row per record, its lines joined; a record that hit a cap while open stays split."""
-    lines = rows["line"].to_numpy()
-    first, last, texts = [], [], []
-    for i, j in ranges:
-        text = lines[i] if j - i == 1 else "\n".join(lines[i:j])
-        if j - i >= max_lines or (j - i > 1 and len(text.encode()) >= max_bytes):
-            state = (0, False, False)
-            for line in lines[i:j]:
-                state = scan_brackets(line, *state)
-            if state[0] > 0 or state[1]:
-                first += range(i, j)
-                last += range(i, j)
-                texts += list(lines[i:j])
-                continue
-        first.append(i)
-        last.append(j - 1)
-        texts.append(text)
-    out = rows.iloc[first][columns].assign(line=texts)
-    if "arrival_ms" in columns:
-        out["last_arrival_ms"] = rows["arrival_ms"].to_numpy()[last]
-    return out
+    changes, ends = (np.stack([rows[f"{what}_{s}"].to_numpy() for s in (OUTSIDE, INSIDE, ESCAPED)]) for what in ("change", "end"))
+    widths = rows["bytes"].to_numpy()
+    stop, closed = starts + 1, np.zeros(len(starts), dtype=bool)
+    going = np.arange(len(starts))
+    depth, place, size = changes[OUTSIDE, starts].astype(np.int64), ends[OUTSIDE, starts], widths[starts].astype(np.int64)
+    while len(going):
+        line = stop[going]
+        more = line < n
+        more[more] = ~pause[line[more]]
+        going, depth, place, size, line = (x[more] for x in (going, depth, place, size, line))
+        depth, place, size = depth + changes[place, line], ends[place, line], size + 1 + widths[line]
+        stop[going] = line + 1
+        done = (depth <= 0) & (place == OUTSIDE)
+        closed[going] = done
+        on = ~done & (line + 1 - starts[going] < max_lines) & (size < max_bytes)
+        going, depth, place, size = (x[on] for x in (going, depth, place, size))
+    return stop, closed
+
+
+def _first_lines(rows: pd.DataFrame, ranges: list[tuple[int, int]], max_lines: int, max_bytes: int, idle_ms: int | None) -> pd.DataFrame:
+    """``source, seq, first``: the record of every line; one that hit a cap while open stays split."""
+    first = np.arange(len(rows), dtype=np.int64)
+    several = np.array([r for r in ranges if r[1] - r[0] > 1], dtype=np.int64).reshape(-1, 2)
+    _, closed = _ends(rows, several[:, 0], max_lines, max_bytes, idle_ms)
+    total = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy() + 1)])
+    for (i, j), whole in zip(several.tolist(), closed.tolist()):
+        if whole or (j - i < max_lines and total[j] - total[i] - 1 < max_bytes):
+            first[i:j] = i
+    end = ranges[-1][1] if ranges else 0
+    begin = ranges[0][0] if ranges else 0
+    seq = rows["seq"].to_numpy()
+    return pd.DataFrame({"source": rows["source"].iloc[begin:end], "seq": seq[begin:end], "first": seq[first[begin:end]]})
 
 
 def join_multiline_json(
@@ -112,26 +119,49 @@ def join_multiline_json(
     """
     columns = lines.columns
     kept = lines.filter(F.col("line").rlike(r"(?U)\S")).withColumn("opener", opens_record(F.col("line")))
-    with_opener = kept.groupBy("source").agg(F.max("opener").alias("_any"))
-    marked = kept.join(with_opener, "source")
-    plain = marked.filter(~F.col("_any")).select(*columns)
-    if "arrival_ms" in columns:
-        plain = plain.withColumn("last_arrival_ms", F.col("arrival_ms"))
-    work = marked.filter(F.col("_any")).drop("_any")
+    # only these few numbers of a line take part in the grouping; its text stays in the JVM
+    timed = [c for c in ("arrival_ms",) if c in columns]
+    slim = stage_table(
+        with_summaries(kept.withColumn("bytes", F.octet_length("line").cast("bigint"))).select(
+            "source", "seq", *timed, "opener", "bytes", *(f"{what}_{s}" for s in (OUTSIDE, INSIDE, ESCAPED) for what in ("change", "end"))
+        )
+    )
+    with_opener = slim.groupBy("source").agg(F.max("opener").alias("_any")).filter("_any").select("source")
+    work = slim.join(small_side(cut_lineage(with_opener)), "source", "left_semi")
 
     def step(rows: pd.DataFrame) -> np.ndarray:
-        return _next_start(rows, max_lines, max_bytes, idle_ms)
+        nxt = np.arange(1, len(rows) + 1, dtype=np.int64)
+        openers = np.flatnonzero(rows["opener"].to_numpy())
+        nxt[openers], _ = _ends(rows, openers, max_lines, max_bytes, idle_ms)
+        return nxt
 
     def emit(rows: pd.DataFrame, ranges: list[tuple[int, int]]) -> pd.DataFrame:
-        return _records(rows, ranges, columns, max_lines, max_bytes)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    if "arrival_ms" in columns:
-        schema += ", last_arrival_ms bigint"
-    joined = run_chain(
-        work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines), emit, schema
+        found = _first_lines(rows, ranges, max_lines, max_bytes, idle_ms)
+        return found[found["seq"] != found["first"]]
+
+    kinds = dict(lines.select("source", "seq").dtypes)
+    followers = stage_table(
+        run_chain(
+            work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines), emit,
+            f"source {kinds['source']}, seq {kinds['seq']}, first {kinds['seq']}",
+        )
+    )
+    heads = followers.select("source", F.col("first").alias("seq"), "first").distinct()
+    members = followers.unionByName(heads).withColumnRenamed("first", "_first")
+    placed = kept.select(*columns).join(members, ["source", "seq"], "left")
+    alone = placed.filter(F.col("_first").isNull()).drop("_first")
+    if timed:
+        alone = alone.withColumn("last_arrival_ms", F.col("arrival_ms"))
+    # a group holds at most max_lines lines or the one that went beyond max_bytes
+    head_values = [c for c in columns if c not in ("source", "seq", "line")]
+    joined = placed.filter(F.col("_first").isNotNull()).groupBy("source", "_first").agg(
+        F.min("seq").alias("seq"),
+        *[F.min_by(c, "seq").alias(c) for c in head_values],
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda p: p["line"]), "\n").alias("line"),
+        *[F.max_by(c, "seq").alias("last_arrival_ms") for c in timed],
     )
-    return joined.unionByName(plain)
+    out = [*columns, *(["last_arrival_ms"] if timed else [])]
+    return joined.select(*out).unionByName(alone.select(*out))
 
 
 def with_gap(df: DataFrame, idle_ms: int | None, chunk_lines: int = CHUNK_LINES) -> DataFrame:

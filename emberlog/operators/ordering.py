@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.session import stage_table
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, row number below
+_STRETCH_BITS = 12  # rows of the global order that share a row of their key's bounds
 
 
 def with_dense_position(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
@@ -41,15 +42,20 @@ def with_dense_position(df: DataFrame, order: list[str], name: str, partitions:
 def with_source_position(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: 0-based rank of each row among the rows of its ``keys``; a hot key is split.
 
-    Also adds ``<name>_last``, the last rank of the key.
+    Also adds ``<name>_last``, the last rank of the key. Rows of a key lie next to each other in the global order, so they
+    learn where it begins from a table of a row per key and stretch of that order, and no join goes by the key alone.
     """
     global_pos = f"_{name}_g"
     ranked = with_dense_position(df, [*keys, *order], global_pos)
-    spans = ranked.groupBy(*keys).agg(
-        F.min(global_pos).alias("_lo"), (F.max(global_pos) - F.min(global_pos)).alias(f"{name}_last")
-    )
+    ranked = ranked.withColumn("_stretch", F.shiftright(global_pos, _STRETCH_BITS))
+    stretches = ranked.groupBy(*keys, "_stretch").agg(F.min(global_pos).alias("_lo"), F.max(global_pos).alias("_hi"))
+    stretches = stage_table(stretches)  # many times fewer rows
+    spans = stretches.groupBy(*keys).agg(F.min("_lo").alias("_lo"), (F.max("_hi") - F.min("_lo")).alias(f"{name}_last"))
+    bounds = stretches.drop("_lo", "_hi").join(spans, keys)
     return (
-        ranked.join(spans, keys).withColumn(name, F.col(global_pos) - F.col("_lo")).drop("_lo", global_pos)
+        ranked.join(bounds, [*keys, "_stretch"])
+        .withColumn(name, F.col(global_pos) - F.col("_lo"))
+        .drop("_lo", "_stretch", global_pos)
     )
 
 

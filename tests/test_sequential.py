@@ -1,16 +1,35 @@
 """Parallel grouping against one-line-at-a-time models, on random input, with chunk borders everywhere."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from emberlog.operators import percentiles
 from emberlog.operators.alerts import alert_fires, fire_state
 from emberlog.operators.coalesce import coalesce_events
-from emberlog.operators.multiline import join_multiline_json, opens_record, scan_brackets
+from emberlog.operators.multiline import join_multiline_json, opens_record, with_summaries
 from emberlog.operators.ordering import assign_event_ids
 
 
+MARK = {"{": 1, "[": 1, "}": -1, "]": -1}
+
+
+def scan_brackets(line, depth, in_string, escape):
+    """Model: bracket depth after a line, and whether a string, or an escape in it, runs on."""
+    it = iter(line[1:] if escape else line)
+    for ch in it:
+        if in_string and ch == "\\":
+            escape = next(it, None) is None
+            if escape:
+                return depth, True, True
+        elif ch == '"':
+            in_string = not in_string
+        elif not in_string:
+            depth += MARK.get(ch, 0)
+    return depth, in_string, False
+
+
 def model_join(lines, max_lines, max_bytes, idle):
     out, buf, state, before = [], [], (0, False, False), None
 
@@ -73,6 +92,24 @@ def test_caps_of_the_joiner(spark):
     assert join_multiline_json(spark.createDataFrame(exact, "source string, seq bigint, line string")).count() == 1
 
 
+def test_summaries_of_lines(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices('{}[]"\\aé😀', k=rng.randint(1, 12))) for _ in range(2000)] + ['"' + '\\"' * 100_000, "[" * 200_000]
+    rows = with_summaries(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    for r in rows:
+        for place in range(3):
+            depth, inside, escape = scan_brackets(r["line"], 0, place > 0, place == 2)
+            assert (r[f"change_{place}"], r[f"end_{place}"]) == (depth, inside + escape), (r["line"][:40], place)
+
+
+def test_thousands_of_open_brackets(spark):
+    df = spark.createDataFrame([("s", i, "{") for i in range(4000)], "source string, seq bigint, line string")
+    join_multiline_json(df.limit(10)).count()  # warm
+    begun = time.time()
+    assert join_multiline_json(df).count() == 4000
+    assert time.time() - begun < 20
+
+
 def test_opens_record(spark):
     lines = ["{", "{}", '{"a":"}', '{"a":"}"}', "x{", '["\\"', "}{", " [[]", '{"a\\"}": {', "{}}"]
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", opens_record(F.col("line")).alias("o"))
