@@ -7,7 +7,6 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
-from emberlog.llm.langid import identify_language, keep_identified
 from emberlog.operators.alerts import alert_fires, match_alerts
 from emberlog.operators.chain import run_chain
 from emberlog.plans.events_catalog import NOW_MS, RULES
@@ -80,20 +79,6 @@ def test_http_columns_keep_the_whole_url(spark, duck):
     rows_of(spark, duck, "http_exchange_events")
 
 
-def test_training_texts_are_read_whole(spark):
-    blank = "1 " * 15_000  # the words begin after the first 20,000 characters
-    texts = {"en": "the and of to in is that ", "de": "der die und das nicht ist ein "}
-    docs = spark.createDataFrame([(i, blank + texts[k], k) for i, k in enumerate(["en", "de"] * 20)] + [(99, "die und das", None)],
-                                 "doc_id long, text string, lang string")
-    answer = {r.doc_id: r.lang_pred for r in identify_language(docs, texts_per_language=10).collect()}
-    assert answer[99] == "de" and all(answer[i] == ("en", "de")[i % 2] for i in range(40))
-
-
-def test_nothing_learned_keeps_letters(spark):
-    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !?", None), (3, None, None)], "doc_id long, text string, lang string")
-    assert [r.doc_id for r in keep_identified(docs).collect()] == [1]
-
-
 def test_chunks_of_a_hot_source_are_dealt_out(spark, tmp_path):
     def step(rows):
         task = TaskContext.get()
