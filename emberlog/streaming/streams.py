@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from emberlog.operators import alerts as A
 from emberlog.operators.coalesce import IDLE_MS, coalesce_events
@@ -23,8 +26,13 @@ from emberlog.operators.normalise import parse_event
 from emberlog.operators.relevance import match_relevance
 from emberlog.operators.rules import apply_parse_rules
 from emberlog.operators.search import FilterError, read_filter, search
-from emberlog.session import prepare, shared_dir, stage_table
+from emberlog.session import cut_lineage, prepare, shared_dir, small_side, stage_table
 from emberlog.sources.lines import drop_blank_lines
+from emberlog.streaming.folders import numbers, remove
+from emberlog.streaming.upsert import GONE, KeyedTable
+
+#: A live source without a line for so long gives out its last groups.
+QUIET_MS = 1000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -65,12 +73,7 @@ def run_available(stream: DataFrame, out: str, mode: str = "append", each: Calla
 
 def last_batch(spark: SparkSession, out: str) -> int:
     """Number of the last batch that the query under ``out`` has committed, -1 before the first; survives restarts."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_state/commits")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return -1
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return max((int(name) for name in names if name.isdigit()), default=-1)
+    return max(numbers(spark, f"{out}/_state/commits"), default=-1)
 
 
 def stream_events(lines: DataFrame) -> DataFrame:
@@ -78,46 +81,120 @@ def stream_events(lines: DataFrame) -> DataFrame:
     return apply_parse_rules(parse_event(drop_blank_lines(lines)))
 
 
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).unique()], batch.schema.names)
+
+
+def with_silence(lines: DataFrame, quiet_ms: int) -> DataFrame:
+    """The lines of a stream, and a row with ``_silent`` true for every source that has had none for ``quiet_ms``.
+
+    A keyed state with a timeout on the machine's clock watches the sources. It is told of each source once per Arrow batch,
+    so the lines of a hot source do not meet in its task. A source that speaks in a batch is never called silent in it.
+    """
+
+    def watch(key: tuple, told: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"source": [key[0]]})
+        else:
+            for _ in told:
+                pass
+            state.update((True,))
+            state.setTimeoutDuration(quiet_ms)
+
+    sources = lines.select("source")
+    kind = sources.schema["source"].dataType.simpleString()
+    quiet = (
+        sources.mapInArrow(_each_once, f"source {kind}")
+        .groupBy("source")
+        .applyInPandasWithState(watch, f"source {kind}", "heard boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    )
+    marks = quiet.select(
+        *(F.col(f.name) if f.name == "source" else F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema),
+        F.lit(True).alias("_silent"),
+    )
+    return lines.withColumn("_silent", F.lit(False)).unionByName(marks)
+
+
 class GroupedStream:
     """Line groups over micro-batches: every group but each source's last two is final.
 
     The last record of a source may be cut by the batch border; once complete it can turn out to
-    continue the group before it. So the lines of the last two groups are carried to the next batch;
+    continue the group before it. So the lines of the last two groups are carried to the next batch that has rows;
     they are bounded by the size caps of a group. Because grouping starts afresh at a group head, carrying whole groups is
-    exact, and a hot source is split by the batch operators like in a batch run.
+    exact, and a hot source is split by the batch operators like in a batch run. A source that ``with_silence`` calls silent
+    gives out what is carried of it.
     """
 
     def __init__(self, spark: SparkSession, out: str, group: Callable[[DataFrame], DataFrame]):
         self.spark, self.out, self.group = spark, out, group
 
+    def _carries(self, upto: int) -> list[int]:
+        return [n for n in numbers(self.spark, f"{self.out}/carry", "b") if n <= upto]
+
     def _carry(self, number: int) -> str:
         return f"{self.out}/carry/b{number}"
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        work = batch
-        if number > 0:
-            work = work.unionByName(self.spark.read.schema(batch.schema).parquet(self._carry(number - 1)))
-        work = stage_table(work)
+        work = stage_table(batch)
+        if work.isEmpty():  # a trigger at which nothing came and nobody fell silent
+            return
+        quiet = None
+        if "_silent" in work.columns:
+            quiet = work.filter("_silent").select("source")
+            work = work.filter("not _silent").drop("_silent")
+        before = self._carries(number - 1)
+        if before:
+            work = stage_table(work.unionByName(self.spark.read.schema(work.schema).parquet(self._carry(before[-1]))))
         groups = stage_table(self.group(work))
         newest = Window.partitionBy("source").orderBy(F.desc("seq"))  # top two: limited before the shuffle
         tail = groups.select("source", "seq", F.row_number().over(newest).alias("_rn")).filter("_rn <= 2")
         last = tail.groupBy("source").agg(F.min("seq").alias("_last"))
-        groups.join(last, "source").filter("seq < _last").drop("_last").write.mode("overwrite").parquet(
+        if quiet is not None:
+            last = last.join(quiet, "source", "left_anti")
+        last = small_side(cut_lineage(last))
+        groups.join(last, "source", "left").filter("_last is null or seq < _last").drop("_last").write.mode("overwrite").parquet(
             f"{self.out}/rows/part={number}"
         )
         work.join(last, "source").filter("seq >= _last").drop("_last").write.mode("overwrite").parquet(
             self._carry(number)
         )
+        for old in before[:-1]:  # a batch that runs again needs the one before it only
+            remove(self.spark, self._carry(old))
 
     def finish(self) -> DataFrame:
         """End of input: close the carried groups and read all groups."""
-        last = last_batch(self.spark, self.out)
-        if last >= 0:
-            rest = self.spark.read.parquet(self._carry(last))
+        carries = self._carries(last_batch(self.spark, self.out))
+        if carries:
+            rest = self.spark.read.parquet(self._carry(carries[-1]))
             self.group(rest).write.mode("overwrite").parquet(f"{self.out}/rows/part=end")
         return self.spark.read.option("inferSchema", False).parquet(f"{self.out}/rows").drop("part")
 
 
+def start_grouped(
+    lines: DataFrame, out: str, group: Callable[[DataFrame], DataFrame], quiet_ms: int = QUIET_MS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Start grouping live lines; closed groups appear under ``out/rows``, and the last ones of a source once it is silent.
+
+    Stopped or killed, it goes on from its last committed batch when started again with the same ``out``.
+    """
+    grouped = GroupedStream(lines.sparkSession, out, group)
+    return start_stream(with_silence(lines, quiet_ms), out, each=grouped, trigger=trigger or {"processingTime": "500 milliseconds"})
+
+
+def start_join_json(lines: DataFrame, out: str, idle_ms: int | None = IDLE_MS, **how) -> StreamingQuery:
+    """Multi-line JSON joined live; see ``start_grouped``."""
+    return start_grouped(lines, out, lambda df: join_multiline_json(df, idle_ms), **how)
+
+
+def start_coalesce(lines: DataFrame, out: str, idle_ms: int | None = IDLE_MS, **how) -> StreamingQuery:
+    """Lines → joined, parsed and coalesced events, live; see ``start_grouped``."""
+    return start_grouped(
+        lines, out, lambda df: coalesce_events(parse_event(join_multiline_json(df, idle_ms)), idle_ms), **how
+    )
+
+
 def stream_join_json(lines: DataFrame, out: str, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Multi-line JSON joined over micro-batches; runs what is available and returns the lines."""
     grouped = GroupedStream(lines.sparkSession, out, lambda df: join_multiline_json(df, idle_ms))
@@ -154,21 +231,19 @@ def stream_search(events: DataFrame, text: str, out: str, now_ms: int | None = N
     return spark.read.parquet(f"{out}/rows/v{last_batch(spark, out)}")
 
 
-def _latest(spark: SparkSession, out: str) -> Callable[[DataFrame, int], None]:
-    """Sink for a complete-mode aggregate: every batch replaces the result of the one before."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/side={number % 2}")
-
-    return keep
-
-
-def _read_latest(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/rows/side={last_batch(spark, out) % 2}")
+def _upserted(counts: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    """Run an aggregate in update mode: each batch puts in the keys it changed. The table as of the last batch."""
+    table = KeyedTable(counts.sparkSession, f"{out}/table", keys)
+    run_available(counts, out, "update", table.upsert)
+    found = table.read(last_batch(counts.sparkSession, out))
+    return counts.sparkSession.createDataFrame([], counts.schema) if found is None else found
 
 
 def stream_histogram(events: DataFrame, size_ms: int, out: str, watermark: str | None = None) -> DataFrame:
-    """Counts per tumbling window of event time; without a watermark late events always count."""
+    """Counts per tumbling window of event time; without a watermark late events always count.
+
+    With one, windows older than it are closed: their state goes and their row stays.
+    """
     timed = events.withColumn("event_time", F.timestamp_millis("ts"))
     if watermark:
         timed = timed.withWatermark("event_time", watermark)
@@ -180,15 +255,13 @@ def stream_histogram(events: DataFrame, size_ms: int, out: str, watermark: str |
         F.count("*").alias("total"),
     )
     rows = counts.select(F.unix_millis("w.start").alias("ts"), "err", "warn", "rest", "total")
-    run_available(rows, out, "complete", _latest(events.sparkSession, out))
-    return _read_latest(events.sparkSession, out)
+    return _upserted(rows, out, ["ts"])
 
 
 def stream_facets(events: DataFrame, out: str) -> DataFrame:
     """(path, value, count) as events arrive."""
     counts = path_values(events).groupBy("path", "value").agg(F.count("*").alias("count"))
-    run_available(counts, out, "complete", _latest(events.sparkSession, out))
-    return _read_latest(events.sparkSession, out)
+    return _upserted(counts, out, ["path", "value"])
 
 
 def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -229,12 +302,79 @@ def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int |
     return spark.read.parquet(f"{out}/all/v{last_batch(spark, out)}") if whole else found, fires
 
 
-def stream_relevance(events: DataFrame, patterns: Callable[[], DataFrame], out: str) -> DataFrame:
-    """Events matched on arrival against the current pattern table, which is read anew per batch."""
-    spark = events.sparkSession
+class RelevantStream:
+    """Matches of events against a table of patterns that may change: every event has the match that today's patterns give.
+
+    Arriving events are kept and meet all patterns. When patterns have been added or taken away since the last look, only those meet the
+    kept events; events that one of them concerns are matched anew.
+    """
 
-    def match(batch: DataFrame, number: int) -> None:
-        match_relevance(stage_table(batch), patterns()).write.mode("overwrite").parquet(f"{out}/rows/part={number}")
+    KEYS = ["source", "rel_path", "line", "regex", "raw_call", "kind", "pieces"]
 
-    run_available(events, out, each=match)
-    return spark.read.parquet(f"{out}/rows").drop("part")
+    def __init__(self, spark: SparkSession, out: str, patterns: Callable[[], DataFrame]):
+        self.spark, self.out, self.patterns = spark, out, patterns
+        self.table = KeyedTable(spark, f"{out}/matches", ["id", "source"])
+
+    def _kept_patterns(self, version: int) -> DataFrame | None:
+        found = [n for n in numbers(self.spark, f"{self.out}/patterns", "v") if n < version]
+        return self.spark.read.parquet(f"{self.out}/patterns/v{found[-1]}") if found else None
+
+    def _changed(self, now: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        added, gone = (stage_table(a.join(b, self.KEYS, "left_anti")) for a, b in ((now, before), (before, now)))
+        return added, gone
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.select("id", "source", "msg", "raw").write.mode("overwrite").parquet(f"{self.out}/seen/part={number}")
+        self._apply(2 * number, number)
+
+    def refresh(self) -> DataFrame:
+        """Look at the patterns once more without new events, and read all matches."""
+        last = last_batch(self.spark, self.out)
+        if last >= 0:
+            self._apply(2 * last + 1, None)
+        found = self.table.read(2 * last + 1)
+        return match_relevance(self._events(-1), self.patterns()) if found is None else found
+
+    def _events(self, upto: int) -> DataFrame:
+        kind = "id bigint, source string, msg string, raw string"
+        if upto < 0:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(f"{kind}, part int").parquet(f"{self.out}/seen").filter(F.col("part") <= upto).drop("part")
+
+    def _apply(self, version: int, number: int | None) -> None:
+        now = stage_table(self.patterns().select(*self.KEYS).distinct())
+        before = self._kept_patterns(version)
+        old = self._events(version // 2 - (number is not None))
+        changes = []
+        if number is not None:
+            new = self.spark.read.parquet(f"{self.out}/seen/part={number}")
+            changes.append(match_relevance(new, now).withColumn(GONE, F.lit(False)))
+        matches = self.table.read(version - 1)
+        added, gone = (None, None) if before is None else self._changed(now, before)
+        if before is not None and not (added.isEmpty() and gone.isEmpty()):
+            touched = match_relevance(old, added).select("id", "source")
+            if matches is not None:
+                lost = gone.select("source", "rel_path", "line", "raw_call", "kind").distinct()
+                touched = touched.unionByName(
+                    matches.join(lost, ["source", "rel_path", "line", "raw_call", "kind"], "left_semi").select("id", "source")
+                )
+            touched = stage_table(touched.distinct())
+            again = stage_table(match_relevance(old.join(touched, ["id", "source"], "left_semi"), now))
+            changes.append(again.withColumn(GONE, F.lit(False)))
+            none_left = touched.join(again, ["id", "source"], "left_anti")
+            values = [F.lit(None).cast(f.dataType).alias(f.name) for f in again.schema if f.name not in ("id", "source")]
+            changes.append(none_left.select("id", "source", *values, F.lit(True).alias(GONE)))
+        if changes:
+            rows = changes[0]
+            for more in changes[1:]:
+                rows = rows.unionByName(more)
+            self.table.upsert(rows, version)
+        if before is None or added is not None and not (added.isEmpty() and gone.isEmpty()):
+            now.write.mode("overwrite").parquet(f"{self.out}/patterns/v{version}")
+
+
+def stream_relevance(events: DataFrame, patterns: Callable[[], DataFrame], out: str) -> DataFrame:
+    """Events matched against the current pattern table; a change of the table reaches earlier events too."""
+    live = RelevantStream(events.sparkSession, out, patterns)
+    run_available(events, out, each=live)
+    return live.refresh()
