@@ -59,19 +59,39 @@ def _usable(rules: list[dict], now_ms: int) -> list[tuple[dict, object]]:
 
 
 def match_alerts(
-    events: DataFrame, rules: list[dict], now_ms: int | None = None, over: DataFrame | None = None
+    events: DataFrame,
+    rules: list[dict],
+    now_ms: int | None = None,
+    over: DataFrame | None = None,
+    limits: dict[tuple[str, float], float] | None = None,
 ) -> DataFrame:
     """Events with the ids of the enabled rules they match, in rule order (``alert_ids``).
 
+    Percentiles are taken over ``over`` (default ``events``), or are known as ``limits``.
+
     One pass: every rule is a condition on the row. Unreadable rules are skipped; pins and
     relevance read as false here.
     """
     now_ms = int(time.time() * 1000) if now_ms is None else now_ms
     usable = _usable(rules, now_ms)
-    limits = thresholds_of(over if over is not None else events, *[f for _, f in usable])
+    if limits is None:
+        limits = thresholds_of(over if over is not None else events, *[f for _, f in usable])
+    return events.withColumn("alert_ids", _alert_ids(usable, now_ms, limits)).filter(F.size("alert_ids") > 0)
+
+
+def _alert_ids(usable: list[tuple[dict, object]], now_ms: int, limits: dict[tuple[str, float], float]) -> Column:
     hits = [F.when(filter_column(f, now_ms, limits), F.lit(r["id"])) for r, f in usable]
-    ids = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return events.withColumn("alert_ids", ids).filter(F.size("alert_ids") > 0)
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
+def alert_ids(rules: list[dict], now_ms: int, limits: dict[tuple[str, float], float]) -> Column:
+    """Ids of the enabled rules that a row matches under known thresholds; an empty array for none."""
+    return _alert_ids(_usable(rules, now_ms), now_ms, limits)
+
+
+def rule_percentiles(rules: list[dict], now_ms: int = 0) -> list[tuple[str, float]]:
+    """(key, percent) pairs that the enabled rules ask for."""
+    return sorted({(c.key, c.value) for _, f in _usable(rules, now_ms) for c in f.leaves if c.kind == "percentile"})
 
 
 def rules_aggregate(rules: list[dict], now_ms: int = 0) -> bool:

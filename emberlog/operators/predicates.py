@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.dialect import compiles, ecma, quote
 from emberlog.functions.values import NUMBER_COLUMNS, lookup_path
 from emberlog.operators.percentiles import exact_percentiles
+from emberlog.session import stage_table
 
 # Month names and duration units of the filter language.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -162,20 +163,36 @@ def match_last(key: str, duration: str, now_ms: int, op: str = ">=") -> Column:
     return match_compare(key, op, now_ms - span)
 
 
+def number_of(key: str) -> Column:
+    """Number form of a key; null where it has none."""
+    return F.nanvl(lookup_path(key).number(), F.lit(None).cast("double"))
+
+
+def percentile_values(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """(key, v): the numbers of the keys, in one pass over the events."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), number_of(k).alias("v")) for k in keys)))
+    return df.select(pairs.alias("_p")).select("_p.key", "_p.v").filter("v is not null")
+
+
 def percentile_thresholds(df: DataFrame, wanted: Iterable[tuple[str, float]]) -> dict[tuple[str, float], float]:
-    """Thresholds of (key, percent) pairs over all events; 0 for a key without numbers."""
-    out: dict[tuple[str, float], float] = {}
-    by_key: dict[str, list[float]] = {}
-    for key, p in wanted:
+    """Thresholds of (key, percent) pairs over all events; 0 for a key without numbers.
+
+    The numbers of all keys are written once, so that further passes read neither texts nor payloads.
+    """
+    wanted = sorted(set(wanted))
+    for _, p in wanted:
         if not 0 <= p <= 100:
             raise ValueError(f"percentile expects 0..100, got {p}")
-        by_key.setdefault(key, []).append(p)
-    for key, percents in by_key.items():
-        value = F.nanvl(lookup_path(key).number(), F.lit(None).cast("double"))
-        values = df.select(value.alias("v"))
-        found = {r["p"]: r["value"] for r in exact_percentiles(values, [], sorted(set(percents))).collect()}
-        out.update({(key, p): found.get(float(p), 0.0) for p in percents})
-    return out
+    if not wanted:
+        return {}
+    keys = sorted({key for key, _ in wanted})
+    values = stage_table(percentile_values(df, keys))
+    percents = sorted({p for _, p in wanted})
+    if len(keys) == 1:
+        found = {(keys[0], r["p"]): r["value"] for r in exact_percentiles(values.select("v"), [], percents).collect()}
+    else:
+        found = {(r["key"], r["p"]): r["value"] for r in exact_percentiles(values, ["key"], percents).collect()}
+    return {(key, p): found.get((key, float(p)), 0.0) for key, p in wanted}
 
 
 def match_percentile(df: DataFrame, key: str, percent: float, op: str = ">=") -> Column:

@@ -8,6 +8,7 @@ table, stored per batch number so that a replayed batch finds the same input.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,10 +26,11 @@ from emberlog.operators.multiline import join_multiline_json
 from emberlog.operators.normalise import parse_event
 from emberlog.operators.relevance import match_relevance
 from emberlog.operators.rules import apply_parse_rules
-from emberlog.operators.search import FilterError, read_filter, search
+from emberlog.operators.search import FilterError, filter_column, read_filter, search
 from emberlog.session import cut_lineage, prepare, shared_dir, small_side, stage_table
 from emberlog.sources.lines import drop_blank_lines
 from emberlog.streaming.folders import numbers, remove
+from emberlog.streaming.order_stats import JudgedStream, Limits
 from emberlog.streaming.upsert import GONE, KeyedTable
 
 #: A live source without a line for so long gives out its last groups.
@@ -212,23 +214,28 @@ def stream_coalesce(lines: DataFrame, out: str, idle_ms: int | None = IDLE_MS) -
 
 
 def stream_search(events: DataFrame, text: str, out: str, now_ms: int | None = None) -> DataFrame:
-    """Live filter. Plain filters run in the stream; percentile filters look at all data again."""
+    """Live filter. Plain filters run in the stream; thresholds of percentile filters move with the batches.
+
+    Events of a percentile filter are told apart by ``id``.
+    """
     spark = events.sparkSession
+    now_ms = int(time.time() * 1000) if now_ms is None else now_ms
     try:
-        whole = any(c.kind == "percentile" for c in read_filter(text, now_ms).leaves)
+        found = read_filter(text, now_ms)
     except FilterError:
-        whole = False
-    if not whole:
+        found = None
+    wanted = [(c.key, c.value) for c in found.leaves if c.kind == "percentile"] if found else []
+    if not wanted:
         run_available(search(events, text, now_ms=now_ms), out)
         return spark.read.parquet(f"{out}/rows")
 
-    def again(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/seen/part={number}")
-        seen = spark.read.parquet(f"{out}/seen").drop("part")
-        search(seen, text, now_ms=now_ms).write.mode("overwrite").parquet(f"{out}/rows/v{number}")
+    def judge(rows: DataFrame, limits: Limits) -> DataFrame:
+        return rows.withColumn(GONE, ~filter_column(found, now_ms, limits, F.lit(False), F.lit(False)))
 
-    run_available(events, out, each=again)
-    return spark.read.parquet(f"{out}/rows/v{last_batch(spark, out)}")
+    live = JudgedStream(spark, out, wanted, judge)
+    run_available(events, out, each=live.add)
+    kept = live.table.read(last_batch(spark, out))
+    return spark.createDataFrame([], events.schema) if kept is None else kept.select(*events.columns)
 
 
 def _upserted(counts: DataFrame, out: str, keys: list[str]) -> DataFrame:
@@ -267,28 +274,27 @@ def stream_facets(events: DataFrame, out: str) -> DataFrame:
 def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, fires) on arrival; the gate state is carried from batch to batch.
 
-    Where a rule depends on the distribution of all events, matches are those of all events seen, computed
-    anew per batch; fires come from the events of each batch under what was seen until then.
+    Where a rule asks for percentiles, matches are those under the percentiles of all events seen; fires come
+    from the events of each batch under what was seen until then.
     """
     spark = events.sparkSession
     columns = ("id", "ts", "msg", "raw", "alert_ids")
-    whole = A.rules_aggregate(rules, now_ms or 0)
-    matches = events if whole else A.match_alerts(events, rules, now_ms).select(*columns)
+    wanted = A.rule_percentiles(rules, now_ms or 0)
+    matches = events if wanted else A.match_alerts(events, rules, now_ms).select(*columns)
     states: dict[int, dict] = {}
 
-    def matched(batch: DataFrame, number: int) -> DataFrame:
-        """The matches among the events of a batch, with all matches so far written beside them."""
-        batch.write.mode("overwrite").parquet(f"{out}/seen/part={number}")
-        seen = spark.read.schema(batch.schema).parquet(f"{out}/seen").filter(F.col("part") <= number)
-        A.match_alerts(seen, rules, now_ms).select(*columns).write.mode("overwrite").parquet(f"{out}/all/v{number}")
-        return A.match_alerts(seen.filter(F.col("part") == number), rules, now_ms, over=seen).select(*columns)
+    def judge(rows: DataFrame, limits: Limits) -> DataFrame:
+        marked = rows.withColumn("alert_ids", A.alert_ids(rules, now_ms or int(time.time() * 1000), limits))
+        return marked.select(*columns).withColumn(GONE, F.size("alert_ids") == 0)
+
+    live = JudgedStream(spark, out, wanted, judge)
 
     def gate(batch: DataFrame, number: int) -> None:
         path = f"{out}/state/b{number - 1}"
         state = states.get(number - 1)
         if state is None and number > 0:  # restarted: read what the batch before left behind
             state = {k: tuple(v) for k, v in json.loads(spark.read.text(path).first()[0]).items()}
-        batch = matched(batch, number) if whole else batch
+        batch = live.add(batch, number) if wanted else batch
         batch.write.mode("overwrite").parquet(f"{out}/matches/part={number}")
         seen = spark.read.schema(batch.schema).parquet(f"{out}/matches/part={number}")
         fires = stage_table(A.alert_fires(seen, rules, state=state))
@@ -299,7 +305,10 @@ def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int |
 
     run_available(matches, out, each=gate)
     found, fires = (spark.read.parquet(f"{out}/{name}").drop("part") for name in ("matches", "fires"))
-    return spark.read.parquet(f"{out}/all/v{last_batch(spark, out)}") if whole else found, fires
+    if wanted:
+        judged = live.table.read(last_batch(spark, out))
+        found = found.limit(0) if judged is None else judged.select(*columns)
+    return found, fires
 
 
 class RelevantStream:

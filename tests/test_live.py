@@ -1,5 +1,7 @@
 """Standing streams: silence, changed keys, changed patterns; killed and started again."""
 
+import json
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from emberlog.operators.normalise import parse_event
 from emberlog.operators.relevance import match_relevance
 from emberlog.sources.fixtures import log_events, raw_lines
 from emberlog.streaming import streams as S
+from emberlog.operators.predicates import number_of
+from emberlog.streaming.order_stats import JudgedStream, LivePercentiles
 from emberlog.streaming.upsert import GONE, KeyedTable
 from tests.conftest import SF
 from tests.test_streaming import in_files, rows
@@ -112,3 +116,44 @@ def test_changed_patterns_reach_earlier_events(spark, tmp_path):
             events = events.unionByName(more)
         got = S.stream_relevance(stream, patterns, f"{tmp_path}/out")
         assert rows(got, *columns) == rows(match_relevance(events, patterns()), *columns), names
+
+
+def test_percentiles_keep_up(spark, tmp_path):
+    rng = random.Random(2)
+    draws = {"skew": lambda: rng.lognormvariate(0, 4), "flat": lambda: float(rng.randint(-5, 5)), "late": lambda: 7.0}
+    wanted = [("skew", 50.0), ("skew", 95.0), ("flat", 0.0), ("flat", 80.0), ("late", 50.0), ("none", 50.0)]
+    live = LivePercentiles(spark, f"{tmp_path}/p", wanted)
+    seen = {k: [] for k in ("skew", "flat", "late", "none")}
+    for number in range(5):
+        rows_ = []
+        for i in range(60):
+            fields = {k: draw() * (1 + number) for k, draw in draws.items() if rng.random() < 0.8 and (k != "late" or number > 2)}
+            for k, v in fields.items():
+                seen[k].append(v)
+            rows_.append((i, json.dumps(fields)))
+        batch = spark.createDataFrame(rows_, "id bigint, f string").withColumn("fields", F.try_parse_json("f")).drop("f")
+        if number == 3:  # runs twice, as after a failure
+            live.add(batch, number)
+        got = live.add(batch, number)
+        for k, p in wanted:
+            s = sorted(seen[k])
+            assert got[k, p] == (s[min(len(s) - 1, int(p / 100 * len(s)))] if s else 0.0), (number, k, p)
+
+
+def test_unmoved_thresholds_leave_earlier_events_alone(spark, tmp_path):
+    """Batches of the same values: every threshold stays, so nothing is judged twice."""
+    judged = []
+
+    def judge(df, limits):
+        judged.append(df.count())
+        return df.withColumn(GONE, number_of("x") < limits["x", 50.0]).select("id", GONE)
+
+    live = JudgedStream(spark, f"{tmp_path}/j", [("x", 50.0)], judge)
+    for number in range(3):
+        batch = spark.createDataFrame([(number * 10 + i, json.dumps({"x": i % 5})) for i in range(10)], "id bigint, f string")
+        live.add(batch.withColumn("fields", F.try_parse_json("f")).drop("f"), number)
+    assert judged == [10, 10, 10] and live.table.read().count() == 18
+    shifted = spark.createDataFrame([(100 + i, json.dumps({"x": 3})) for i in range(60)], "id bigint, f string")
+    live.add(shifted.withColumn("fields", F.try_parse_json("f")).drop("f"), 3)
+    assert judged[3:] == [60, 12]  # the earlier ones between the median of before, 2, and of now, 3
+    assert live.table.read().count() == 60 + 12
