@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,28 @@ def rarest_gram(needles: DataFrame, key: list[str], pieces: Column, counts: Data
 def text_grams(text: Column, with_pairs: bool = True) -> Column:
     """Grams of a text to look anchors up with."""
     return F.array_distinct(F.concat(grams(text, 3), grams(text, 2))) if with_pairs else grams(text, 3)
+
+
+#: Bits of the map that wanted grams are looked up in, in words of 64.
+MAP_BITS = 1 << 16
+
+
+def gram_filter(anchors: DataFrame) -> Callable[[Column], Column]:
+    """Keeps of an array of grams those that may be among the ``gram`` of ``anchors``: all that are, and few others.
+
+    The map is 8 KB whatever the number of anchors; with very many of them it lets all pass.
+    """
+    place = F.pmod(F.xxhash64("gram"), F.lit(MAP_BITS))
+    bits = anchors.select(place.alias("b")).distinct().groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")
+    )
+    words = [0] * (MAP_BITS // 64)
+    for row in bits.collect():  # at most 1024 rows
+        words[row["w"]] = row["bits"]
+    held = F.array(*(F.lit(w).cast("bigint") for w in words))
+
+    def keep(grams: Column) -> Column:
+        slot = lambda g: F.pmod(F.xxhash64(g), F.lit(MAP_BITS))
+        return F.filter(grams, lambda g: F.getbit(F.get(held, F.floor(slot(g) / 64).cast("int")), (slot(g) % 64).cast("int")) == 1)
+
+    return keep

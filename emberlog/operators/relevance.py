@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.logcalls import log_calls
 from emberlog.operators.carry import running_max
-from emberlog.operators.grams import rarest_gram, text_grams
-from emberlog.session import materialise_small, small_side
+from emberlog.operators.grams import gram_filter, rarest_gram, text_grams
+from emberlog.session import materialise_small, small_side, stage_table
 
 # File extensions per language, skipped folders.
 LANGUAGES = {
@@ -290,30 +290,34 @@ def match_relevance(events: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, source, rel_path, line, raw_call, kind): the pattern each event's text comes from.
 
     The message counts first, the raw text second. Leftmost match wins, then direct patterns, path
-    and line. Events and patterns meet on (source, rarest gram of the pattern), so a pattern is
-    tried only on texts that can match, and no pattern set has to fit into one expression.
+    and line. Texts and patterns meet on (source, rarest gram of the pattern), so a pattern is
+    tried only on texts that can match, and no pattern set has to fit into one expression. A text that many events have is tried
+    once, its grams are held against a bitmap of the patterns' grams before they become rows, and those rows carry no text.
     """
     key = ["source", "rel_path", "line", "regex", "raw_call", "kind"]
-    patterns = materialise_small(patterns.select(*key, "pieces"))
+    patterns = stage_table(patterns.select(*key, "pieces"))
     lowered = F.transform("pieces", _folded)
-    anchors = small_side(materialise_small(rarest_gram(patterns, key, lowered)))
-    sources = small_side(materialise_small(patterns.select("source").distinct()))
-    texts = events.select(
-        "id", "source", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("msg").alias("text")),
-                                          F.struct(F.lit(1).alias("part"), F.col("raw").alias("text")))).alias("_t")
-    ).select("id", "source", "_t.part", "_t.text")
-    texts = texts.join(sources, "source", "left_semi")
-    probes = texts.select("*", F.explode(text_grams(_folded(F.col("text")))).alias("gram"))
+    anchors = stage_table(rarest_gram(patterns, key, lowered))
+    wanted = gram_filter(anchors)
+    sources = small_side(stage_table(patterns.select("source").distinct()))
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.col("msg").alias("text")), F.struct(F.lit(1).alias("part"), F.col("raw").alias("text")))
+    told = stage_table(
+        events.select("id", "source", F.explode(parts).alias("_t"))
+        .select("id", "source", "_t.part", F.md5(F.col("_t.text")).alias("text_id"), "_t.text")
+        .join(sources, "source", "left_semi")
+    )
+    texts = stage_table(told.groupBy("source", "text_id").agg(F.first("text").alias("text")).filter("text is not null"))
+    probes = texts.select("source", "text_id", F.explode(wanted(text_grams(_folded(F.col("text"))))).alias("gram"))
     pattern = F.concat(F.lit("(?iud)"), F.col("regex"))
-    tried = probes.join(anchors, ["source", "gram"]).withColumn("_at", F.regexp_instr("text", pattern))
-    best = F.min(
-        F.struct(
-            "part", "_at", F.when(F.col("kind") == "direct", 0).otherwise(1).alias("_k"), "rel_path", "line",
-            "raw_call", "kind",
-        )
+    tried = (
+        probes.join(small_side(anchors), ["source", "gram"]).join(texts, ["source", "text_id"])
+        .withColumn("_at", F.regexp_instr("text", pattern)).filter("_at > 0")
     )
-    found = tried.filter("_at > 0").groupBy("id", "source").agg(best.alias("_b"))
-    return found.select("id", "source", "_b.rel_path", "_b.line", "_b.raw_call", "_b.kind")
+    rank = F.struct("_at", F.when(F.col("kind") == "direct", 0).otherwise(1).alias("_k"), "rel_path", "line", "raw_call", "kind")
+    best = tried.groupBy("source", "text_id").agg(F.min(rank).alias("_b"))
+    found = told.select("id", "source", "part", "text_id").join(best, ["source", "text_id"])
+    first = found.groupBy("id", "source").agg(F.min(F.struct("part", "_b")).alias("_f"))
+    return first.select("id", "source", *(F.col(f"_f._b.{c}").alias(c) for c in ("rel_path", "line", "raw_call", "kind")))
 
 
 def relevance_ids(matches: DataFrame) -> DataFrame:
@@ -322,9 +326,11 @@ def relevance_ids(matches: DataFrame) -> DataFrame:
 
 def relevance_sites(matches: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
     """(source, rel_path, line, raw_call, kind, emitted_count, snippet) per call site, with its neighbour lines."""
-    counts = matches.groupBy("source", "rel_path", "line", "raw_call", "kind").agg(F.count("*").alias("emitted_count"))
-    code = files.join(roots.select("source", "root"), "root").select(
-        "source", F.col("path").alias("rel_path"), F.split("content", r"\r?\n").alias("_lines")
+    counts = stage_table(matches.groupBy("source", "rel_path", "line", "raw_call", "kind").agg(F.count("*").alias("emitted_count")))
+    emitting = small_side(counts.select("source", "rel_path").distinct())
+    code = files.join(roots.select("source", "root"), "root").withColumn("rel_path", F.col("path"))
+    code = code.join(emitting, ["source", "rel_path"], "left_semi").select(  # other files aren't split into lines
+        "source", "rel_path", F.split("content", r"\r?\n").alias("_lines")
     )
     near = F.slice("_lines", F.greatest(F.col("line") - 1, F.lit(1)).cast("int"),
                    F.when(F.col("line") > 1, 3).otherwise(2))

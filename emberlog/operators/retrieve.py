@@ -11,6 +11,8 @@ from emberlog.operators.search import search
 
 # Default retention, size of the shown window, limits of the text query.
 RETAIN_EVENTS = 500_000
+# Ranges of ids counted in one pass.
+ID_RANGES = 4096
 WINDOW_EVENTS = 500
 TEXT_DEFAULT_LIMIT = 100
 MISSING_CELL = "—"
@@ -38,8 +40,31 @@ def cursor_status(events: DataFrame, cursor: int) -> DataFrame:
 
 def retain_newest(events: DataFrame, keep: int = RETAIN_EVENTS) -> DataFrame:
     """The newest ``keep`` events: those from the id on that is ``keep``-th from the top, gaps or not."""
-    top = events.select("id").orderBy(F.desc("id")).limit(max(keep, 1))
-    return events.filter(F.col("id") >= (top.agg(F.min("id")).first()[0] or 0))
+    return events.filter(F.col("id") >= _from_top(events.select(F.col("id").cast("bigint").alias("id")), max(keep, 1)))
+
+
+def _from_top(ids: DataFrame, rank: int) -> int:
+    """The id that is ``rank``-th from the top, or the least one if there are fewer; found by counting, without a sort.
+
+    Ids are counted in ``ID_RANGES`` ranges, then those of the one range that holds the rank, until that is one id.
+    """
+    low, high, count = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if not count or count <= rank:
+        return low or 0
+    while low < high:
+        width = -(-(high - low + 1) // ID_RANGES)
+        place = F.floor((F.lit(high) - F.col("id")) / F.lit(width)).cast("int")
+        ranges = (
+            ids.filter(F.col("id").between(low, high)).groupBy(place.alias("r"))
+            .agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        )
+        found = sorted(ranges.collect())  # at most ID_RANGES small rows, from the top
+        at = 0
+        while found[at]["n"] < rank:
+            rank -= found[at]["n"]
+            at += 1
+        low, high = found[at]["low"], found[at]["high"]
+    return low
 
 
 def retention_report(events: DataFrame, keep: int = RETAIN_EVENTS) -> DataFrame:

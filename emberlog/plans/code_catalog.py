@@ -43,8 +43,8 @@ def source_files(spark: SparkSession, sf: str, chained: bool = False) -> DataFra
     return files.unionByName(hubs)
 
 
-def diff_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """(root, seq, line) of a unified diff over one part in fifty, or over every part."""
+def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(root, seq, line) of a unified diff over every part."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "rs").when(k % 3 == 1, "java").otherwise("ts")
     name = _t("src/p", k, ".", kind)
@@ -53,10 +53,7 @@ def diff_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
         F.when(k % 200 == 51, F.lit("+++ /dev/null")).otherwise(_t("+++ b/", name)),
         _t("@@ -", k, ",2 +", k + 1, ",3 @@ fn"), F.lit(" same"), _t("+added ", k), F.lit("-gone"), F.lit("+"), F.lit(" tail"),
         F.lit("@@ -90 +95 @@"), _t("+late ", k))
-    touched = table(spark, sf, "part")
-    if not whole:
-        touched = touched.filter(k % 50 == 1)
-    return touched.select(k.alias("_k"), F.posexplode(lines).alias("_p", "line")).select(
+    return table(spark, sf, "part").select(k.alias("_k"), F.posexplode(lines).alias("_p", "line")).select(
         F.lit("/app").alias("root"), (F.col("_k") * 100 + F.col("_p")).alias("seq"), "line")
 
 
@@ -66,13 +63,9 @@ def roots(spark: SparkSession, sf: str) -> DataFrame:
     return sources.filter("source <> 'svc-3'").withColumn("root", F.lit("/app"))
 
 
-def with_code_messages(events: DataFrame, parts: int | None = None) -> DataFrame:
-    """Log events (batch or streaming) whose messages are those the corpus would print.
-
-    Messages name parts 0 to 199 by the user, or with ``parts`` given, every one of so many parts in turn.
-    """
-    u = F.regexp_extract("msg", r"(\d+)$", 1).cast("bigint")
-    part = u % 200 if parts is None else (F.col("id") - F.floor(F.col("id") / 4)) % parts  # ids divisible by four print no code
+def with_code_messages(events: DataFrame, parts: int) -> DataFrame:
+    """Log events (batch or streaming) whose messages are those the corpus would print, naming every one of so many parts in turn."""
+    part = (F.col("id") - F.floor(F.col("id") / 4)) % parts  # ids divisible by four print no code
     msg = (
         F.when(part % 3 == 0, _t("crate P", part, " stored ", F.col("id"), " items"))
         .when(part % 3 == 1, _t("java job p", part, " took ", F.col("id"), " seconds"))
@@ -87,12 +80,12 @@ def part_count(spark: SparkSession, sf: str) -> int:
     return table(spark, sf, "part").count()
 
 
-def code_events(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return with_code_messages(log_events(spark, sf), part_count(spark, sf) if whole else None)
+def code_events(spark: SparkSession, sf: str) -> DataFrame:
+    return with_code_messages(log_events(spark, sf), part_count(spark, sf))
 
 
-def patterns(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return R.relevance_patterns(source_files(spark, sf), diff_lines(spark, sf, whole), roots(spark, sf))
+def patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return R.relevance_patterns(source_files(spark, sf), diff_lines(spark, sf), roots(spark, sf))
 
 
 def _add(name: str, run, sql: str | None) -> None:
@@ -102,8 +95,7 @@ def _add(name: str, run, sql: str | None) -> None:
 PARTS = """p AS (SELECT p_partkey AS k, p_brand, CASE p_partkey % 3 WHEN 0 THEN 'rs' WHEN 1 THEN 'java' ELSE 'ts' END AS ext FROM part),
 files AS (SELECT k, ext, 'src/p' || k || '.' || ext AS path FROM p),
 hubs AS (SELECT k // 10 AS h, k, 'src/hub' || (k // 10) || '/index.ts' AS path FROM p WHERE k % 10 = 0),
-diffed AS (SELECT k, ext, path FROM files WHERE k % 50 = 1),
-touched AS (SELECT * FROM diffed WHERE k % 200 <> 51)"""
+touched AS (SELECT k, ext, path FROM files WHERE k % 200 <> 51)"""
 CALLS = """calls AS (
   SELECT k, path, 4 AS line, 'console.log(`loading widget ${n} from shelf p' || k || ' ready`)' AS raw_call, 'loading widget.*?from shelf p' || k || ' ready' AS regex FROM files WHERE ext = 'ts'
   UNION ALL SELECT f.k, path, 5, 'logger.warn(''part %d of ' || p_brand || ' low'', n)', 'part.*?of ' || replace(p_brand, '#', '\\#') || ' low' FROM files f JOIN p ON p.k = f.k WHERE f.ext = 'ts'
@@ -130,22 +122,12 @@ _add("module_ids", lambda s, d: R.module_ids(source_files(s, d)).select("path",
      "WITH " + PARTS + " SELECT path, 'p' || k AS module FROM files UNION ALL SELECT path, 'hub' || h FROM hubs")
 
 
-def _origins(s: SparkSession, d: str) -> DataFrame:
-    files = R.module_ids(source_files(s, d)).filter(F.col("path").rlike(r"1\.\w+$"))  # keys that end in 1
-    return R.expand_barrels(files.select("root", "module", F.col("path").alias("origin")), R.extract_reexports(source_files(s, d)))
-
-
-_add("expand_barrels", lambda s, d: _origins(s, d).select("module", "origin"),
-     "WITH " + PARTS + """ SELECT 'p' || k AS module, path AS origin FROM files WHERE k % 10 = 1
-     UNION ALL SELECT 'hub' || h.h, f.path FROM hubs h JOIN files f ON f.k = h.k + 1""")
-
-
 def _all_origins(s: SparkSession, d: str) -> DataFrame:
     files = source_files(s, d, chained=True)
     return R.expand_barrels(R.module_ids(files).select("root", "module", F.col("path").alias("origin")), R.extract_reexports(files))
 
 
-_add("expand_barrels_whole", lambda s, d: _all_origins(s, d).select("module", "origin"),
+_add("expand_barrels", lambda s, d: _all_origins(s, d).select("module", "origin"),
      "WITH RECURSIVE " + PARTS + """, edge AS (SELECT 'hub' || h AS own, unnest(['p' || (k + 1), 'p' || (k + 2)]) AS module FROM hubs
        UNION ALL SELECT 'hub' || h, 'hub' || (h + 1) FROM hubs WHERE h % 10 <> 9),
      grown AS (SELECT 'p' || k AS module, path AS origin FROM files UNION SELECT 'hub' || h, path FROM hubs
@@ -159,7 +141,7 @@ REACH = """origin AS (SELECT 'p' || k AS module, path AS origin FROM touched
   reach AS (SELECT path, 'direct' AS kind, '' AS via_files FROM touched UNION ALL SELECT path, 'indirect', via_files FROM via),
   sources AS (SELECT DISTINCT 'svc-' || (user_id % 4) AS source FROM events WHERE user_id % 4 <> 3),
   patterns AS (SELECT source, c.path AS rel_path, c.line, c.raw_call, c.regex, kind, via_files, c.k FROM calls c JOIN reach r ON r.path = c.path CROSS JOIN sources)"""
-EVENTS = """code_log AS (SELECT event_id + 1 AS id, 'svc-' || (user_id % 4) AS source, event_type || ' by user ' || user_id AS plain, user_id % 200 AS part FROM events),
+EVENTS = """code_log AS (SELECT event_id + 1 AS id, 'svc-' || (user_id % 4) AS source, event_type || ' by user ' || user_id AS plain, (event_id + 1 - (event_id + 1) // 4) % (SELECT count(*) FROM part) AS part FROM events),
   printed AS (SELECT *, CASE part % 3 WHEN 0 THEN 'crate P' || part || ' stored ' || id || ' items' WHEN 1 THEN 'java job p' || part || ' took ' || id || ' seconds'
     ELSE 'loading widget ' || id || ' from shelf p' || part || ' ready' END AS text FROM code_log),
   told AS (SELECT * FROM printed WHERE id % 4 <> 0)"""
@@ -170,12 +152,12 @@ _add("relevance_patterns", lambda s, d: patterns(s, d).drop("pieces"),
      "WITH " + ", ".join((PARTS, CALLS, REACH)) + " SELECT source, rel_path, line, raw_call, regex, kind, via_files FROM patterns")
 
 
-def _matches(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return R.match_relevance(code_events(s, d, whole), patterns(s, d, whole))
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    return R.match_relevance(code_events(s, d), patterns(s, d))
 
 
-def _sites(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return R.relevance_sites(_matches(s, d, whole), source_files(s, d), roots(s, d)).select(
+def _sites(s: SparkSession, d: str) -> DataFrame:
+    return R.relevance_sites(_matches(s, d), source_files(s, d), roots(s, d)).select(
         "source", "rel_path", "line", "raw_call", "kind", "emitted_count", F.size(F.split("snippet", "\n")).cast("bigint").alias("snippet_lines"),
         F.contains("snippet", "raw_call").alias("has_call"))
 
@@ -194,20 +176,3 @@ _add("emission_sites", lambda s, d: S.emission_sites(code_events(s, d), source_f
 _add("code_slice", lambda s, d: S.code_slice(source_files(s, d), "src/p7.java", 4, 2).select("path", "line", "text"),
      """SELECT 'src/p7.java' AS path, unnest([2, 3, 4, 5, 6]) AS line,
      unnest(['import static com.acme.util.*;', 'class P {', '  void run(int n) {', '    logger.info("java job p7 took " + n + " seconds");', '    log.debug(n);']) AS text FROM part WHERE p_partkey = 7""")
-
-
-def whole_sql(sql: str) -> str:
-    """The twin of a query above over a diff that touches every part and messages that name every part."""
-    return sql.replace(" WHERE k % 50 = 1", "").replace(
-        "user_id % 200 AS part", "(event_id + 1 - (event_id + 1) // 4) % (SELECT count(*) FROM part) AS part")
-
-
-for _name, _run in {
-    "touched_files": lambda s, d: R.touched_files(diff_lines(s, d, True)),
-    "diff_added_lines": lambda s, d: R.diff_added_lines(diff_lines(s, d, True)),
-    "relevance_patterns": lambda s, d: patterns(s, d, True).drop("pieces"),
-    "match_relevance": lambda s, d: _matches(s, d, True),
-    "relevance_ids": lambda s, d: R.relevance_ids(_matches(s, d, True)),
-    "relevance_sites": lambda s, d: _sites(s, d, True),
-}.items():
-    _add(f"{_name}_whole", _run, whole_sql(ENTRIES[_name][1]))

@@ -235,16 +235,15 @@ _events("primary_alert", lambda s, d: A.primary_alert(A.match_alerts(log_events(
         FROM (SELECT id, {ALERT_IDS} AS a FROM log_events) WHERE a <> ''""")
 
 
-def _delta(spark: SparkSession, sf: str, rules: list[dict] = PLAIN_RULES) -> DataFrame:
+def _delta(spark: SparkSession, sf: str) -> DataFrame:
     events = log_events(spark, sf)
     cut = F.col("ts") < 1_705_276_800_000  # the first half month was matched before
-    earlier = A.match_alerts(events.filter(cut), rules, NOW_MS)
-    merged = A.match_alerts_delta(earlier, events.filter(~cut), events, rules, NOW_MS)
+    earlier = A.match_alerts(events.filter(cut), RULES, NOW_MS)
+    merged = A.match_alerts_delta(earlier, events.filter(~cut), events, RULES, NOW_MS)
     return merged.select("id", F.array_join("alert_ids", ",").alias("alert_ids"))
 
 
-_events("match_alerts_delta", _delta, LOG + f"SELECT id, {PLAIN_IDS} AS alert_ids FROM log_events WHERE {PLAIN_IDS} <> ''")
-_events("match_alerts_delta_whole", lambda s, d: _delta(s, d, RULES), ENTRIES["match_alerts"][1])
+_events("match_alerts_delta", _delta, ENTRIES["match_alerts"][1])
 # The gate keeps state from match to match, so the SQL twin walks the matches one by one.
 _events(
     "alert_fires",

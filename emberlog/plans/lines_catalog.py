@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from emberlog.plans.fixture_sql import (
     rules_ctes,
     with_ctes,
 )
+from emberlog.session import shared_dir
 from emberlog.sources import export as X
 from emberlog.sources import lines as S
 from emberlog.sources.fixtures import log_events, prose_lines, raw_lines, table
@@ -54,7 +57,18 @@ PROSE = """prose AS (SELECT source, '' AS branch, doc_id * 100000 + pos - 1 AS s
 
 # ---- sources and sinks -----------------------------------------------------------------------
 
-_add("read_lines", lambda s, d: S.lines_of_table(prose_lines(s, d)).select("source", "seq", "line"),
+
+def _text_files(spark: SparkSession, sf: str) -> str:
+    """The documents as text files, a folder per source."""
+    folder = f"{shared_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").filter("text is not null").select("source", "text").write.partitionBy("source").text(folder)
+    return folder
+
+
+_add("read_lines", lambda s, d: S.read_lines(s, _text_files(s, d), source_pattern="source=([^/]+)/").select("source", "line"),
+     r"""SELECT source, line FROM (SELECT source, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents)
+     WHERE regexp_matches(line, '\S')""")
+_add("lines_of_table", lambda s, d: S.lines_of_table(prose_lines(s, d)).select("source", "seq", "line"),
      with_ctes(PROSE) + r"SELECT source, seq, line FROM prose WHERE regexp_matches(line, '\S')")
 
 

@@ -52,10 +52,9 @@ _add("stream_alerts", lambda s, d: S.stream_alerts(event_stream(s, d), E.RULES,
      E.ENTRIES["alert_fires"][1])
 
 
-def _stream_relevance(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    events = K.with_code_messages(event_stream(s, d), K.part_count(s, d) if whole else None)
-    return S.stream_relevance(events, lambda: K.patterns(s, d, whole), S.new_folder(s, "stream-relevance"))
+def _stream_relevance(s: SparkSession, d: str) -> DataFrame:
+    events = K.with_code_messages(event_stream(s, d), K.part_count(s, d))
+    return S.stream_relevance(events, lambda: K.patterns(s, d), S.new_folder(s, "stream-relevance"))
 
 
 _add("stream_relevance", _stream_relevance, K.ENTRIES["match_relevance"][1])
-_add("stream_relevance_whole", lambda s, d: _stream_relevance(s, d, True), K.ENTRIES["match_relevance_whole"][1])

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import level_from_post
+from emberlog.operators.ordering import with_dense_position
 
 # Longest source name accepted in a posted batch, in bytes.
 MAX_SOURCE_BYTES = 256
 
+#: Lines of a micro-batch are numbered below the batch's number.
+BATCH_BITS = 40
+
 
 def drop_blank_lines(lines: DataFrame) -> DataFrame:
     """Blank lines are dropped before anything else looks at them."""
@@ -41,14 +45,18 @@ def read_lines(
 ) -> DataFrame:
     """Lines of text files: the file's path below ``path`` is the source, ``seq`` keeps the order inside a file.
 
-    Whole files stay splittable: ``seq`` comes from the split's start offset and the row in it.
+    Whole files stay splittable: ``seq`` comes from the split's start offset and the row in it. A stream brings the marks of that order
+    instead, from which ``in_live_order`` numbers the lines of each micro-batch.
     """
     reader = spark.readStream if stream else spark.read
     text = reader.format("text").load(path)
     named = text.select(
         _source_of_file(path, source_pattern).alias("source"),
         F.lit(branch).alias("branch"),
-        *([] if stream else [
+        *([
+            F.col("_metadata.file_modification_time").alias("_file_time"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        ] if stream else [
             # 2^33 rows fit below the partition number; offsets order the splits of one file
             (F.col("_metadata.file_block_start") * F.lit(1 << 20)
              + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("seq")
@@ -58,6 +66,16 @@ def read_lines(
     return drop_blank_lines(named)
 
 
+def in_live_order(lines: DataFrame, number: int) -> DataFrame:
+    """Lines of a micro-batch of ``read_lines`` with ``seq``: by batch, then file time, file, and place in the file.
+
+    So a source whose log is continued in a later file goes on where it was.
+    """
+    marked = lines.withColumn("_row", F.monotonically_increasing_id())
+    ordered = with_dense_position(marked, ["_file_time", "_file", "_block", "_row"], "seq")
+    return ordered.withColumn("seq", F.col("seq") + F.lit(number << BATCH_BITS)).drop("_file_time", "_file", "_block", "_row")
+
+
 def lines_of_table(table: DataFrame) -> DataFrame:
     """Any table with source, branch, seq and line."""
     return drop_blank_lines(table)

@@ -28,7 +28,7 @@ from emberlog.operators.relevance import match_relevance
 from emberlog.operators.rules import apply_parse_rules
 from emberlog.operators.search import FilterError, filter_column, read_filter, search
 from emberlog.session import cut_lineage, prepare, shared_dir, small_side, stage_table
-from emberlog.sources.lines import drop_blank_lines
+from emberlog.sources.lines import drop_blank_lines, in_live_order
 from emberlog.streaming.folders import numbers, remove
 from emberlog.streaming.order_stats import JudgedStream, Limits
 from emberlog.streaming.upsert import GONE, KeyedTable
@@ -146,6 +146,8 @@ class GroupedStream:
         if "_silent" in work.columns:
             quiet = work.filter("_silent").select("source")
             work = work.filter("not _silent").drop("_silent")
+        if "seq" not in work.columns:
+            work = in_live_order(work, number)
         before = self._carries(number - 1)
         if before:
             work = stage_table(work.unionByName(self.spark.read.schema(work.schema).parquet(self._carry(before[-1]))))

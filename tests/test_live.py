@@ -4,16 +4,19 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from emberlog.operators import retrieve
 from emberlog.operators.coalesce import coalesce_events
 from emberlog.operators.facets import value_counts
 from emberlog.operators.multiline import join_multiline_json
 from emberlog.operators.normalise import parse_event
+from emberlog.operators.predicates import number_of
 from emberlog.operators.relevance import match_relevance
-from emberlog.sources.fixtures import log_events, raw_lines
+from emberlog.sources.fixtures import log_events
+from emberlog.sources.lines import read_lines
 from emberlog.streaming import streams as S
-from emberlog.operators.predicates import number_of
 from emberlog.streaming.order_stats import JudgedStream, LivePercentiles
 from emberlog.streaming.upsert import GONE, KeyedTable
 from tests.conftest import SF
@@ -157,3 +160,33 @@ def test_unmoved_thresholds_leave_earlier_events_alone(spark, tmp_path):
     live.add(shifted.withColumn("fields", F.try_parse_json("f")).drop("f"), 3)
     assert judged[3:] == [60, 12]  # the earlier ones between the median of before, 2, and of now, 3
     assert live.table.read().count() == 60 + 12
+
+
+def test_text_files_arrive_in_order(spark, tmp_path):
+    """A log continued in a second file, through the live reader and the grouping of lines."""
+    parts = [["INFO a 1", "ERROR a 2", "    at f"], ["    at g", "", "{", '"k": 1', "}", "WARN a 3"]]
+    sources = {}
+    for number, lines in enumerate(parts):
+        for name in ("app", "web"):
+            (tmp_path / "in" / name).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name / f"{number}.log").write_text("\n".join(lines) + "\n")
+            sources.setdefault(name, []).extend(lines)
+        stream = read_lines(spark, f"{tmp_path}/in/*/*.log", stream=True, source_pattern=r"/([^/]+)/\d+\.log")
+        got = S.stream_coalesce(stream, f"{tmp_path}/out", None)
+    columns = ("source", "msg", "raw", "lines")
+    flat = [(s, i, "", line) for s, lines in sources.items() for i, line in enumerate(lines) if line]
+    whole = spark.createDataFrame(flat, "source string, seq bigint, branch string, line string")
+    assert rows(got, *columns) == rows(coalesce_events(parse_event(join_multiline_json(whole, None)), None), *columns)
+    order = [r.msg for r in got.filter("source = 'app'").orderBy("seq").collect()]
+    assert order[0] == "INFO a 1" and order[-1] == "WARN a 3" and got.filter("lines = 3").count() == 2
+
+
+@pytest.mark.parametrize("keep", [1, 2, 7, 50, 99, 100, 500])
+def test_newest_events_by_counting(spark, monkeypatch, keep):
+    monkeypatch.setattr(retrieve, "ID_RANGES", 4)
+    ids = [3, 3, 10**12, -5] + [i * i for i in range(96)]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = sorted(r.id for r in retrieve.retain_newest(df, keep).collect())
+    low = sorted(ids, reverse=True)[min(keep, len(ids)) - 1]
+    assert got == sorted(i for i in ids if i >= low)
+    assert retrieve.retain_newest(df.limit(0), keep).count() == 0
