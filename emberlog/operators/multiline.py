@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.chain import CHUNK_LINES, run_chain
-from emberlog.session import cut_lineage, small_side, stage_table
+from emberlog.session import stage_table
 
 # A record longer than this is handed on line by line.
 MAX_LINES = 500
@@ -33,11 +33,14 @@ def _summary(text: Column) -> tuple[Column, Column]:
 
 
 def with_summaries(lines: DataFrame) -> DataFrame:
-    """Add what a line does to the brackets around it: ``change_s`` and ``end_s`` for each place ``s`` where it may begin.
+    """Add what a line does to the brackets around it: ``does_s`` for each place ``s`` where it may begin.
+
+    That is four times the change of depth plus the place where it ends.
 
     A line that begins inside a string is one that begins outside behind a quotation mark.
     """
     line = F.col("line")
+    telling = line.rlike(r'[{}\[\]"\\]')  # other lines change nothing
     begun = {
         OUTSIDE: line,
         INSIDE: F.concat(F.lit('"'), line),
@@ -45,16 +48,13 @@ def with_summaries(lines: DataFrame) -> DataFrame:
     }
     for place, text in begun.items():
         change, end = _summary(text)
-        lines = lines.withColumns({f"change_{place}": change.cast("int"), f"end_{place}": end.cast("int")})
+        plain = F.lit(OUTSIDE if place == OUTSIDE else INSIDE)
+        # one value of both, so that each pattern is run once a line
+        both = F.when(telling, change * 4 + end).otherwise(plain).cast("int")
+        lines = lines.withColumn(f"does_{place}", both)
     return lines
 
 
-def opens_record(line: Column) -> Column:
-    """Whether a line starts with a bracket and leaves it, or a string, open."""
-    change, end = _summary(line)
-    return line.rlike(r"(?U)\A\s*[{\[]") & ((end != OUTSIDE) | (change > 0))
-
-
 def _pauses(rows: pd.DataFrame, idle_ms: int | None) -> np.ndarray:
     """Whether the producer paused before a line. The first row's answer is never asked for."""
     pause = np.zeros(len(rows), dtype=bool)
@@ -70,7 +70,8 @@ def _ends(rows: pd.DataFrame, starts: np.ndarray, max_lines: int, max_bytes: int
     """
     n = len(rows)
     pause = _pauses(rows, idle_ms)
-    changes, ends = (np.stack([rows[f"{what}_{s}"].to_numpy() for s in (OUTSIDE, INSIDE, ESCAPED)]) for what in ("change", "end"))
+    does = np.stack([rows[f"does_{s}"].to_numpy() for s in (OUTSIDE, INSIDE, ESCAPED)])
+    changes, ends = does >> 2, does & 3
     widths = rows["bytes"].to_numpy()
     stop, closed = starts + 1, np.zeros(len(starts), dtype=bool)
     going = np.arange(len(starts))
@@ -90,18 +91,17 @@ def _ends(rows: pd.DataFrame, starts: np.ndarray, max_lines: int, max_bytes: int
 
 
 def _first_lines(rows: pd.DataFrame, ranges: list[tuple[int, int]], max_lines: int, max_bytes: int, idle_ms: int | None) -> pd.DataFrame:
-    """``source, seq, first``: the record of every line; one that hit a cap while open stays split."""
-    first = np.arange(len(rows), dtype=np.int64)
+    """``source, seq, _first``: the record of every line that shares one; a record that hit a cap while open stays split."""
+    first = np.full(len(rows), -1, dtype=np.int64)
     several = np.array([r for r in ranges if r[1] - r[0] > 1], dtype=np.int64).reshape(-1, 2)
     _, closed = _ends(rows, several[:, 0], max_lines, max_bytes, idle_ms)
     total = np.concatenate([[0], np.cumsum(rows["bytes"].to_numpy() + 1)])
     for (i, j), whole in zip(several.tolist(), closed.tolist()):
         if whole or (j - i < max_lines and total[j] - total[i] - 1 < max_bytes):
             first[i:j] = i
-    end = ranges[-1][1] if ranges else 0
-    begin = ranges[0][0] if ranges else 0
+    kept = np.flatnonzero(first >= 0)
     seq = rows["seq"].to_numpy()
-    return pd.DataFrame({"source": rows["source"].iloc[begin:end], "seq": seq[begin:end], "first": seq[first[begin:end]]})
+    return pd.DataFrame({"source": rows["source"].iloc[kept], "seq": seq[kept], "_first": seq[first[kept]]})
 
 
 def join_multiline_json(
@@ -118,16 +118,18 @@ def join_multiline_json(
     line by line.
     """
     columns = lines.columns
-    kept = lines.filter(F.col("line").rlike(r"(?U)\S")).withColumn("opener", opens_record(F.col("line")))
+    kept = lines.filter(F.col("line").rlike(r"(?U)\S"))
     # only these few numbers of a line take part in the grouping; its text stays in the JVM
     timed = [c for c in ("arrival_ms",) if c in columns]
     slim = stage_table(
-        with_summaries(kept.withColumn("bytes", F.octet_length("line").cast("bigint"))).select(
-            "source", "seq", *timed, "opener", "bytes", *(f"{what}_{s}" for s in (OUTSIDE, INSIDE, ESCAPED) for what in ("change", "end"))
+        with_summaries(kept.withColumn("bytes", F.octet_length("line").cast("bigint"))).withColumn(
+            "opener", F.col("line").rlike(r"(?U)\A\s*[{\[]") & ((F.col("does_0") > 0) | (F.col("does_0").bitwiseAND(3) != OUTSIDE))
+        ).select(
+            "source", "seq", *timed, "opener", "bytes", *(f"does_{s}" for s in (OUTSIDE, INSIDE, ESCAPED))
         )
     )
     with_opener = slim.groupBy("source").agg(F.max("opener").alias("_any")).filter("_any").select("source")
-    work = slim.join(small_side(cut_lineage(with_opener)), "source", "left_semi")
+    work = slim.join(with_opener, "source", "left_semi")
 
     def step(rows: pd.DataFrame) -> np.ndarray:
         nxt = np.arange(1, len(rows) + 1, dtype=np.int64)
@@ -136,19 +138,14 @@ def join_multiline_json(
         return nxt
 
     def emit(rows: pd.DataFrame, ranges: list[tuple[int, int]]) -> pd.DataFrame:
-        found = _first_lines(rows, ranges, max_lines, max_bytes, idle_ms)
-        return found[found["seq"] != found["first"]]
+        return _first_lines(rows, ranges, max_lines, max_bytes, idle_ms)
 
     kinds = dict(lines.select("source", "seq").dtypes)
-    followers = stage_table(
-        run_chain(
-            work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines), emit,
-            f"source {kinds['source']}, seq {kinds['seq']}, first {kinds['seq']}",
-        )
+    members = run_chain(
+        work, ["source"], ["seq"], step, max_lines, max(chunk_lines, max_lines), emit,
+        f"source {kinds['source']}, seq {kinds['seq']}, _first {kinds['seq']}",
     )
-    heads = followers.select("source", F.col("first").alias("seq"), "first").distinct()
-    members = followers.unionByName(heads).withColumnRenamed("first", "_first")
-    placed = kept.select(*columns).join(members, ["source", "seq"], "left")
+    placed = stage_table(kept.select(*columns).join(members, ["source", "seq"], "left"))
     alone = placed.filter(F.col("_first").isNull()).drop("_first")
     if timed:
         alone = alone.withColumn("last_arrival_ms", F.col("arrival_ms"))

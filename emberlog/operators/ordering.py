@@ -49,7 +49,6 @@ def with_source_position(df: DataFrame, keys: list[str], order: list[str], name:
     ranked = with_dense_position(df, [*keys, *order], global_pos)
     ranked = ranked.withColumn("_stretch", F.shiftright(global_pos, _STRETCH_BITS))
     stretches = ranked.groupBy(*keys, "_stretch").agg(F.min(global_pos).alias("_lo"), F.max(global_pos).alias("_hi"))
-    stretches = stage_table(stretches)  # many times fewer rows
     spans = stretches.groupBy(*keys).agg(F.min("_lo").alias("_lo"), (F.max("_hi") - F.min("_lo")).alias(f"{name}_last"))
     bounds = stretches.drop("_lo", "_hi").join(spans, keys)
     return (
