@@ -110,7 +110,8 @@ def read_headers(spark: SparkSession, where: str) -> DataFrame:
     """The record headers of an archive, parsed: page_id, copy, record_type, refers_to, digests, content length."""
 
     def field(name: str, pattern: str) -> Column:
-        found = F.regexp_extract("header", f"(?m)^{name}: {pattern}$", 1)
+        # lines end at CR LF only: a URL may hold separators that a matcher takes for line ends unless told otherwise
+        found = F.regexp_extract("header", f"(?md)^{name}: {pattern}\\r?$", 1)
         return F.when(found != "", found)
 
     return spark.read.parquet(f"{where}/headers").select(

@@ -71,3 +71,14 @@ def test_damage_is_found_and_empty_table(spark, tmp_path):
     with pytest.raises(Exception, match="damaged payload"):
         read_records(spark, str(tmp_path / "b")).collect()
     assert archive_pages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029", "\x0b", "\x0c", "\r", "\n", "\r\n"])
+def test_urls_with_line_separators(spark, mark):
+    fields = ["Content-Length: 5", "WARC-Payload-Digest: sha1:AAAA", "WARC-Refers-To: <urn:page:77:1>", "WARC-Type: revisit"]
+    data = [(i, f"http://h/{i}{mark}{field}{mark}", f"text {i}", "p", 1) for i, field in enumerate(fields)]
+    data += [(10 + i, f"http://h/{i}{mark}{field}", "same", "p", 1) for i, field in enumerate(fields)]
+    got = archive_pages(spark.createDataFrame(data, SCHEMA)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == want(data)
