@@ -6,13 +6,18 @@ hash. The order is cut into fragments, and what two sets share is counted fragme
 1. Equal sets are one node from here on.
 2. The first fragment of a node is its prefix: two sets as similar as asked for must share a shingle of their
    prefixes. Only shingles that several prefixes hold are kept.
-3. Copies: in every list of a shingle, sets of about one size meet the list's most typical member; each set is
-   counted against the member it meets most often. This joins large groups of near copies with few pairs.
-4. All pairs of one list whose members are not yet connected: shared shingles are summed over the lists (the first
-   partial overlap), and pairs that cannot reach the threshold whatever the other fragments hold go.
-5. The remaining pairs' overlaps are counted in each of the other fragments' sets and summed; the threshold decides.
-
-Hashes have 64 bits. No list, group or pair is left out: step 3 only connects what step 4 then need not compare.
+3. Families: in every list of a shingle all sets meet the list's most typical member, and each set takes the member
+   it meets most often as its pivot. What a set and its pivot do not share is counted fragment by fragment and kept.
+   Two sets of one pivot differ in what exactly one of them differs from the pivot in. So they are linked through the
+   pivot if the two differences are small, and otherwise only if the differences have enough shingles in common: a
+   prefix join over the differences, rarest first, finds those pairs. Families of near copies, whether they reach the
+   threshold or stay below it, thus need about one comparison a member. Sets that are not linked to their pivot
+   choose another one among themselves.
+4. Pairs of one list that have no pivot in common and are not yet connected: shared shingles are summed over the lists
+   (the first partial overlap), and pairs that cannot reach the threshold whatever the other fragments hold go.
+5. The remaining pairs' overlaps are counted in each of the fragments' sets and summed; the threshold decides.
+
+Hashes have 64 bits. No list, group or pair is left out: step 3 settles what step 4 then need not compare.
 """
 
 from __future__ import annotations
@@ -195,39 +200,126 @@ def similar_sizes(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the lists with the component that the links so far give them."""
+def _labelled(lists: DataFrame, links: DataFrame, settled: DataFrame) -> DataFrame:
+    """Members of the lists with the component that the links so far give them, and their family's pivot.
+
+    A pivot that has a pivot itself stays with its own; it was compared with each of its members.
+    """
     labels = components(links, "a", "b")
-    return lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = settled.groupBy("node").agg(F.max_by("root", F.col("root") != F.col("node")).alias("root"))
+    known = lists.join(labels, "node", "left").join(own, "node", "left")
+    return known.withColumns({"component": F.coalesce("component", "node"), "root": F.coalesce("root", "node")})
 
 
-def _typical_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each set with one member of its lists: the one of its size class that is the most typical of their lists.
+def _pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """Sets (a, n_a) with a pivot (root, n_root): the most typical member of the lists they are in, met most often.
 
-    Typical is who shares the most shingles with the most others: the mean length of the lists of its prefix.
+    Typical is who shares the most shingles with the most others: the length of the lists of its prefix, summed. The
+    pivot of a pivot takes its place, so that a family comes to one. Sets that meet it in less than a third of their
+    prefix get none.
     """
-    sized = lists.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
     lengths = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
-    typical = (
-        lists.join(lengths, "shingle")
-        .groupBy("node", "n")
-        .agg((F.sum("length") / prefix_length(F.col("n"), percent)).alias("typical"))
-    )
+    typical = lists.join(lengths, "shingle").groupBy("node", "n").agg(F.sum("length").alias("typical"))
     typical = typical.select("node", F.struct("typical", "node", "n").alias("rank"))
-    chief = (
-        sized.join(typical, "node")
-        .groupBy("shingle", "size_class")
-        .agg(F.max("rank").alias("chief"))
-        .select("shingle", "size_class", F.col("chief.node").alias("a"), F.col("chief.n").alias("n_a"))
+    chief = lists.join(typical, "node").groupBy("shingle").agg(F.max("rank").alias("chief"))
+    met = lists.join(chief, "shingle").groupBy("node", "n", "chief").agg(F.count(F.lit(1)).alias("times"))
+    best = met.filter("node <> chief.node").groupBy("node", "n").agg(F.max(F.struct("times", "chief")).alias("best"))
+    near = stage(
+        best.filter(F.col("best.times") * 3 >= prefix_length(F.col("n"), percent)).select(
+            F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("best.chief.node").alias("root"),
+            F.col("best.chief.n").alias("n_root"),
+        )
+    )
+    above = near.select(F.col("a").alias("root"), F.col("root").alias("top"), F.col("n_root").alias("n_top"))
+    up = near.join(above, "root", "left")
+    return up.select("a", "n_a", F.coalesce("top", "root").alias("root"), F.coalesce("n_top", "n_root").alias("n_root"))
+
+
+def _differences(pivots: DataFrame, texts: _Texts) -> DataFrame:
+    """Per set of ``pivots`` and fragment the shingles that either it or its pivot holds, but not both."""
+    pivots = stage(pivots)
+    nodes = pivots.select(F.col("a").alias("node")).unionByName(pivots.select(F.col("root").alias("node"))).distinct()
+    sets = stage(texts.sets(nodes))
+    parts = pivots.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    mine = sets.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("mine"))
+    other = sets.select(F.col("node").alias("root"), "fragment", F.col("hashes").alias("other"))
+    none = F.array().cast("array<long>")
+    both = parts.join(mine, ["a", "fragment"], "left").join(other, ["root", "fragment"], "left")
+    both = both.withColumns({"mine": F.coalesce("mine", none), "other": F.coalesce("other", none)})
+    differ = F.concat(F.array_except("mine", "other"), F.array_except("other", "mine"))
+    return stage(both.select("a", "n_a", "root", "n_root", differ.alias("differ")))
+
+
+def _weight(n: Column, d: Column | int, percent: int) -> Column:
+    """Of a set of n shingles of which d differ from the pivot's: two sets are linked if their weights and
+    2 * (100 + percent) for each difference that they have in common sum to 0 or more."""
+    return (100 - percent) * n.cast("long") - (100 + percent) * d
+
+
+def _sizes_of_differences(differences: DataFrame, percent: int) -> DataFrame:
+    """(a, root, n_a, d, weight, weight_root) of the sets that are at least half like their pivot."""
+    sizes = differences.groupBy("a", "n_a", "root", "n_root").agg(F.sum(F.size("differ")).alias("d"))
+    near = sizes.filter(F.col("d") * 2 <= F.col("n_a") + F.col("n_root"))
+    n_a, n_root = F.col("n_a"), F.col("n_root")
+    return near.select(
+        "a", "root", "n_a", "d", _weight(n_a, F.col("d"), percent).alias("weight"),
+        _weight(n_root, 0, percent).alias("weight_root"),
+    )
+
+
+def _pairs_of_families(differences: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one pivot, in different components, whose differences may have enough shingles in common.
+
+    A set linked to the pivot needs a partner that is not, and one that is not linked anyhow has a lesser weight than
+    the pivot: both tell how many differences the two must have in common at least, and so how many of the rarest
+    have to be looked at. Sets alike but for what differs from the pivot alike are found through any of these.
+    """
+    unit = 2 * (100 + percent)
+    placed = sizes.join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
+    placed = placed.withColumns(
+        {"component": F.coalesce("component", "a"), "inside": F.col("weight") + F.col("weight_root") >= 0}
     )
-    met = sized.join(chief, ["shingle", "size_class"]).filter("a <> node").groupBy("node", "n", "a", "n_a").count()
-    best = met.groupBy("node", "n").agg(F.max(F.struct("count", "a", "n_a")).alias("best"))
-    pairs = best.select(
-        F.col("best.a").alias("a"), F.col("node").alias("b"), F.col("best.n_a").alias("n_a"), F.col("n").alias("n_b"),
-        F.col("best.count").alias("shared"),
+    open_roots = placed.filter("not inside").select("root").distinct()
+    placed = placed.filter("d > 0").join(open_roots, "root", "left_semi")
+    least = F.when(F.col("inside"), F.col("weight_root") - F.col("weight")).otherwise(
+        2 * percent - F.col("weight") - F.col("weight_root")
+    )
+    placed = stage(placed.withColumn("needed", F.greatest(F.ceil(least / unit), F.lit(1))))
+    elements = differences.join(placed, ["a", "root", "n_a"]).select(
+        "a", "n_a", "root", "d", "weight", "component", "needed", F.explode("differ").alias("element")
+    )
+    elements = stage(elements)
+    held = elements.groupBy("root", "element").agg(F.count(F.lit(1)).alias("held"))
+    rarest = Window.partitionBy("root", "a").orderBy("held", "element")
+    ranked = elements.join(held, ["root", "element"]).withColumn("place", F.row_number().over(rarest) - 1)
+    prefix = ranked.filter("held > 1 and place <= d - needed").withColumn("left", F.col("d") - F.col("place"))
+    prefix = stage(prefix.select("root", "element", "a", "n_a", "weight", "component", "left"))
+    others = prefix.select(
+        "root", "element", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("weight").alias("weight_b"),
+        F.col("component").alias("component_b"), F.col("left").alias("left_b"),
     )
-    # those that a full count could hardly save are left to the next step, which counts in full
-    return _promising(pairs.filter(similar_sizes(F.col("n_a"), F.col("n_b"), percent)), percent)
+    reach = F.col("weight") + F.col("weight_b") + unit * F.least("left", "left_b") >= 0
+    met = prefix.join(others, ["root", "element"]).filter(
+        (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & reach
+    )
+    return met.select("a", "b", "n_a", "n_b").distinct()
+
+
+def _family_links(lists: DataFrame, texts: _Texts, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets to pivots and within families, and (node, root) of the sets whose family is thereby settled."""
+    differences = _differences(_pivots(lists, percent), texts)
+    sizes = stage(_sizes_of_differences(differences, percent))
+    linked_to_pivot = sizes.filter("weight + weight_root >= 0")
+    links = linked_to_pivot.select("a", F.col("root").alias("b"))
+    # the others choose a pivot among themselves: families beside the family
+    rest = lists.join(linked_to_pivot.select(F.col("a").alias("node")), "node", "left_anti")
+    again = _sizes_of_differences(_differences(_pivots(stage(rest), percent), texts), percent)
+    links = stage(links.unionByName(again.filter("weight + weight_root >= 0").select("a", F.col("root").alias("b"))))
+    pairs = _pairs_of_families(differences, sizes, components(links, "a", "b"), percent)
+    settled = sizes.select(F.col("a").alias("node"), "root").unionByName(
+        sizes.select(F.col("root").alias("node"), "root").distinct()
+    )
+    return stage(links.unionByName(verified(pairs, texts, percent))), settled
 
 
 def _promising(met: DataFrame, percent: int) -> DataFrame:
@@ -241,15 +333,18 @@ def _promising(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components that may still reach the threshold, from their shared prefixes."""
+    """Pairs of one list in different components and families that may reach the threshold, from shared prefixes."""
     open_lists = labelled.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("shingle")
-    members = stage(labelled.join(open_lists, "shingle", "left_semi").select("shingle", "node", "n", "component"))
-    other = members.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")))
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("root").alias("first"), F.max("root").alias("last"),
+    ).filter("low < high and first < last").select("shingle")
+    columns = ["node", "n", "component", "root"]
+    members = stage(labelled.join(open_lists, "shingle", "left_semi").select("shingle", *columns))
+    other = members.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns))
     met = (
         members.join(other, "shingle")
         .filter((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
+        .filter(F.col("root") != F.col("root_b"))
         .filter(similar_sizes(F.col("n"), F.col("n_b"), percent))
         .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n").alias("n_a"), "n_b")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -319,8 +414,8 @@ def _components_of_rows(keyed: DataFrame, words_each: int, percent: int) -> tupl
     live = stage(postings.groupBy("shingle").count().filter("count > 1").select("shingle"))
     maybe = thinned(postings, F.col("shingle"), live, F.col("shingle"), bits=26)
     lists = stage(maybe.join(live, "shingle", "left_semi"))
-    links = verified(_typical_pairs(lists, percent), sets, percent)
-    rest = verified(_open_pairs(_labelled(lists, links), percent), sets, percent)
+    links, settled = _family_links(lists, sets, percent)
+    rest = verified(_open_pairs(_labelled(lists, links, settled), percent), sets, percent)
     labels = components(links.unionByName(rest), "a", "b")
     placed = rows.filter("n > 0").join(labels, "node", "left")
     return rows, placed.withColumn("component", F.coalesce("component", "node"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from emberlog.llm import jaccard
 from emberlog.llm.common import components, thinned
 from emberlog.llm.jaccard import jaccard_components, keep_one_of_component
 from pyspark.sql import functions as F
@@ -97,3 +98,38 @@ def test_thinned_keeps_all_wanted(spark):
     df, wanted = spark.range(5000), spark.range(0, 5000, 100)
     left = {r.id for r in thinned(df, F.col("id"), wanted, F.col("id"), bits=16).collect()}
     assert set(range(0, 5000, 100)) <= left and len(left) < 200
+
+
+def family(members, edits, seed=5):
+    """Near copies of one text of 120 words, each with so many words of its own."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(members):
+        near = list(base)
+        for place in rng.sample(range(120), edits(i)):
+            near[place] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near), 1, "n"))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [lambda i: 1, lambda i: 2, lambda i: 3, lambda i: i % 5], ids=["above", "near", "below", "mixed"])
+def test_pairs_of_a_family_grow_with_it(spark, monkeypatch, edits):
+    compared = []
+
+    def counting(made):
+        def pairs(*args):
+            found = made(*args)
+            compared.append(found.count())
+            return found
+
+        return pairs
+
+    for name in ("_pairs_of_families", "_open_pairs"):
+        monkeypatch.setattr(jaccard, name, counting(getattr(jaccard, name)))
+    for members in (200, 400):
+        compared.clear()
+        rows = family(members, edits)
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
+        assert sum(compared) <= members, (members, compared)
