@@ -10,9 +10,9 @@ hash. The order is cut into fragments, and what two sets share is counted fragme
    it meets most often as its pivot. What a set and its pivot do not share is counted fragment by fragment and kept.
    Two sets of one pivot differ in what exactly one of them differs from the pivot in. So they are linked through the
    pivot if the two differences are small, and otherwise only if the differences have enough shingles in common: a
-   prefix join over the differences, rarest first, finds those pairs. Families of near copies, whether they reach the
-   threshold or stay below it, thus need about one comparison a member. Sets that are not linked to their pivot
-   choose another one among themselves.
+   prefix join over the differences, rarest first, finds those pairs. Near copies that reach the threshold with their
+   pivot thus need one comparison each; of those below it only pairs whose rarest differences meet are compared.
+   Sets that are not linked to their pivot choose another one among themselves.
 4. Pairs of one list that have no pivot in common and are not yet connected: shared shingles are summed over the lists
    (the first partial overlap), and pairs that cannot reach the threshold whatever the other fragments hold go.
 5. The remaining pairs' overlaps are counted in each of the fragments' sets and summed; the threshold decides.
