@@ -125,9 +125,11 @@ def alert_fires(
 
     A match fires when its alert and all alerts together have been quiet long enough. Only matches
     whose ``ts`` exceeds every earlier one of the same alert can ever fire, so those are folded, in
-    chunks of ids that run in parallel: each chunk starts from the state its predecessor ended with
-    in the round before, until no start changes. Counts of suppressed matches are differences of
-    positions and need no fold.
+    chunks of ids that run in parallel. A match behind a quiet gap fires whatever was notified before and leaves
+    a state that owes nothing to it, so what a chunk ends with follows from its last such match; one pass
+    knows all starts. Only chunks without any gap start from what their predecessor ended with in the
+    round before, until no start changes: the number of jobs grows with the longest run of such chunks, not with
+    the ids. Counts of suppressed matches are differences of positions and need no fold.
     """
     notifying = [r for r in rules if r.get("notify")]
     order = {r["id"]: i for i, r in enumerate(notifying)}
@@ -144,11 +146,37 @@ def alert_fires(
         .filter("a is not null")
         .withColumn("chunk", F.floor(F.col("id") / chunk_ids))
     )
+    state = state or {}
+    begin = [state.get(r["id"], (NEVER, 0))[0] for r in notifying]
+
+    def of_alert(values: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("a"))
+
+    # a later match of another alert waits five seconds anyway, and only what its own gap asks beyond that
+    block = [max(MIN_GAP_MS, g - MIN_GAP_MS) for g in gaps]
+    first = max(b + w for b, w in zip(begin, block))
+    # one summary row per chunk and alert; fires are at least five seconds apart
+    earlier = Window.partitionBy("a").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stage_table(
+        hits.groupBy("chunk", "a")
+        .agg(F.count("*").alias("_n"), F.max("ts").alias("_ts"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_last", F.greatest(F.max("_ts").over(earlier), of_alert(begin)))
+    )
+    blocked = sizes.groupBy("chunk").agg(F.max(F.col("_ts") + of_alert(block)).alias("_until"))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = blocked.select("chunk", F.greatest(F.max("_until").over(in_order), F.lit(first)).alias("_until"))
     mine = Window.partitionBy("chunk", "a").orderBy("id")
+    every = Window.partitionBy("chunk").orderBy("id", "ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = hits.withColumn("rn", F.row_number().over(mine)).withColumn(
         "_top", F.max("ts").over(mine.rowsBetween(Window.unboundedPreceding, -1))
     )
-    records = stage_table(placed.filter("_top is null or ts > _top").select("chunk", "id", "ord", "a", "ts", "rn"))
+    placed = placed.filter("_top is null or ts > _top").join(sizes.select("chunk", "a", "_last"), ["chunk", "a"])
+    placed = placed.withColumn("_top", F.greatest("_top", "_last")).filter("ts > _top").join(blocked, "chunk")
+    placed = placed.withColumn("_until", F.greatest("_until", F.max(F.col("ts") + of_alert(block)).over(every)))
+    # additions only: NEVER is far from the ends of a long, but a difference from it is not worth trusting
+    cut = (F.col("ts") >= F.col("_until")) & (F.col("ts") >= F.col("_top") + of_alert(gaps))
+    records = stage_table(placed.select("chunk", "id", "ord", "a", "ts", "rn", cut.alias("cut")))
 
     def fold(rows: pd.DataFrame, last: np.ndarray, any_last: int) -> tuple[list[int], np.ndarray, int]:
         fired = []
@@ -164,8 +192,12 @@ def alert_fires(
 
     def exits(rows: pd.DataFrame) -> pd.DataFrame:
         rows, last, any_last = started(rows)
+        free = np.flatnonzero(rows["cut"].to_numpy())
+        if len(free):
+            rows, last, any_last = rows.iloc[free[-1]:], np.full(len(gaps), NEVER, dtype=np.int64), NEVER
         _, last, any_last = fold(rows, last, any_last)
-        return pd.DataFrame([{"chunk": rows["chunk"].iloc[0], "last": last.tolist(), "any_last": any_last}])
+        head = {"chunk": rows["chunk"].iloc[0], "free": len(free) > 0}
+        return pd.DataFrame([{**head, "last": last.tolist(), "any_last": any_last}])
 
     def fires(rows: pd.DataFrame) -> pd.DataFrame:
         rows, last, any_last = started(rows)
@@ -173,40 +205,37 @@ def alert_fires(
         return rows.loc[fired, ["chunk", "id", "a", "ts", "rn"]]
 
     state_schema = "chunk bigint, last array<bigint>, any_last bigint"
-    state = state or {}
+    exit_schema = "chunk bigint, free boolean, last array<bigint>, any_last bigint"
     fresh = ([NEVER] * len(gaps), NEVER)
-    begin = [state.get(r["id"], (NEVER, 0))[0] for r in notifying]
     chunks = [r[0] for r in records.select("chunk").distinct().orderBy("chunk").collect()]  # one per million ids
     starts = {c: fresh for c in chunks}
     if chunks:
         starts[chunks[0]] = (begin, max(begin))
     ends: dict[int, tuple[list[int], int]] = {}
+    settled = set(chunks[-1:])  # chunks whose end nobody asks for, or does not depend on their start
     todo = chunks[:-1]
     while todo:
         table = spark.createDataFrame([(c, *starts[c]) for c in todo], state_schema)
-        for r in records.join(table, "chunk").groupBy("chunk").applyInPandas(exits, state_schema).collect():
+        for r in records.join(table, "chunk").groupBy("chunk").applyInPandas(exits, exit_schema).collect():
             ends[r["chunk"]] = (list(r["last"]), r["any_last"])
+            if r["free"]:
+                settled.add(r["chunk"])
         moved = []
         for before, c in zip(chunks, chunks[1:]):
             if ends[before] != starts[c]:
                 starts[c] = ends[before]
                 moved.append(c)
-        todo = [c for c in moved if c != chunks[-1]]
+        todo = [c for c in moved if c not in settled]
     if not chunks:
         return spark.createDataFrame([], schema)
     table = spark.createDataFrame([(c, *starts[c]) for c in chunks], state_schema)
     found = records.join(table, "chunk").groupBy("chunk").applyInPandas(
         fires, "chunk bigint, id bigint, a int, ts bigint, rn int"
     )
-    # one summary row per chunk and alert; fires are at least five seconds apart
-    before = Window.partitionBy("a").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hits.groupBy("chunk", "a").agg(F.count("*").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    )
     by_alert = Window.partitionBy("a").orderBy("id")
     carried = F.array(*[F.lit(state.get(r["id"], (NEVER, 0))[1]).cast("bigint") for r in notifying])
     counted = (
-        found.join(sizes, ["chunk", "a"])
+        found.join(sizes.select("chunk", "a", "_before"), ["chunk", "a"])
         .withColumn("_at", F.col("_before") + F.col("rn"))
         .withColumn("suppressed", F.col("_at") - F.coalesce(F.lag("_at").over(by_alert), -F.get(carried, F.col("a"))) - 1)
     )

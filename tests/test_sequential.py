@@ -184,6 +184,26 @@ def test_alert_fires(spark):
     assert sorted(both) == sorted(model_fires(matches, rules))
 
 
+def test_alert_fires_needs_few_jobs(spark):
+    """One pass over a thousand chunks: quiet gaps settle what a chunk ends with."""
+    rng = random.Random(11)
+    rules = [{"id": "a", "notify": True, "debounce_ms": 0}, {"id": "b", "notify": True, "debounce_ms": 20_000}]
+    ts, matches = 0, []
+    for i in range(4000):
+        ts += rng.choice([-2000, 100, 4000, 9000, 16_000, 40_000])
+        matches.append((i, ts, sorted(rng.sample(["a", "b"], rng.randint(1, 2)))))
+    schema = "id bigint, ts bigint, msg string, raw string, alert_ids array<string>"
+    df = spark.createDataFrame([(i, t, "m", "r", ids) for i, t, ids in matches], schema)
+    jobs = {}
+    for chunk in (400, 4):
+        spark.sparkContext.setJobGroup(f"fires-{chunk}", "")
+        got = alert_fires(df, rules, chunk_ids=chunk).select("id", "alert_id", "ts", "suppressed").collect()
+        jobs[chunk] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fires-{chunk}"))
+        assert sorted(tuple(r) for r in got) == sorted(model_fires(matches, rules))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[4] <= jobs[400] + 20
+
+
 def test_exact_percentiles(spark, monkeypatch):
     monkeypatch.setattr(percentiles, "SMALL_BRACKET", 3)
     monkeypatch.setattr(percentiles, "LINEAR_BINS", 8)
