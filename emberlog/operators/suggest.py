@@ -25,9 +25,14 @@ def distinct_messages(events: DataFrame) -> DataFrame:
     return events.filter(F.col("msg") != "").groupBy("msg").agg(F.count("*").alias("refs"))
 
 
+def message_grams(msg: Column) -> Column:
+    """Distinct grams of three characters of a message, lower-cased; one of its own for a shorter message."""
+    return _grams(F.lower(msg))
+
+
 def trigram_index(events: DataFrame) -> DataFrame:
     """Inverted index (gram, msg, refs) over the distinct messages, lower-cased."""
-    return distinct_messages(events).select(F.explode(_grams(F.lower("msg"))).alias("gram"), "msg", "refs")
+    return distinct_messages(events).select(F.explode(message_grams(F.col("msg"))).alias("gram"), "msg", "refs")
 
 
 def search_messages(index: DataFrame, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from emberlog.plans import events_catalog as E
 from emberlog.plans import facets_catalog as A
 from emberlog.plans import lines_catalog as N
 
-from emberlog.sources.fixtures import as_log_events, line_shapes, with_event_columns
+from emberlog.sources.fixtures import as_log_events, line_shapes, log_events, with_event_columns
 from emberlog.streaming import streams as S
 
 ENTRIES: dict = {}
@@ -48,6 +48,15 @@ _add("stream_histogram", lambda s, d: S.stream_histogram(event_stream(s, d), 86_
      count(*) FILTER (WHERE level NOT IN ('error', 'warn')) AS rest, count(*) AS total FROM log_events GROUP BY 1""")
 _add("stream_facets", lambda s, d: S.stream_facets(event_stream(s, d), S.new_folder(s, "stream-facets")).select("path", "value", "count"),
      A.FACETS + "SELECT path, value, count FROM counts")
+
+
+def _stream_message_index(s: SparkSession, d: str) -> DataFrame:
+    old = log_events(s, d).filter(F.col("ts") < 1_704_672_000_000)
+    return S.stream_message_index(event_stream(s, d), S.new_folder(s, "stream-index"), old).read()
+
+
+_add("stream_message_index", _stream_message_index,
+     A.ENTRIES["trigram_index"][1].replace("FROM log_events GROUP BY msg", "FROM log_events WHERE ts >= 1704672000000 GROUP BY msg"))
 _add("stream_alerts", lambda s, d: S.stream_alerts(event_stream(s, d), E.RULES, S.new_folder(s, "stream-alerts"), E.NOW_MS)[1],
      E.ENTRIES["alert_fires"][1])
 

@@ -30,6 +30,7 @@ from emberlog.operators.search import FilterError, filter_column, read_filter, s
 from emberlog.session import cut_lineage, prepare, shared_dir, small_side, stage_table
 from emberlog.sources.lines import drop_blank_lines, in_live_order
 from emberlog.streaming.folders import numbers, remove
+from emberlog.streaming.message_index import MessageIndex
 from emberlog.streaming.order_stats import JudgedStream, Limits
 from emberlog.streaming.upsert import GONE, KeyedTable
 
@@ -273,6 +274,18 @@ def stream_facets(events: DataFrame, out: str) -> DataFrame:
     return _upserted(counts, out, ["path", "value"])
 
 
+def stream_message_index(events: DataFrame, out: str, evicted: DataFrame | None = None) -> MessageIndex:
+    """The trigram index of the messages that arrive; each batch adds what it brings.
+
+    ``evicted`` holds events that have to leave, all of which the stream brings or has brought; they go after its last batch.
+    """
+    index = MessageIndex(events.sparkSession, f"{out}/index")
+    run_available(events.select("msg"), out, each=lambda batch, number: index.change(2 * number, added=batch))
+    if evicted is not None:
+        index.change(2 * last_batch(events.sparkSession, out) + 1, evicted=evicted)
+    return index
+
+
 def stream_alerts(events: DataFrame, rules: list[dict], out: str, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, fires) on arrival; the gate state is carried from batch to batch.
 

@@ -29,6 +29,9 @@ class KeyedTable:
         found = self._versions(upto)
         return read_note(self.spark, f"{self.out}/notes/{found[-1]}") if found else {"runs": [], "schema": None}
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
     def _load(self, runs: list[dict], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.out}/runs/{r['name']}" for r in runs))
 
@@ -44,7 +47,7 @@ class KeyedTable:
         rows = rows.withColumn("_version", F.lit(version).cast("bigint"))
         before = self._note(version - 1)
         name = f"v{version}"
-        rows.write.mode("overwrite").parquet(f"{self.out}/runs/{name}")
+        self._write(rows, f"{self.out}/runs/{name}")
         # column names and types only: what a file holds may be null
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         count = self.spark.read.schema(schema).parquet(f"{self.out}/runs/{name}").count()
@@ -59,7 +62,7 @@ class KeyedTable:
                 merged = self._newest(self._load(runs[first:], schema))
                 if not first:  # nothing older is left to be taken out
                     merged = merged.filter(~F.col(GONE))
-                merged.write.mode("overwrite").parquet(f"{self.out}/runs/{name}m")
+                self._write(merged, f"{self.out}/runs/{name}m")
                 size = self.spark.read.schema(schema).parquet(f"{self.out}/runs/{name}m").count()
                 runs[first:] = [{"name": f"{name}m", "rows": size}]
                 written += size
