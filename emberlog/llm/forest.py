@@ -2,30 +2,35 @@
 
 The trees are fitted on a bounded sample; every row is then filed in one leaf of each tree. A query keeps one
 priority queue over all trees: the branch whose dividing planes lie nearest to it comes next, until the leaves seen
-hold a set share of all rows. Those leaves' rows are ranked by their exact cosine.
+hold a share of all rows. The share is measured: the exact neighbours of some rows say how far the queue has to go.
+The rows of the leaves seen are ranked by their exact cosine.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from emberlog.llm.common import stage
 from emberlog.llm.vectors import best_of_query, bucket, matrix, queries_of, usable
 
 #: The trees are fitted on at most so many rows, those of least hash of the id.
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 16384
 TREES = 8
 #: Rows of a leaf, about; the sample allows 2**MAX_DEPTH leaves a tree.
-LEAF_ROWS = 256
-MAX_DEPTH = 7
-#: Leaves are opened until, were trees independent, they would hold this share of all rows.
-SHARE = 0.7
+LEAF_ROWS = 64
+MAX_DEPTH = 9
+#: Leaves are opened until, were trees independent, they would hold so large a share of all rows that this part
+#: of the exact neighbours of PILOT_ROWS rows, those of least hash of the id, is among them.
+RECALL = 0.95
+PILOT_ROWS = 192
 #: Larger leaves are worked on in blocks of about so many rows.
 BLOCK_ROWS = 4096
 FOUND = "query_id long, vec_id long, score double"
@@ -67,33 +72,97 @@ def leaves_of(unit: np.ndarray, planes: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def probes_of(
-    query: np.ndarray, planes: np.ndarray, offsets: np.ndarray, shares: np.ndarray, wanted: float
-) -> list[tuple[int, int]]:
-    """Leaves (tree, leaf) in the order of one priority queue over all trees, until they hold the wanted share."""
+def _queue(
+    query: np.ndarray, planes: np.ndarray, offsets: np.ndarray, shares: np.ndarray
+) -> Iterator[tuple[int, int, float]]:
+    """Leaves (tree, leaf) in the order of one priority queue over all trees, each with the share held by those before it."""
     trees, nodes, _ = planes.shape
     margins = planes @ query - offsets
     queue = [(0.0, tree, 0) for tree in range(trees)]
-    opened, seen, missed = [], np.zeros(trees), 1.0
-    while queue and 1 - missed < wanted:
+    left = np.ones(trees)
+    reached = 0.0
+    while queue:
         distance, tree, node = heapq.heappop(queue)
         if node >= nodes:
             if shares[tree, node - nodes] > 0:
-                opened.append((tree, node - nodes))
-                seen[tree] += shares[tree, node - nodes]
-                missed = float(np.prod(1 - np.minimum(seen, 1)))
+                yield tree, node - nodes, reached
+                left[tree] = max(0.0, left[tree] - shares[tree, node - nodes])
+                reached = float(1 - left.prod())
             continue
         margin = margins[tree, node]
         near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
         heapq.heappush(queue, (distance, tree, near))
         heapq.heappush(queue, (max(distance, abs(margin)), tree, far))
-    return opened
+
+
+def probes_of(
+    query: np.ndarray, planes: np.ndarray, offsets: np.ndarray, shares: np.ndarray, wanted: float
+) -> list[tuple[int, int]]:
+    """Leaves (tree, leaf) in the order of the queue, until they hold the wanted share."""
+    return [(t, x) for t, x, _ in takewhile(lambda o: o[2] < wanted, _queue(query, planes, offsets, shares))]
+
+
+def share_for(
+    pilots: np.ndarray, near: list[np.ndarray], planes: np.ndarray, offsets: np.ndarray, shares: np.ndarray, recall: float
+) -> float:
+    """The least share with which the queue opens a leaf of the wanted part of all neighbours (``near``: per pilot row, unit vectors)."""
+    needed = []
+    for pilot, neighbours in zip(pilots, near):
+        held = leaves_of(neighbours, planes, offsets)
+        first = np.full(len(neighbours), np.inf)
+        for tree, leaf, reached in _queue(pilot, planes, offsets, shares):
+            first[(held[:, tree] == leaf) & (first > reached)] = reached
+            if np.isfinite(first).all():
+                break
+        needed.extend(first.tolist())
+    if not needed:
+        return 2.0
+    needed.sort()
+    return float(np.nextafter(needed[max(0, int(np.ceil(recall * len(needed))) - 1)], 3.0))
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1; cosines stay the same to the last bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
+def _nearest(pilots: np.ndarray, pilot_ids: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` rows of a partition with the largest cosines for each pilot row."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, list[float]]]] = [[] for _ in pilots]
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(), matrix(batch.column(1), np.float64, pilots.shape[1])
+            cosines = pilots @ _unit(vectors).T
+            cosines[pilot_ids[:, None] == ids[None, :]] = -np.inf
+            for kept, row in zip(best, cosines):
+                top = np.argpartition(-row, min(k, len(row)) - 1)[:k] if len(row) else []
+                kept.extend((-float(row[i]), int(ids[i]), vectors[i].tolist()) for i in top if row[i] > -np.inf)
+                kept.sort()
+                del kept[k:]
+        flat = [(q, -c, v, x) for q, kept in enumerate(best) for c, v, x in kept]
+        columns = list(zip(*flat)) or [(), (), (), ()]
+        types = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "score", "vec_id", "vec"])
+
+    return nearest
+
+
+def neighbours_of(rows: DataFrame, pilots: np.ndarray, pilot_ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """Unit vectors of the exact ``k`` neighbours of each pilot row (a unit vector), by one pass over ``rows`` (vec_id, vec)."""
+    found = rows.mapInArrow(_nearest(pilots, pilot_ids, k), "query_id long, score double, vec_id long, vec array<double>")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    near: list[list] = [[] for _ in pilots]
+    for r in found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).collect():  # PILOT_ROWS * k rows
+        near[r["query_id"]].append(r["vec"])
+    return [_unit(np.array(v, np.float64).reshape(len(v), pilots.shape[1])) for v in near]
+
+
 def _file(planes: np.ndarray, offsets: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,6 +194,7 @@ def _rerank(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             asked = matrix(queries["vec"], np.float64)
             width = max(vectors.shape[1], asked.shape[1])
             vectors, asked = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (vectors, asked))
+            vectors, asked = _scaled(vectors), _scaled(asked)
             norms = np.sqrt((vectors * vectors).sum(axis=1))
             # the product picks a few more than k; those are computed again, in one order of adding for all blocks
             rough = np.round((_unit(asked) @ (vectors / norms[:, None]).T), 12)
@@ -151,7 +221,8 @@ def forest_neighbours(
     vector_col: str = "embedding",
     trees: int = TREES,
     leaf_rows: int = LEAF_ROWS,
-    share: float = SHARE,
+    share: float | None = None,
+    recall: float = RECALL,
 ) -> DataFrame:
     """The ``k`` nearest rows by cosine that the forest finds for each query row, with their exact cosines.
 
@@ -159,23 +230,30 @@ def forest_neighbours(
     or non-finite components take no part; missing components of a shorter vector count as 0. Rows that repeat an id
     are separate candidates, of which each vector answers once; the smallest of them asks and none answers it. Equal
     cosines go to the smaller id. Where no more than k candidates are found, all of them are returned; with few rows
-    the one leaf holds all of them. An empty table gives no rows.
+    the one leaf holds all of them. An empty table gives no rows. ``share`` says how large a share of the rows the
+    opened leaves have to hold; without it, the share is measured so that ``recall`` of the neighbours of some rows are found.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).filter(F.exists("vec", lambda x: x != 0))
     count = rows.count()
     depth = max(0, min(MAX_DEPTH, int(count // leaf_rows).bit_length()))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec").limit(SAMPLE_ROWS).select("vec").toArrow()["vec"]
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec").limit(SAMPLE_ROWS).toArrow()
     width = rows.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    planes, offsets = fit_forest(_unit(matrix(sample, np.float64, width)), trees, depth)
+    units = _unit(matrix(sample["vec"], np.float64, width))
+    planes, offsets = fit_forest(units, trees, depth)
     filed = stage(rows.mapInArrow(_file(planes, offsets), "vec_id long, vec array<double>, leaves array<int>"))
+    whole = filed.select("vec_id", "vec")
     filed = filed.select("vec_id", F.col("vec"), F.posexplode("leaves").alias("tree", "leaf"))
     shares = np.zeros((trees, 2**depth))
     sizes = filed.groupBy("tree", "leaf").count().collect()  # one row per leaf, at most trees * 2**MAX_DEPTH
     for r in sizes:
         shares[r["tree"], r["leaf"]] = r["count"] / count
+    if share is None:
+        pilots = units[:PILOT_ROWS]
+        near = neighbours_of(whole, pilots, sample["vec_id"].to_numpy()[:PILOT_ROWS], k)
+        share = share_for(pilots, near, planes, offsets, shares, recall)
     parts = [(r["tree"], r["leaf"], -(-r["count"] // BLOCK_ROWS)) for r in sizes]
     asked = queries_of(rows, every).mapInArrow(
         _probe(planes, offsets, shares, share), "vec_id long, vec array<double>, trees array<int>, leaves array<int>"

@@ -4,11 +4,12 @@ import random
 import numpy as np
 import pytest
 
+from emberlog.llm import forest
 from emberlog.llm.forest import forest_neighbours
 from emberlog.llm.maxscore import maxscore_top_k, top_of_shard
 
 SCHEMA = "vec_id long, embedding array<float>, score long, rank string"
-SF = "/root/testdata/sf0.1"
+SF = "/root/testdata/sf"
 
 
 def sample(seed, n, width=6):
@@ -80,8 +81,9 @@ def test_forest_scores_and_ties(spark):
         assert np.allclose([got[q, r][1] for r in range(1, 6)], [-s for s, _ in want], atol=1e-12)
 
 
-def test_forest_recall(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_forest_recall(spark, scale):
+    df = spark.read.parquet(f"{SF}{scale}/embeddings.parquet")
     got = as_rows(forest_neighbours(df))
     rows = df.collect()
     ids, unit = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
@@ -94,3 +96,30 @@ def test_forest_recall(spark):
         hits += len(truth & {got[int(ids[j]), r][0] for r in range(1, 6)})
         total += 5
     assert hits / total >= 0.9
+
+
+def test_forest_budget_follows_structure(spark, monkeypatch):
+    """Where rows lie in clusters, the measured share is small and the neighbours are still found."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16))
+    vectors = centres[np.arange(4000) % 40] + 0.05 * rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    shares = []
+    measured = forest.share_for
+    monkeypatch.setattr(forest, "share_for", lambda *a: shares.append(measured(*a)) or shares[-1])
+    got = as_rows(forest_neighbours(df))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 4000, 50):
+        cosines = unit @ unit[q]
+        cosines[q] = -9
+        hits += len(set(np.argsort(-cosines)[:5].tolist()) & {got[q, r][0] for r in range(1, 6)})
+    assert hits >= 0.9 * 400 and shares[0] < 0.25
+
+
+def test_forest_scores_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (50, [1e200, 0.0]), (7, [3e-310, 0.0]), (8, [-1e300, 1e300])]
+    got = as_rows(forest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert {key: i for key, (i, _) in got.items()} == {(0, 1): 7, (0, 2): 50, (0, 3): 8, (50, 1): 7, (50, 2): 0, (50, 3): 8}
+    half = math.sqrt(0.5)
+    assert np.allclose([got[0, r][1] for r in (1, 2, 3)] + [got[50, r][1] for r in (1, 2, 3)], [half, half, 0, 1, half, -half])
