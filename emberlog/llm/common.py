@@ -13,14 +13,26 @@ from emberlog.session import shared_dir
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
-def stage(df: DataFrame) -> DataFrame:
+#: Setting that bounds the bytes of the Arrow batches sent to Python, whatever the length of the texts.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stage(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; the folder goes when the driver ends.
 
-    Later steps then start from files that outlive lost executors, and prune columns of them.
+    Later steps then start from files that outlive lost executors, and prune columns of them. ``batch_bytes`` bounds
+    the Arrow batches of this one write; the caller's setting stays as it was.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(where)
+    before = spark.conf.get(BATCH_BYTES, None)
+    if batch_bytes:
+        spark.conf.set(BATCH_BYTES, str(batch_bytes))
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        if batch_bytes:
+            spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
     forget_at_exit(spark, where)
     # shuffle files are deleted once the driver's collector finds them unused; asking now keeps one step's at a time
     spark._jvm.System.gc()

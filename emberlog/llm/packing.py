@@ -2,15 +2,18 @@
 
 Documents become token pieces of at most ``capacity`` tokens. Pieces are dealt to partitions and packed there by
 best-fit decreasing. A lower bound from dual-feasible functions says how many bins a partition needs at least; where
-the packing uses no more, it is certified and final. The other partitions keep their full bins and hand in the
-documents of all bins with room left; these exchange documents by being dealt anew, to ever fewer partitions, and
-are packed again. The last round leaves open bins in few partitions only.
+the packing uses no more, it is certified, and only its bins with much room are opened again. The other partitions
+keep their full bins and hand in the documents of all bins with room left; these exchange documents by being dealt
+anew, to ever fewer partitions, and are packed again. The last round leaves open bins in few partitions only. Every
+piece tells the certificate of the partition that it was placed in: bins used and bins needed at least.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -21,14 +24,22 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task remembers; beyond that it forgets most of them.
+#: Words whose ids a worker remembers; beyond that it forgets most of them, and those of more bytes at once.
 REMEMBERED = 200_000
-#: Texts encoded together.
+REMEMBERED_BYTES = 64
+#: Texts encoded together, at most so many and of about so many bytes; longer texts are encoded in parts.
 TEXTS = 64
+TEXT_BYTES = 1 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
 #: Pieces of one packing task, about.
 PIECES_PER_TASK = 20_000
 
 
+#: What ``bytes.split()`` splits at.
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
 class WordEncoder:
     """Encoder of whole UTF-8 texts to little-endian 32-bit ids that remembers words.
 
@@ -59,7 +70,20 @@ class WordEncoder:
             missing = set().union(*words).difference(self.known)
         self._learn(missing)
         known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        out = [b"".join(map(known, w)) for w in words]
+        for word in [w for w in missing if len(w) > REMEMBERED_BYTES]:
+            del self.known[word]
+        return out
+
+    def encode_in_parts(self, text: bytes) -> bytes:
+        """Ids of one text of any length, of about ``TEXT_BYTES`` at a time, cut at white space."""
+        out, at = [], 0
+        while at < len(text):
+            end = SPACE.search(text, at + TEXT_BYTES)
+            end = end.end() if end else len(text)
+            out.extend(self.encode([text[at:end]]))
+            at = end
+        return b"".join(out)
 
     def _learn(self, missing: set[bytes]) -> None:
         marked = [w for w in missing if w[-1:] in self.MARKS and w[:-1].isalpha()]
@@ -96,15 +120,34 @@ class WordEncoder:
             self.known[word] = np.array(encoding.ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a worker process, kept from task to task."""
+    return WordEncoder(path)
+
+
+def _in_groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    group, size = [], 0
+    for text in texts:
+        if group and (len(group) == TEXTS or size + len(text) > TEXT_BYTES):
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of a document; a null text counts as empty and still has its end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            out = []
-            texts = [text.as_py() or b"" for text in batch.column(1).cast(pa.binary())]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            out, encoded = [], []
+            for group in _in_groups([text.as_py() or b"" for text in batch.column(1).cast(pa.binary())]):
+                encoded.extend([encoder.encode_in_parts(group[0])] if len(group) == 1 else encoder.encode(group))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -165,16 +208,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def _pack_group(capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Packer of one partition's pieces; adds bin, offset, the partition's gap and whether a row is final."""
+    """Packer of one partition's pieces; adds bin, offset, the partition's certificate and whether a row is final."""
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32"))])
         sizes = group["length"].to_numpy()
         bins, offsets, room = best_fit_decreasing(sizes, capacity)
-        gap = len(room) - dual_feasible_bound(sizes, capacity)
+        bound = dual_feasible_bound(sizes, capacity)
         # without a gap only bins with much room are opened again, with a gap all that are not full
-        final = last | (room[bins] < (1 if gap else capacity // 64))
-        more = {"bin": bins, "offset": offsets, "gap": np.full(len(bins), gap), "final": final}
+        final = last | (room[bins] < (1 if len(room) > bound else capacity // 64))
+        used, needed = np.full(len(bins), len(room), np.int64), np.full(len(bins), bound, np.int64)
+        more = {"bin": bins, "offset": offsets, "partition_bins": used, "partition_bound": needed, "final": final}
         for name, column in more.items():
             group = group.append_column(name, pa.array(column))
         return group
@@ -185,6 +229,9 @@ def _pack_group(capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
 def pack_pieces(pieces: DataFrame, capacity: int, per_task: int = PIECES_PER_TASK, rounds: int = 4) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length``; offsets of a sequence leave no gap.
 
+    ``partition_bins`` and ``partition_bound`` are the certificate of the partition that placed the piece: bins that
+    its packing used, and bins that any packing of its pieces needs; equal numbers prove that packing the best.
+
     Every round deals the open pieces by hash to about one partition per ``per_task`` of them, at most half as many
     as before, and ends with each partition's certificate. The last round keeps whatever it has packed.
     """
@@ -195,14 +242,14 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_task: int = PIECES_PER_TAS
         last = parts == 1 or round_no == rounds - 1
         key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no))
         dealt = left.withColumn("dealt", F.pmod(key, F.lit(parts)))
-        schema = f"{PIECES}, dealt long, bin long, offset long, gap long, final boolean"
+        schema = f"{PIECES}, dealt long, bin long, offset long, partition_bins long, partition_bound long, final boolean"
         packed = stage(dealt.groupBy("dealt").applyInArrow(_pack_group(capacity, last), schema))
         sequence = F.lit(round_no).cast("long") * 2**58 + F.col("dealt") * 2**34 + F.col("bin")
         done.append(packed.filter("final").withColumn("sequence_id", sequence))
         left = packed.filter("not final").select("doc_id", "piece", "start", "length", "ids_crc32")
         if last or left.isEmpty():
             break
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition_bins", "partition_bound"]
     out = done[0].select(names)
     for more in done[1:]:
         out = out.unionByName(more.select(names))
@@ -229,7 +276,7 @@ def pack_documents(
     A document is its ids and then ``end_id``; only longer ones are cut, into pieces of ``capacity`` and a rest. A
     null or empty text is the end id alone. Repeated rows are packed each for itself, equal lengths in order of id,
     piece and checksum. An empty table gives no rows; other columns are not read. One row per piece: doc_id, piece,
-    start, length, ids_crc32, sequence_id, offset.
+    start, length, ids_crc32, sequence_id, offset, and the partition's certificate (see ``pack_pieces``).
     """
-    pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    pieces = stage(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), BATCH_BYTES)
     return pack_pieces(pieces, capacity, per_task)
