@@ -24,6 +24,8 @@ UNKNOWN = "und"
 TEXTS_PER_LANGUAGE = 250
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-4
+#: Score below which a text is taken for none of the languages; one of 10,000 given texts, a mere list of insults, is below.
+LEAST_SCORE = 0.4
 #: Texts scored in one matrix product.
 BATCH = 128
 
@@ -169,24 +171,50 @@ def identify_language(
     every text if nothing could be learned. A null id is not held out and not learned from. Repeated rows each
     get the same answer; equal values go to the language that sorts first. No rows in: no rows out.
     """
+    docs, held_out, model = _learned(docs, folds, held_out_fold, texts_per_language, landmarks_per_language)
+    if keep is None:
+        return _marked(docs.select("doc_id", held_out.alias("held_out"), "text"), ["doc_id", "held_out"], model, answer)
+    return _marked(docs, list(keep), model, answer)
+
+
+def _learned(
+    docs: DataFrame, folds: int, held_out_fold: int, texts_per_language: int, landmarks_per_language: int
+) -> tuple[DataFrame, Column, KernelModel | None]:
+    """The rows with plain ids and texts, which of them are held out, and what the others teach."""
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     held_out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out_fold, F.lit(False))
     training = F.col("doc_id").isNotNull() & ~held_out
-    model = fit_spectra(*labelled_sample(docs, training, texts_per_language), landmarks_per_language)
-    columns = ["doc_id", "held_out"] if keep is None else list(keep)
-    rows = docs.select(*dict.fromkeys([*(c for c in columns if c in docs.columns), "text"]))
-    if keep is None:
-        rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return docs, held_out, fit_spectra(*labelled_sample(docs, training, texts_per_language), landmarks_per_language)
+
+
+def _marked(docs: DataFrame, columns: list[str], model: KernelModel | None, answer: tuple[str, str]) -> DataFrame:
+    rows = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes) + "".join(
         f", `{name}` {kind}" for name, kind in zip(answer, ("string", "double"))
     )
     return rows.mapInArrow(_scorer(model, columns, answer), schema)
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; of rows answered ``und``, those with letters stay."""
+def keep_identified(
+    docs: DataFrame,
+    wanted: list[str] | None = None,
+    least_score: float = LEAST_SCORE,
+    texts_per_language: int = TEXTS_PER_LANGUAGE,
+    landmarks_per_language: int = LANDMARKS_PER_LANGUAGE,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model takes for one of the ``wanted`` languages (default: all that it has learned).
+
+    A row goes if its answer is ``und``, a language not wanted, or has a score below ``least_score``. Where no row is
+    labelled, nothing can be told of any language, and all texts with letters stay. All learn and answer as in
+    ``identify_language``.
+    """
     columns = docs.columns
-    marks = tuple(next(n for n in (f"{name}{'_' * k}" for k in range(1, 99)) if n not in columns) for name in ("pred", "sure"))
-    marked = identify_language(docs, keep=tuple(columns), answer=marks)
-    letters = F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False))
-    return marked.filter((F.col(marks[0]) != UNKNOWN) | letters).select(*columns)
+    pred, sure = (next(n for n in (f"{name}{'_' * k}" for k in range(1, 99)) if n not in columns) for name in ("pred", "sure"))
+    typed, _, model = _learned(docs, 4, 2, texts_per_language, landmarks_per_language)
+    if model is None:
+        return typed.filter(F.col("text").rlike("\\p{L}"))
+    marked = _marked(typed, columns, model, (pred, sure))
+    fits = (F.col(pred) != UNKNOWN) & (F.col(sure) >= least_score)
+    if wanted is not None:
+        fits &= F.col(pred).isin(list(wanted))
+    return marked.filter(fits).select(*columns)

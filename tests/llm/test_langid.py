@@ -70,3 +70,24 @@ def test_training_texts_are_read_whole(spark):
 def test_nothing_learned_keeps_letters(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 !?", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in keep_identified(docs).collect()] == [1]
+
+
+def test_the_answer_decides_what_is_kept(spark):
+    """Rows go by what the model answers, not by their label or by having letters."""
+    rng = random.Random(4)
+    words = {"en": "the and of to in is that".split(), "de": "der die und das nicht ist ein".split()}
+    rows = [(i, " ".join(rng.choice(words[("en", "de")[i % 2]]) for _ in range(30)), ("en", "de")[i % 2]) for i in range(60)]
+    rows += [(100, "der und das ist nicht ein", "en"), (101, "the and of that is", None), (102, "12 !?", "en"), (103, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    answer = {r.doc_id: (r.lang_pred, r.score) for r in identify_language(docs).collect()}
+    assert answer[100][0] == "de" and answer[101][0] == "en"
+
+    def kept(**how):
+        return {r.doc_id for r in keep_identified(docs, **how).collect()}
+
+    assert kept() == {i for i, (x, s) in answer.items() if x != "und" and s >= 0.4} == set(answer) - {102, 103}
+    assert kept(wanted=["de"]) == {i for i, (x, s) in answer.items() if x == "de" and s >= 0.4} and 100 in kept(wanted=["de"])
+    assert kept(wanted=[]) == set()
+    middle = sorted(s for x, s in answer.values() if x != "und")[30]
+    some = kept(least_score=middle)
+    assert some == {i for i, (x, s) in answer.items() if x != "und" and s >= middle} and 0 < len(some) < len(answer) - 2
