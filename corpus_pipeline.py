@@ -14,7 +14,7 @@ from emberlog.llm.substring import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents that the model takes for one of the languages it has learned; those without letters or with too low a score go."""
     return keep_identified(docs)
 
 
