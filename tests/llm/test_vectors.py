@@ -68,6 +68,21 @@ def test_maxscore_edges(spark):
     assert as_rows(maxscore_top_k(huge)) == {(0, 1): (7, want)}
 
 
+def test_maxscore_bounds_beyond_a_long(spark):
+    """Scores fit a long where the bounds of the terms, or components alone, do not."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) * (1 if i % 2 else 1e6) for _ in range(16)]) for i in range(0, 300)]
+    rows += [(1000, [0.0] * 15 + [1e3]), (1001, [-1e19] + [0.0] * 15), (1003, [1e300, 1.0] + [0.0] * 14)]
+    rows += [(1050, [0.0] * 16)]
+    got = as_rows(maxscore_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    have = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for q in (0, 50, 1000, 1050):
+        asked = dict(have)[q]
+        scores = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in have if i != q)
+        assert [got[q, r] for r in range(1, 6)] == [(i, clip(-s)) for s, i in scores[:5]]
+
+
 def test_forest_scores_and_ties(spark):
     rows = sample(2, 400)
     have = list(valid(rows, zero=False))
