@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.grams import grams, rarest_gram
+from emberlog.operators.grams import gram_filter, rarest_gram, text_grams
 from emberlog.operators.relevance import in_skipped_folder
-from emberlog.session import stage_table
+from emberlog.session import small_side, stage_table
 
 # Least needle length, searched extensions.
 MIN_NEEDLE_BYTES = 8
@@ -77,24 +77,30 @@ def emission_sites(events: DataFrame, files: DataFrame, roots: DataFrame) -> Dat
     """(id, rel_path, line): the first code line whose string literal holds the event's static text.
 
     Needles are looked up once per distinct text, and equal literals stand for their first place. Needle and literal
-    meet on the needle's rarest trigram among the literals; containment is then checked on those few.
+    meet on the needle's rarest trigram among the literals; containment is then checked on those few. Only grams that
+    are such a trigram become rows with their literal, and no side is broadcast for the size of its files.
     """
+    roots = small_side(stage_table(roots.select("source", "root")))
     wanted = events.select("id", "source", message_needle(F.col("msg")).alias("needle")).filter("needle is not null")
-    wanted = wanted.join(roots.select("source", "root"), "source")
-    needles = wanted.select("root", "needle").distinct()
+    wanted = stage_table(wanted.join(roots, "source").select("id", "root", "needle"))
+    needles = stage_table(wanted.select("root", "needle").distinct())
     literals = string_literals(code_lines(searchable(files)))
     literals = literals.filter(F.octet_length("literal") >= MIN_NEEDLE_BYTES)
     literals = stage_table(literals.groupBy("root", "literal").agg(F.min(F.struct("path", "line")).alias("site")))
-    keyed = literals.select("*", F.explode(F.concat(grams(F.col("literal")), grams(F.col("literal"), 2))).alias("gram"))
-    counts = keyed.groupBy("gram").agg(F.count("*").alias("n"))
-    anchors = rarest_gram(needles, ["root", "needle"], F.array("needle"), counts)
-    sites = (
-        anchors.join(keyed, ["root", "gram"])
+    held = text_grams(F.col("literal"))
+    counts = literals.select(F.explode(held).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    anchors = stage_table(rarest_gram(needles, ["root", "needle"], F.array("needle"), counts))
+    keep = gram_filter(anchors)
+    if keep is None:
+        return wanted.limit(0).select("id", F.lit("").alias("rel_path"), F.lit(0).cast("bigint").alias("line"))
+    keyed = literals.select("*", F.explode(keep(held)).alias("gram"))
+    sites = stage_table(
+        keyed.join(small_side(anchors), ["root", "gram"])
         .filter(F.contains("literal", F.col("needle")))
         .groupBy("root", "needle")
         .agg(F.min("site").alias("_s"))
     )
-    return wanted.join(sites, ["root", "needle"]).select(
+    return wanted.join(small_side(sites), ["root", "needle"]).select(
         "id", F.col("_s.path").alias("rel_path"), F.col("_s.line").alias("line")
     )
 
