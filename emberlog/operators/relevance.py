@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.logcalls import log_calls
+from emberlog.functions.values import once
 from emberlog.operators.carry import running_max
-from emberlog.operators.grams import gram_filter, rarest_gram, text_grams
+from emberlog.operators.grams import part_filter, rarest_part
 from emberlog.session import materialise_small, small_side, stage_table
 
 # File extensions per language, skipped folders.
@@ -239,12 +240,13 @@ def module_ids(files: DataFrame) -> DataFrame:
 
 def expand_barrels(origins: DataFrame, reexports: DataFrame) -> DataFrame:
     """(root, module, origin) grown through files that re-export a module, until nothing new is reached."""
+    key = ["root", "module", "origin"]
     hand_on = reexports.select("root", "module", module_id(F.col("path")).alias("_own")).filter("_own is not null")
-    hand_on = materialise_small(hand_on.distinct())
-    grown = materialise_small(origins.select("root", "module", "origin").distinct())
-    while True:
-        more = grown.join(hand_on, ["root", "module"]).select("root", F.col("_own").alias("module"), "origin")
-        fresh = materialise_small(more.distinct().join(grown, ["root", "module", "origin"], "left_anti"))
+    hand_on = small_side(stage_table(hand_on.distinct()))
+    grown = fresh = stage_table(origins.select(*key).distinct())
+    while True:  # only what the last round reached can reach more
+        more = fresh.join(hand_on, ["root", "module"]).select("root", F.col("_own").alias("module"), "origin")
+        fresh = stage_table(more.distinct().join(grown.hint("merge"), key, "left_anti"))
         if fresh.isEmpty():
             return grown
         grown = grown.unionByName(fresh)
@@ -265,7 +267,7 @@ def relevance_patterns(files: DataFrame, diffs: DataFrame, roots: DataFrame) ->
     origins = expand_barrels(origins.filter("module is not null"), extract_reexports(files))
     via = (
         extract_imports(files)
-        .join(origins, ["root", "module"])
+        .join(small_side(origins), ["root", "module"])
         .join(touched, ["root", "path"], "left_anti")
         .groupBy("root", "path")
         .agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("via_files"))
@@ -290,34 +292,38 @@ def match_relevance(events: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, source, rel_path, line, raw_call, kind): the pattern each event's text comes from.
 
     The message counts first, the raw text second. Leftmost match wins, then direct patterns, path
-    and line. Texts and patterns meet on (source, rarest gram of the pattern), so a pattern is
-    tried only on texts that can match, and no pattern set has to fit into one expression. A text that many events have is tried
-    once, its grams are held against a bitmap of the patterns' grams before they become rows, and those rows carry no text.
+    and line. Texts and patterns meet on (source, rarest word or gram of the pattern), so a pattern is
+    tried only on texts that can match, and no pattern set has to fit into one expression. Of patterns with one regex the
+    one that wins stands for all. Only texts with such a part are written; one that many events have is tried once.
     """
-    key = ["source", "rel_path", "line", "regex", "raw_call", "kind"]
-    patterns = stage_table(patterns.select(*key, "pieces"))
-    lowered = F.transform("pieces", _folded)
-    anchors = stage_table(rarest_gram(patterns, key, lowered))
-    wanted = gram_filter(anchors)
+    named = F.struct(
+        F.when(F.col("kind") == "direct", 0).otherwise(1).alias("_k"), "rel_path", "line", "raw_call", "kind"
+    )
+    patterns = patterns.groupBy("source", "regex", "pieces").agg(F.min(named).alias("_p"))
+    patterns = stage_table(patterns.withColumn("_needle", F.monotonically_increasing_id()))
+    anchors = rarest_part(patterns, "_needle", F.transform("pieces", _folded))
+    anchors = stage_table(anchors.join(patterns.drop("pieces").hint("merge"), "_needle").drop("_needle"))
+    held = part_filter(anchors)
     sources = small_side(stage_table(patterns.select("source").distinct()))
     parts = F.array(F.struct(F.lit(0).alias("part"), F.col("msg").alias("text")), F.struct(F.lit(1).alias("part"), F.col("raw").alias("text")))
-    told = stage_table(
-        events.select("id", "source", F.explode(parts).alias("_t"))
-        .select("id", "source", "_t.part", F.md5(F.col("_t.text")).alias("text_id"), "_t.text")
-        .join(sources, "source", "left_semi")
+    told = (
+        events.select("id", "source", F.explode(parts).alias("_t")).select("id", "source", "_t.part", "_t.text")
+        .filter("text is not null").join(sources, "source", "left_semi")
     )
-    texts = stage_table(told.groupBy("source", "text_id").agg(F.first("text").alias("text")).filter("text is not null"))
-    probes = texts.select("source", "text_id", F.explode(wanted(text_grams(_folded(F.col("text"))))).alias("gram"))
+    told = once(told, {"_any": F.size(held(_folded(F.col("text")))) > 0}).filter("_any").drop("_any")
+    told = stage_table(told.withColumn("text_id", F.unhex(F.md5("text"))))
+    texts = stage_table(told.groupBy("source", "text_id").agg(F.first("text").alias("text")))
+    probes = texts.select("source", "text_id", F.explode(held(_folded(F.col("text")))).alias("gram"))
     pattern = F.concat(F.lit("(?iud)"), F.col("regex"))
     tried = (
-        probes.join(small_side(anchors), ["source", "gram"]).join(texts, ["source", "text_id"])
+        probes.join(small_side(anchors), ["source", "gram"]).drop("gram")
+        .join(texts.hint("merge"), ["source", "text_id"])
         .withColumn("_at", F.regexp_instr("text", pattern)).filter("_at > 0")
     )
-    rank = F.struct("_at", F.when(F.col("kind") == "direct", 0).otherwise(1).alias("_k"), "rel_path", "line", "raw_call", "kind")
-    best = tried.groupBy("source", "text_id").agg(F.min(rank).alias("_b"))
-    found = told.select("id", "source", "part", "text_id").join(best, ["source", "text_id"])
+    best = tried.groupBy("source", "text_id").agg(F.min(F.struct("_at", "_p")).alias("_b"))
+    found = told.select("id", "source", "part", "text_id").join(best.hint("merge"), ["source", "text_id"])
     first = found.groupBy("id", "source").agg(F.min(F.struct("part", "_b")).alias("_f"))
-    return first.select("id", "source", *(F.col(f"_f._b.{c}").alias(c) for c in ("rel_path", "line", "raw_call", "kind")))
+    return first.select("id", "source", *(F.col(f"_f._b._p.{c}").alias(c) for c in ("rel_path", "line", "raw_call", "kind")))
 
 
 def relevance_ids(matches: DataFrame) -> DataFrame:
@@ -334,7 +340,7 @@ def relevance_sites(matches: DataFrame, files: DataFrame, roots: DataFrame) -> D
     )
     near = F.slice("_lines", F.greatest(F.col("line") - 1, F.lit(1)).cast("int"),
                    F.when(F.col("line") > 1, 3).otherwise(2))
-    return counts.join(code, ["source", "rel_path"], "left").select(
+    return counts.join(code.hint("merge"), ["source", "rel_path"], "left").select(
         "source", "rel_path", "line", "raw_call", "kind", "emitted_count",
         F.coalesce(F.array_join(near, "\n"), F.lit("")).alias("snippet"),
     )

@@ -1,13 +1,17 @@
 """Inputs past the limits that operators once had."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog import session
 from emberlog.functions.levels import level_from_ansi
 from emberlog.functions.values import number_of_text, text_of_variant
-from emberlog.operators.codesites import code_slice, string_literals
-from emberlog.operators.facets import numeric_facets, producer_lists
-from emberlog.operators.relevance import expand_barrels
+from emberlog.operators.codesites import code_slice, emission_sites, string_literals
+from emberlog.operators.facets import first_values, numeric_facets, producer_lists
+from emberlog.operators.grams import rarest_part
+from emberlog.operators.relevance import expand_barrels, match_relevance
 from emberlog.operators.retrieve import agent_log_query, retain_newest
 from emberlog.operators.rules import extract_body
 from emberlog.operators.search import FilterError, read_filter
@@ -101,3 +105,64 @@ def test_long_barrel_chains_and_wide_paths(spark):
 def test_code_context_as_asked(spark):
     files = spark.createDataFrame([("r", "a.ts", "\n".join(map(str, range(100))))], "root string, path string, content string")
     assert code_slice(files, "a.ts", 50, 40).count() == 81
+
+
+def test_patterns_and_texts_meet_on_words_few_patterns_share(spark):
+    """However many patterns there are, a part of few of them is looked up, and every match is still found."""
+    calls = [["java job p%d took" % k, "seconds"] for k in range(300)] + [["ab"], ["of the x"], ["of the y"]]
+    calls += [["of the %s end" % w] for w in ("one", "two")] + [["see\tP7 now"], ["in", "out ſ3"]]
+    quoted = [".*?".join(re.escape(p) for p in c) for c in calls]
+    needles = spark.createDataFrame([(i, c) for i, c in enumerate(calls)], "needle long, pieces array<string>")
+    parts = {r.needle: r.gram for r in rarest_part(needles, "needle", F.transform("pieces", lambda p: F.lower(p))).collect()}
+    assert [parts[k] for k in range(300)] == ["word:p%d" % k for k in range(300)] and set(parts) == set(range(len(calls)))
+    rows = [("s", f"f{i % 9}", i, f"c{i}", c, q, "direct" if i % 2 else "indirect") for i, (c, q) in enumerate(zip(calls, quoted))]
+    rows += [("s", "f0", 0, "a copy", calls[5], quoted[5], "direct"), ("t", "f1", 1, "other", calls[6], quoted[6], "direct")]
+    schema = "source string, rel_path string, line long, raw_call string, pieces array<string>, regex string, kind string"
+    texts = ["xjava JOB p5 took 3 seconds", "java job p51 took 9 seconds", "java job p5 took", "cab", "of the xy", "OF THE ONE END", "see\tp7 nowhere",
+             "in and out S3", "of the two  end", None, "", "java job p299 took seconds, ab"]
+    events = spark.createDataFrame(
+        [(i, "stu"[i % 3], a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)], "id long, source string, msg string, raw string")
+    want = {}
+    for e in events.collect():
+        for text in (e.msg, e.raw):
+            hits = [(m.start(), r[6] != "direct", r[1], r[2], r[3], r[6]) for r in rows
+                    if r[0] == e.source and text is not None and (m := re.search(r[5], text, re.I))]
+            if hits and e.id not in want:
+                want[e.id] = min(hits)[2:]
+    got = match_relevance(events, spark.createDataFrame(rows, schema))
+    assert {r.id: (r.rel_path, r.line, r.raw_call, r.kind) for r in got.collect()} == want and len(want) > 50
+
+
+def test_emission_sites_broadcast_no_literals(spark):
+    """Literals are looked up by the few grams of the needles; the tables themselves are not sent around."""
+    events = spark.createDataFrame([(1, "s", "java job 1 x"), (2, "s", "nothing alike here"), (3, "t", "java job 1 x")], "id long, source string, msg string")
+    files = spark.createDataFrame([("/r", "a.java", 'x\nlog("java job p1");\n'), ("/r", "b.java", 'log("a java job");')], "root string, path string, content string")
+    roots = spark.createDataFrame([("s", "/r")], "source string, root string")
+    found = emission_sites(events, files, roots)
+    assert [tuple(r) for r in found.collect()] == [(1, "a.java", 2)]
+    assert "literal" not in found._jdf.queryExecution().toString()  # the lookup is over when the log is joined
+    assert emission_sites(events, files.limit(0), roots).collect() == []
+
+
+def test_first_values_need_no_sort(spark):
+    rows = [(3, '{"a":1,"b":{"c":"x"}}'), (1, '{"a":"first"}'), (1, '{"a":"first"}'), (None, '{"d":5}'), (2, None)]
+    events = spark.createDataFrame(rows, "id long, j string").select("id", F.try_parse_json("j").alias("fields"))
+    found = first_values(events)
+    assert {(r.path, r.first_value) for r in found.collect()} == {("a", '"first"'), ("b.c", '"x"'), ("d", None)}
+
+
+def test_many_rows_are_spread(spark, tmp_path, monkeypatch):
+    """Tasks get a bounded number of rows, whatever the row groups of the files."""
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    spark.range(5000).repartition(1).write.parquet(f"{tmp_path}/t")
+    dealt = session.spread(spark.read.parquet(f"{tmp_path}/t"))
+    assert dealt.rdd.getNumPartitions() >= 50 and dealt.count() == dealt.distinct().count() == 5000
+
+
+def test_barrels_expand_only_what_is_new(spark):
+    """A ring and a long chain of re-exports end with every origin everywhere it is handed on."""
+    edges = [(f"m{i}", f"src/m{i + 1}.ts") for i in range(12)] + [("m12", "src/m10.ts")]
+    reexports = spark.createDataFrame([("/r", p, m) for m, p in edges], "root string, path string, module string")
+    origins = spark.createDataFrame([("/r", "m0", "o"), ("/r", "m11", "p"), ("/q", "m0", "q")], "root string, module string, origin string")
+    got = sorted(tuple(r) for r in expand_barrels(origins, reexports).collect())
+    assert got == sorted([("/r", f"m{i}", "o") for i in range(13)] + [("/r", m, "p") for m in ("m10", "m11", "m12")] + [("/q", "m0", "q")])
