@@ -13,8 +13,9 @@ hash. The order is cut into fragments, and what two sets share is counted fragme
    prefix join over the differences, rarest first, finds those pairs. Near copies that reach the threshold with their
    pivot thus need one comparison each; of those below it only pairs whose rarest differences meet are compared.
    Sets that are not linked to their pivot choose another one among themselves.
-4. Pairs of one list that have no pivot in common and are not yet connected: shared shingles are summed over the lists
-   (the first partial overlap), and pairs that cannot reach the threshold whatever the other fragments hold go.
+4. Pairs of one list that have no pivot in common and are not yet connected: shared shingles are summed over the short
+   lists (the first partial overlap); the members of long lists are ordered anew, by how many of them hold a shingle,
+   and meet in the rarest. Pairs that cannot reach the threshold whatever the other fragments hold go.
 5. The remaining pairs' overlaps are counted in each of the fragments' sets and summed; the threshold decides.
 
 Hashes have 64 bits. No list, group or pair is left out: step 3 settles what step 4 then need not compare.
@@ -39,6 +40,8 @@ SLOT_BITS = 22
 CHUNKS = 64
 #: Fragments of the order that a set's overlap is counted in.
 FRAGMENTS = 8
+#: Members of a list whose pairs are all looked at; members of longer lists meet in the shingles that few of them hold.
+SHORT_LIST = 16
 
 
 def shingle_hashes(text: bytes, known: WordHashes, words_each: int) -> np.ndarray:
@@ -332,26 +335,67 @@ def _promising(met: DataFrame, percent: int) -> DataFrame:
     return met.filter(linked(F.col("shared") + left, n_a, n_b, percent)).drop("shared")
 
 
-def _open_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components and families that may reach the threshold, from shared prefixes."""
-    open_lists = labelled.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
+def _open_lists(labelled: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components and families, with the list's ``length``."""
+    lists = labelled.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("length"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.min("root").alias("first"), F.max("root").alias("last"),
-    ).filter("low < high and first < last").select("shingle")
-    columns = ["node", "n", "component", "root"]
-    members = stage(labelled.join(open_lists, "shingle", "left_semi").select("shingle", *columns))
-    other = members.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns))
-    met = (
-        members.join(other, "shingle")
+    ).filter("low < high and first < last").select("shingle", "length")
+    return stage(labelled.join(lists, "shingle").select("shingle", "length", "node", "n", "component", "root"))
+
+
+def _met(rows: DataFrame, together: Column, percent: int, *measures: Column) -> DataFrame:
+    """(a, b, n_a, n_b) and ``measures`` of pairs of one shingle's rows in different components and families."""
+    other = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c != "shingle"))
+    return (
+        rows.join(other, "shingle")
         .filter((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
-        .filter(F.col("root") != F.col("root_b"))
-        .filter(similar_sizes(F.col("n"), F.col("n_b"), percent))
+        .filter((F.col("root") != F.col("root_b")) & similar_sizes(F.col("n"), F.col("n_b"), percent) & together)
         .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n").alias("n_a"), "n_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(*measures)
     )
+
+
+def _pairs_of_short_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may reach the threshold if they meet in these lists only."""
+    met = _met(lists, F.lit(True), percent, F.count(F.lit(1)).alias("shared"))
     return _promising(met, percent)
 
 
+def _pairs_of_long_lists(lists: DataFrame, texts: _Texts, percent: int) -> DataFrame:
+    """Pairs of members of these lists that may reach the threshold, from whole sets in another order.
+
+    The sketch counts rows, so copies make all of a text's shingles look common, and a passage of many texts then stands
+    in their prefixes. Here the order is by the number of members that hold a shingle, the rarest first, and two members
+    meet only in shingles from which both have as many left as they must share. They share those that they met in, and
+    at most all from the last of these on.
+    """
+    members = stage(lists.select("node", "n", "component", "root").distinct())
+    shingles = stage(texts.sets(members.select("node")).select("node", F.explode("hashes").alias("shingle")))
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    of_node = Window.partitionBy("node")
+    # shingles that no other member holds come first; ``left`` counts the shingle itself
+    left = F.count(F.lit(1)).over(of_node) - F.row_number().over(of_node.orderBy("held", "shingle")) + 1
+    placed = shingles.join(held, "shingle").withColumn("left", left).drop("held").join(members, "node")
+    prefix = stage(placed.filter(F.col("left") > F.col("n") - prefix_length(F.col("n"), percent)))
+    left = F.least("left", "left_b")
+    enough = linked(left, F.col("n"), F.col("n_b"), percent)
+    met = _met(prefix, enough, percent, (F.count(F.lit(1)) + F.min(left) - 1).alias("most"))
+    return met.filter(linked(F.col("most"), F.col("n_a"), F.col("n_b"), percent)).drop("most")
+
+
+def _open_pairs(labelled: DataFrame, texts: _Texts, percent: int) -> DataFrame:
+    """Pairs of one list in different components and families that may reach the threshold.
+
+    A pair that meets in a long list is found there; one that does not has all it shares in the short ones. The rows of a
+    short list's pairs grow with its length, those of the long lists with the pairs that are alike in rare shingles.
+    """
+    lists = _open_lists(labelled)
+    short = _pairs_of_short_lists(lists.filter(F.col("length") <= SHORT_LIST).drop("length"), percent)
+    long = _pairs_of_long_lists(lists.filter(F.col("length") > SHORT_LIST), texts, percent)
+    return short.unionByName(long).distinct()
+
+
 def jaccard_components(
     docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -415,7 +459,7 @@ def _components_of_rows(keyed: DataFrame, words_each: int, percent: int) -> tupl
     maybe = thinned(postings, F.col("shingle"), live, F.col("shingle"), bits=26)
     lists = stage(maybe.join(live, "shingle", "left_semi"))
     links, settled = _family_links(lists, sets, percent)
-    rest = verified(_open_pairs(_labelled(lists, links, settled), percent), sets, percent)
+    rest = verified(_open_pairs(_labelled(lists, links, settled), sets, percent), sets, percent)
     labels = components(links.unionByName(rest), "a", "b")
     placed = rows.filter("n > 0").join(labels, "node", "left")
     return rows, placed.withColumn("component", F.coalesce("component", "node"))

@@ -138,3 +138,42 @@ def test_few_pairs_of_a_family_are_compared(spark, monkeypatch, edits, sizes, mo
         got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
         assert sum(compared) <= most(members), (members, compared)
+
+
+@pytest.mark.parametrize("short_list", [2, 16])
+def test_long_lists_lose_no_link(spark, monkeypatch, short_list):
+    """Passages of many texts, large clusters of far and near copies, and copies that make all of it look common."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short_list)
+    rng = random.Random(11)
+    fresh = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    passage, base, texts = fresh(53), fresh(60), []
+    for _ in range(40):
+        texts.append(fresh(rng.randint(5, 51)) + passage)
+    for k in range(40):
+        near = list(base)
+        for _ in range(k % 8):
+            near[rng.randrange(60)] = fresh(1)[0]
+        texts.append(near)
+    texts += [fresh(3) + rng.choice(texts) for _ in range(20)]
+    texts += texts[::2] * 3
+    rows = [(k, " ".join(t), 1, "n") for k, t in enumerate(texts)]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
+
+
+def test_passage_of_many_texts_makes_no_pairs(spark, monkeypatch):
+    """Texts alike in a common passage only are not counted pair by pair, though copies make all their shingles common."""
+    rng = random.Random(5)
+    fresh = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    passage, counted, verify = fresh(53), [], jaccard.verified
+    texts = [" ".join(fresh(51) + passage) for _ in range(60)]
+    rows = [(k, text, 1, "n") for k, text in enumerate(texts * 10)]
+
+    def verified(pairs, *more):
+        counted.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verified", verified)
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.component_id for r in got) == sorted([*range(60)] * 10)
+    assert sum(counted) < 60
